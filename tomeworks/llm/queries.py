@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tomeworks.llm import p1_distinctive, p3_lookalikes, p5_survivor
+from tomeworks.llm import p1_distinctive, p3_lookalikes, p5_survivor, p8_contamination, p10_repetition
 
 QUERIES = {
     "p1_found": p1_distinctive.p1_found,
@@ -12,5 +12,10 @@ QUERIES = {
     "p5_found": p5_survivor.p5_found,
     "p5_survivors": p5_survivor.p5_survivors,
     "p5_golden": p5_survivor.p5_golden,
+    "p8_found": p8_contamination.p8_found,
+    "p8_alignments": p8_contamination.p8_alignments,
+    "p8_items": p8_contamination.p8_items,
+    "p10_found": p10_repetition.p10_found,
+    "p10_repetition": p10_repetition.p10_repetition,
 }
 SQL = p1_distinctive.SQL | p5_survivor.SQL
