@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeworks.operators import skew
+from tomeworks.operators import packed, skew
 from tomeworks.session import table
 
 
+PACKED_FIELDS = {"authors": "name", "bookshelf": "label", "language": "label"}
+
+
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of authors, bookshelf and language with its position."""
+    return packed.split_packed(table(spark, sf_dir, "metadata"), "rec_id", "feed", PACKED_FIELDS)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of cells that hold two or more."""
+    return p2_values(spark, sf_dir).where("n_values >= 2").drop("n_values").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.wrong_df(p6_term_counts(spark, sf_dir))
 
@@ -24,7 +37,7 @@ j AS (SELECT coalesce(n.term, l.term) AS term, coalesce(n.block_no, l.block_no)
       coalesce(n_passages, 0) AS n_passages, coalesce(total_tf, 0) AS total_tf, min_df, max_df, coalesce(null_df, false) AS null_df, null_df IS NOT NULL AS in_lexicon
       FROM n FULL JOIN l ON n.term IS NOT DISTINCT FROM l.term AND n.block_no IS NOT DISTINCT FROM l.block_no)
 """
-QUERIES = {"p6_found": p6_found, "p6_term_counts": p6_term_counts}
+QUERIES = {"p2_found": p2_found, "p2_values": p2_values, "p6_found": p6_found, "p6_term_counts": p6_term_counts}
 SQL = {
     "p6_term_counts": _COUNTS + "SELECT * FROM j",
     "p6_found": _COUNTS + "SELECT term, block_no FROM j WHERE in_lexicon AND (null_df OR min_df <> n_records OR max_df <> n_records)",
