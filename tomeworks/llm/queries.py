@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tomeworks.llm import p1_distinctive, p3_lookalikes, p4_language, p5_survivor, p8_contamination, p9_mixture, p10_repetition
+from tomeworks.llm import p1_distinctive, p3_lookalikes, p4_language, p5_survivor, p7_names, p8_contamination, p9_mixture, p10_repetition
 
 QUERIES = {
     "p1_found": p1_distinctive.p1_found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p5_found": p5_survivor.p5_found,
     "p5_survivors": p5_survivor.p5_survivors,
     "p5_golden": p5_survivor.p5_golden,
+    "p7_found": p7_names.p7_found,
+    "p7_entities": p7_names.p7_entities,
     "p8_found": p8_contamination.p8_found,
     "p8_alignments": p8_contamination.p8_alignments,
     "p8_items": p8_contamination.p8_items,
