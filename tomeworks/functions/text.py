@@ -6,7 +6,9 @@ compatibility normalisation and full case folding, which Spark has no built-in f
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
@@ -28,6 +30,16 @@ def fold(col: Column) -> Column:
     return F.when(ascii_only, F.lower(col)).otherwise(_fold(F.when(~ascii_only, col)))
 
 
+def fold_any(col: Column) -> Column:
+    """fold for a computed column, which it reads once: everything goes through Arrow."""
+    return _fold(col)
+
+
+def let(col: Column, use: Callable[[Column], Column]) -> Column:
+    """use(col) with col computed once, however often use refers to it. Python functions can't stand in use."""
+    return F.element_at(F.transform(F.array(col), use), 1)
+
+
 def newlines(col: Column) -> Column:
     """Valid UTF-8 with all line ends as a line feed."""
     return F.regexp_replace(F.make_valid_utf8(col), "\r\n?", "\n")
@@ -85,19 +97,31 @@ def _first_line(lines: Column, mark: str) -> Column:
     return F.array_position(F.transform(lines, lambda x: x.rlike(rf"(?i)\*\*\* {mark} OF")), True)
 
 
-def strip_boilerplate(text: Column) -> Column:
-    """What stands between the first START and the first END line; with one of them, that half; else all."""
-    lines = F.split(text, "\n", -1)
-    start, end = _first_line(lines, "START"), _first_line(lines, "END")
-    n = F.size(lines)
+def _between(lines: Column, found: Column) -> Column:
+    start, end, n = found["start"], found["end"], F.size(lines)
     low = F.when(start > 0, start + 1).otherwise(1).cast("int")
     high = F.when(end > 0, end - 1).otherwise(n).cast("int")
     kept = F.when(high >= low, F.slice(lines, low, F.greatest(high - low + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    return F.when(text.rlike(r"(?i)\*\*\* (START|END) OF"), F.array_join(kept, "\n")).otherwise(text)
+    return F.array_join(kept, "\n")
+
+
+def strip_boilerplate(text: Column) -> Column:
+    """What stands between the first START and the first END line; with one of them, that half; else all."""
+
+    def cut(t: Column) -> Column:
+        def inner(lines: Column) -> Column:
+            marks = F.struct(_first_line(lines, "START").alias("start"), _first_line(lines, "END").alias("end"))
+            return let(marks, lambda m: _between(lines, m))
+
+        return F.when(t.rlike(r"(?i)\*\*\* (START|END) OF"), let(F.split(t, "\n", -1), inner)).otherwise(t)
+
+    return let(text, cut)
 
 
 def document_tokens(text: Column) -> Column:
-    return tokens(strip_boilerplate(newlines(text)))
+    """Tokens of what the markers leave. Folding comes first, as a Python function can't read a computed lambda;
+    it leaves lines and markers as they are (but makes a marker of one typed in full-width signs)."""
+    return F.coalesce(words(strip_boilerplate(fold_any(newlines(text)))), F.array().cast("array<string>"))
 
 
 def squeeze(col: Column) -> Column:
@@ -116,7 +140,7 @@ def sorted_key(col: Column) -> Column:
 
 def phrase_form(col: Column) -> Column:
     """Folded, everything but letters and numbers as one blank."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(fold_any(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
 def phrase_query(raw: Column) -> Column:
@@ -132,8 +156,19 @@ def plain_number(col: Column) -> Column:
     return F.when(digits != "", F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0")))
 
 
-def text_of(value: str) -> str:
-    """fold for one Python string (queries typed at a prompt)."""
-    return unicodedata.normalize("NFKC", value).casefold()
+TOKEN = re.compile(r"[^\W_]+")
+APART = {ord(c): " " for c in "-‐‑‒–—"} | {ord(c): None for c in "'’"}
+
+
+def python_tokens(value: str) -> list[str]:
+    """tokens for one Python string."""
+    folded = value.lower() if value.isascii() else unicodedata.normalize("NFKC", value).casefold()
+    return TOKEN.findall(folded.translate(APART))
 
 
+def python_query_tokens(value: str) -> list[str]:
+    """query_tokens for one Python string."""
+    letters, bases = _accents()
+    table = dict(zip(map(ord, letters), bases, strict=False)) | {ord(c): None for c in letters[len(bases) :]}
+    toks = python_tokens(value)
+    return toks + [a for a in dict.fromkeys(t.translate(table) for t in toks) if a not in toks]

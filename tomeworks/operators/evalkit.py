@@ -80,12 +80,12 @@ def overlap(ranked: DataFrame, queries: DataFrame, k: int = K, pairs: tuple[tupl
 
 
 def score_quantiles(ranked: DataFrame, queries: DataFrame, models: tuple[str, ...] = ("structured", "vsm", "bm25")) -> DataFrame:
-    """Least, quartiles and greatest score by linear interpolation; lists without rows are kept, with nulls."""
+    """Least, quartiles and greatest score by linear interpolation, to eight places (a quartile of six-place scores has no more); lists without rows are kept, with nulls."""
     grid = queries.select("query_nr", F.explode(F.array(*map(F.lit, models))).alias("model"))
     q = F.percentile("score", [0.25, 0.5, 0.75])
     stats = ranked.groupBy(*KEYS).agg(F.count("*").alias("result_count"), F.min("score").alias("min_score"), q.alias("q"), F.max("score").alias("max_score"))
     out = grid.join(stats, [*KEYS], "left").fillna(0, ["result_count"])
-    return out.select(*KEYS, "result_count", *(F.round(c, 6).alias(n) for c, n in ((F.col("min_score"), "min_score"), (F.col("q")[0], "p25"), (F.col("q")[1], "median"), (F.col("q")[2], "p75"), (F.col("max_score"), "max_score"))))
+    return out.select(*KEYS, "result_count", *(F.round(c, 8).alias(n) for c, n in ((F.col("min_score"), "min_score"), (F.col("q")[0], "p25"), (F.col("q")[1], "median"), (F.col("q")[2], "p75"), (F.col("max_score"), "max_score"))))
 
 
 def validate_lists(lines: DataFrame, expected: DataFrame | None = None, most: int = 100) -> DataFrame:

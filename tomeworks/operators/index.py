@@ -7,15 +7,18 @@ norms count both.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeworks.functions import scoring, text
 from tomeworks.operators.skew import shard_join
-from tomeworks.session import materialize
+from tomeworks.session import materialize, spread
 
 
 @dataclass
@@ -38,9 +41,32 @@ def document_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("gutenberg_id", text.document_tokens(F.col("text")).alias("toks")).withColumn("doc_len", F.size("toks"))
 
 
-def term_frequencies(lengths: DataFrame) -> DataFrame:
-    """gutenberg_id, term, tf, doc_len. A document's tokens are in one row, so the map-side sums are the result and little moves."""
-    return lengths.select("gutenberg_id", "doc_len", F.explode("toks").alias("term")).groupBy("gutenberg_id", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
+def counted(docs: DataFrame) -> DataFrame:
+    """gutenberg_id, doc_len, term, tf of docs(gutenberg_id, text); a document without tokens has one row with a null term.
+
+    A document's text is in one row, so its terms are counted where it is read and no shuffle is
+    needed. Folding takes Python anyway; tokens are cut and counted in the same Arrow pass.
+    """
+    source = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select("gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lengths, terms, tfs = [], [], [], []
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                counts = Counter(text.python_tokens(content)) if content else {}
+                n = sum(counts.values())
+                rows += [i] * max(1, len(counts))
+                lengths += [n] * max(1, len(counts))
+                terms += counts or [None]
+                tfs += counts.values() or [None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], ["gutenberg_id", "doc_len", "term", "tf"])
+
+    return source.mapInArrow(run, "gutenberg_id string, doc_len int, term string, tf int")
+
+
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """gutenberg_id, doc_len, term, tf of the documents that have tokens."""
+    return counted(docs).where("term is not null")
 
 
 def alias_postings(tfs: DataFrame) -> DataFrame:
@@ -63,17 +89,13 @@ def document_norms(postings: DataFrame, lexicon: DataFrame, n: int) -> DataFrame
 
 def build(docs: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> Index:
     """Index docs(gutenberg_id, text); postings are written sorted by term, so a lookup reads few row groups."""
-    lengths = document_lengths(docs)
-    tfs = term_frequencies(lengths)
-    every = tfs.unionByName(alias_postings(tfs)).select("term", "gutenberg_id", "tf", "doc_len")
     # The slow tokeniser runs once: what it gives is written before the sort samples it.
-    unsorted = materialize(every, "index-unsorted")
-    postings = materialize(unsorted.repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id"), "index-postings")
+    raw = materialize(counted(docs), "index-counted")
+    tfs = raw.where("term is not null")
+    every = tfs.unionByName(alias_postings(tfs)).select("term", "gutenberg_id", "tf", "doc_len")
+    postings = materialize(every.repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id"), "index-postings")
     lexicon = materialize(lexicon_of(postings), "index-lexicon")
-    # A document without tokens has no postings; its length is 0.
-    found = unsorted.groupBy("gutenberg_id").agg(F.max("doc_len").alias("doc_len"))
-    ids = docs.select("gutenberg_id").distinct()
-    stats = ids.join(found, "gutenberg_id", "left").select("gutenberg_id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
+    stats = raw.groupBy("gutenberg_id").agg(F.max("doc_len").cast("long").alias("doc_len"))
     one = stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl")).first()
     norms = document_norms(postings, lexicon, one["n"])
     docstats = stats.join(norms, "gutenberg_id", "left").withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0)))

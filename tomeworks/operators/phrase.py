@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomeworks.functions import text
 from tomeworks.operators.index import Index
 from tomeworks.operators.rank import bm25, rank, triggered
+from tomeworks.session import materialize, spread
 
 BONUS, RERANKED, SCANNED = 5.0, 5000, 200
 
@@ -16,7 +17,7 @@ def rerank(results: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame
     """The first RERANKED results of each query; those whose raw text holds the phrase gain BONUS. A missing text keeps its score."""
     top = rank(results, RERANKED).join(F.broadcast(phrases), "query_nr")
     wanted = top.select("gutenberg_id").distinct()
-    texts = docs.select("gutenberg_id", "text").join(wanted, "gutenberg_id", "left_semi")
+    texts = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").join(wanted, "gutenberg_id", "left_semi")
     texts = texts.select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("form"))
     joined = top.join(texts, "gutenberg_id", "left")
     gain = F.when(F.col("form").contains(F.col("phrase")), F.col("score") + BONUS).otherwise(F.col("score"))
@@ -25,14 +26,14 @@ def rerank(results: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame
 
 def scan(docs: DataFrame, phrases: DataFrame, most: int = SCANNED) -> DataFrame:
     """The first documents by id, SCANNED at most, whose raw text holds the phrase. Phrases are a small stated set."""
-    texts = docs.select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("form"))
+    texts = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("form"))
     hits = texts.join(F.broadcast(phrases), F.col("form").contains(F.col("phrase"))).select("query_nr", "gutenberg_id", F.lit(BONUS).alias("score"))
     return rank(hits, most).drop("rank")
 
 
 def bm25_with_fallback(index: Index, docs: DataFrame, queries: DataFrame, allow_full_scan: bool = True) -> DataFrame:
     """query_nr, gutenberg_id, score, fallback_used."""
-    results = bm25(index, queries)
+    results = materialize(bm25(index, queries), "bm25")
     state = triggered(index, queries).withColumn("phrase", text.phrase_query(F.col("raw")))
     found = results.select("query_nr").distinct().withColumn("found", F.lit(True))
     state = state.join(found, "query_nr", "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -7,14 +7,18 @@ smaller id as a string. Null and empty queries give no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tomeworks.functions import scoring, text
 from tomeworks.operators.index import Index
+from tomeworks.session import small_or_none, spread
 
 TRIGGER_TERMS, TRIGGER_SHARE = 4, 0.6
+FEW = 1000
 OTHER_SEMICOLONS = "；\u037e︔﹔"  # folding makes semicolons of them, which must not part authors
 
 
@@ -23,9 +27,21 @@ def query_frame(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_nr, term, tf_q, first_pos of each query's tokens and aliases."""
-    toks = queries.select("query_nr", F.posexplode(text.query_tokens(F.col("raw"))).alias("pos", "term"))
-    return toks.groupBy("query_nr", "term").agg(F.count("*").alias("tf_q"), F.min("pos").alias("first_pos"))
+    """query_nr, term, tf_q, first_pos of each query's tokens and aliases.
+
+    Up to FEW queries are cut in the driver, which spares a job and its Python workers; more go the way of texts.
+    """
+    few = small_or_none(queries.select("query_nr", "raw"), FEW)
+    if few is None:
+        toks = queries.select("query_nr", F.posexplode(text.query_tokens(F.col("raw"))).alias("pos", "term"))
+        return toks.groupBy("query_nr", "term").agg(F.count("*").alias("tf_q"), F.min("pos").alias("first_pos"))
+    rows = []
+    for q in few:
+        toks = text.python_query_tokens(q["raw"] or "")
+        counts = Counter(toks)
+        rows += [(q["query_nr"], t, n, toks.index(t)) for t, n in counts.items()]
+    kind = queries.schema["query_nr"].dataType.simpleString()
+    return queries.sparkSession.createDataFrame(rows, f"query_nr {kind}, term string, tf_q long, first_pos int")
 
 
 def terms_in_lexicon(index: Index, queries: DataFrame) -> DataFrame:
@@ -83,7 +99,7 @@ def structured(metadata: DataFrame, queries: DataFrame, include_missing_text: bo
     """
     q = queries.select("query_nr", text.metadata_form(F.col("raw")).alias("q_form"), F.array_distinct(text.query_tokens(F.col("raw"))).alias("q"), text.sorted_key(F.col("raw")).alias("q_key")).where("q_form <> ''")
     author_key = F.transform(F.filter(F.split("author_fold", ";"), lambda a: F.trim(a) != ""), lambda a: F.array_join(F.array_sort(text.words(a)), " "))
-    rows = searchable(metadata).withColumn("author_keys", author_key)
+    rows = searchable(spread(metadata, "gutenberg_id")).withColumn("author_keys", author_key)
     pairs = rows.join(F.broadcast(q), F.col("title_form").contains(F.col("q_form")) | F.arrays_overlap("q", F.concat("title_toks", "author_toks", "other_toks")) | F.array_contains("author_keys", F.col("q_key")))
 
     def shared(c: str) -> Column:

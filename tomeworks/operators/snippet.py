@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,17 +21,18 @@ def best_tokens(index: Index, queries: DataFrame, results: DataFrame) -> DataFra
     return held.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("query_nr", "gutenberg_id", F.col("term").alias("token"))
 
 
-def window(raw: Column, token: Column, size: int = WINDOW) -> tuple[Column, Column]:
-    """Snippet around the token's first place in the folded text, and its line; the first characters if it isn't there."""
-    at = F.instr(text.fold(raw), token) - 1
-    n = F.length(raw)
-    start = F.greatest(F.lit(0), at + F.floor(F.length(token) / 2) - size // 2)
-    end = F.least(n, start + size)
-    start = F.when(end - start < size, F.greatest(F.lit(0), end - size)).otherwise(start)
-    start, end = F.when(at < 0, 0).otherwise(start).cast("int"), F.when(at < 0, F.least(n, F.lit(size))).otherwise(end).cast("int")
-    before = F.substring(raw, F.lit(1), start)
-    line = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    return text.squeeze(F.substring(raw, start + 1, end - start)), F.when(at < 0, 1).otherwise(line)
+def windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Columns raw and token of texts become snippet and start_line: the text around the token's first
+    place in the folded text, and its line; the first characters if it isn't there."""
+    keys = [c for c in texts.columns if c not in ("raw", "token")]
+    n = F.length("raw")
+    placed = texts.select(*keys, "raw", "token", (F.instr(text.fold_any(F.col("raw")), F.col("token")) - 1).alias("at"))
+    first = F.greatest(F.lit(0), F.col("at") + F.floor(F.length("token") / 2) - size // 2)
+    start = F.when(F.col("at") < 0, 0).when(n - first < size, F.greatest(F.lit(0), n - size)).otherwise(first)
+    spans = placed.select(*keys, "raw", "at", start.cast("int").alias("start"))
+    before = F.substring(F.col("raw"), F.lit(1), F.col("start"))
+    line = F.when(F.col("at") < 0, 1).otherwise(1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
+    return spans.select(*keys, text.squeeze(F.substring(F.col("raw"), F.col("start") + 1, F.lit(size))).alias("snippet"), line.cast("string").alias("start_line"))
 
 
 def snippets(index: Index, docs: DataFrame, queries: DataFrame, results: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -41,6 +42,5 @@ def snippets(index: Index, docs: DataFrame, queries: DataFrame, results: DataFra
         absent = metadata.where("has_text = 0").select("gutenberg_id")
         tokens = tokens.join(absent, "gutenberg_id", "left_anti")
     texts = docs.select("gutenberg_id", "text").join(tokens.select("gutenberg_id").distinct(), "gutenberg_id", "left_semi").select("gutenberg_id", text.newlines(F.col("text")).alias("raw"))
-    piece, line = window(F.col("raw"), F.col("token"))
-    cut = tokens.join(texts, "gutenberg_id").select("query_nr", "gutenberg_id", piece.alias("snippet"), line.cast("string").alias("start_line"))
+    cut = windows(tokens.join(texts, "gutenberg_id").select("query_nr", "gutenberg_id", "raw", "token"))
     return results.join(cut, ["query_nr", "gutenberg_id"], "left").fillna("", ["snippet", "start_line"])

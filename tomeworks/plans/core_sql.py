@@ -232,5 +232,5 @@ pj AS (SELECT pg.*, coalesce(a.n, 0) AS result_count_1, coalesce(b.n, 0) AS resu
 SELECT query_nr, model_1, model_2, result_count_1, result_count_2, CAST(len(list_intersect(x, y)) AS INTEGER) AS overlap, CASE WHEN len(x) + len(y) > 0 THEN round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) ELSE 0.0::DOUBLE END AS jaccard FROM pj""",
     "score_quantiles": LISTS
     + f""", qs AS (SELECT query_nr, model, count(*) AS c, min(score) AS a, quantile_cont(score, 0.25) AS b, quantile_cont(score, 0.5) AS d, quantile_cont(score, 0.75) AS e, max(score) AS f FROM lists GROUP BY 1, 2)
-SELECT query_nr, model, coalesce(c, 0) AS result_count, round(a, 6) AS min_score, round(b, 6) AS p25, round(d, 6) AS median, round(e, 6) AS p75, round(f, 6) AS max_score FROM {GRID} LEFT JOIN qs USING (query_nr, model)""",
+SELECT query_nr, model, coalesce(c, 0) AS result_count, round(a, 8) AS min_score, round(b, 8) AS p25, round(d, 8) AS median, round(e, 8) AS p75, round(f, 8) AS max_score FROM {GRID} LEFT JOIN qs USING (query_nr, model)""",
 }

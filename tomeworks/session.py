@@ -55,3 +55,9 @@ def parallelism(spark: SparkSession) -> int:
 def blank(col):
     """True where a string is null or holds nothing but white space."""
     return F.coalesce(F.trim(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " ")), F.lit("")) == ""
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over as many partitions as there are to work on, where it comes in fewer (a small file); large inputs are left as they are."""
+    wanted = max(parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
