@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tomeworks.session import materialize
 
 SPAN = 4
-MIN_SCORE = {"name": 0.5, "label": 0.05}
+MIN_SCORE = {"name": 0.5, "label": 0.05, "label-sign": 0.001}  # commas and and-signs of labels are also judged cell by cell
 PRIOR = 5.0  # cells of the whole field that each source's score is mixed with
 HARD = ";|/\n+"
 BREAK = re.compile(r"[;|/\n+,]|\s+(?:and|&)\s+")
@@ -208,9 +208,10 @@ def stats_of(cell: str, kind: str, known: set[str]) -> list[tuple[str, int, floa
     for t, quoted in _hard_parts(cell, HARD):
         if not quoted:
             for d in (",", "&", " "):
-                found = [x.strip() for x in re.split(SOFT_CUT[d], t) if x.strip()]
-                if len(found) > 1:
-                    out.append((d, len(found), float(all(x in known for x in found))))
+                atoms = soft_atoms(t, d)
+                if len(atoms) > 1:
+                    lengths = label_cut(atoms, known) or [1]
+                    out.append((d, len(lengths), float(len(lengths) > 1)))
     return out
 
 
@@ -266,7 +267,7 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
     size = F.col("cells") + F.lit(PRIOR)
     mean, square = mixed["n"] / size, mixed["nn"] / size
     consistency = 1 / (1 + F.greatest(square - mean * mean, F.lit(0.0)) / (mean * mean))
-    limit = F.when(kinds[F.col("f")] == "name", MIN_SCORE["name"]).otherwise(MIN_SCORE["label"])
+    limit = F.when(kinds[F.col("f")] == "name", MIN_SCORE["name"]).when(F.col("d").isin(",", "&"), MIN_SCORE["label-sign"]).otherwise(MIN_SCORE["label"])
     chosen = scored.withColumn("score", mixed["r"] / size * consistency).where(F.col("score") >= limit)
     chosen = chosen.groupBy(F.col("s").alias("cs"), F.col("f").alias("cf")).agg(F.array_join(F.array_sort(F.collect_set("d")), "").alias("delimiters"))
     todo = todo.join(chosen, todo["s"].eqNullSafe(chosen["cs"]) & (todo["f"] == chosen["cf"]), "left")
