@@ -43,7 +43,7 @@ SPELLINGS = {
     "nl": "nl nld dut dutch nederlands",
     "pt": "pt por portuguese português portugues",
 }
-TRAIN_DOCS, LANDMARKS, UNITS = 150, 384, 12_000
+TRAIN_DOCS, LANDMARKS, UNITS = 150, 384, 6_000
 PARTS = ((1, 64), (2, 1024), (3, 1472), (4, 1536))  # n-gram length, hashed dimensions
 DIMS = sum(d for _, d in PARTS)
 RIDGE, SWITCH, STRETCH = 1e-3, 5.0, 40
