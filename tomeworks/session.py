@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,28 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application; in local mode only where workers would not find it by themselves."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    found = str(root) in (os.environ.get("PYTHONPATH", "") + os.pathsep + os.getcwd()).split(os.pathsep)
+    if sc.master.startswith("local[") and found:
+        return
+    target = Path(tempfile.mkdtemp(prefix="tomeworks-"), "tomeworks.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "tomeworks").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where nothing is set (tests in one process) a temporary folder is made and set.
     """
+    ship(spark)
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tomeworks-")
