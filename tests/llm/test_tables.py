@@ -139,6 +139,8 @@ def test_survivors(spark):
     assert best == {"7": 1, "8": 4, "9": 7, "10": 8, "11": 11}
     facts = {r["_book"]: r["_rows"] for r in p5.group_facts(scored).collect()}
     assert facts == {"7": 3, "8": 2, "9": 1, "10": 2, "11": 2}
+    clashing = spark.createDataFrame(rows, META).withColumns({c: F.lit("x") for c in ("_book", "_trust", "_feed", "_score", "_has_title", "trust")})
+    assert {r["_book"]: r["rec_id"] for r in p5.survivors(p5.ranked(p5.distinct_rows(clashing), feeds)).collect()} == best
     none = p5.ranked(p5.distinct_rows(spark.createDataFrame([], META)), feeds)
     assert p5.survivors(none).count() == 0
 

@@ -21,6 +21,7 @@ from tomeworks.session import blank, table
 # What stands for "not known".
 STAND_INS = ("n/a", "unknown", "none", "null", "-", "?", "[not known]")
 FIELDS = ("title", "authors", "rights")
+USED = ("rec_id", *FIELDS, "feed", "updated_at")
 
 
 def plain_number(col: Column) -> Column:
@@ -39,7 +40,7 @@ def distinct_rows(metadata: DataFrame) -> DataFrame:
     """Rows alike in all columns but rec_id, once, with the smallest rec_id and the plain book number."""
     others = [c for c in metadata.columns if c != "rec_id"]
     once = metadata.groupBy(*others).agg(F.min("rec_id").alias("rec_id"))
-    return once.withColumn("_book", plain_number(F.col("gutenberg_id"))).where(F.col("_book").isNotNull())
+    return once.select(plain_number(F.col("gutenberg_id")).alias("_book"), *USED).where(F.col("_book").isNotNull())
 
 
 def ranked(rows: DataFrame, feeds: DataFrame) -> DataFrame:
