@@ -45,6 +45,8 @@ def test_residuals_against_brute_force(spark):
 
 def test_residuals_of_nothing(spark):
     assert p1.term_scores(spark.createDataFrame([], POSTINGS), spark.createDataFrame([], STATS)).count() == 0
+    unknown = p1.term_scores(spark.createDataFrame([("a", 1, 0, 2, 1)], POSTINGS), spark.createDataFrame([], STATS))
+    assert [tuple(r)[2:] for r in unknown.collect()] == [(2, None, 1, 2, None, None)] and p1.distinctive(unknown).count() == 0
     one = p1.term_scores(spark.createDataFrame([("a", 1, 0, 2, 1)], POSTINGS), spark.createDataFrame([(1, "1", 2, None)], STATS)).first()
     assert one["residual"] is None and one["share"] == 1.0
 

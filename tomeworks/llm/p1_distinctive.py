@@ -30,9 +30,9 @@ def term_scores(postings: DataFrame, docstats: DataFrame) -> DataFrame:
     terms = materialize(cells.groupBy("term").agg(F.count("*").alias("n_records"), F.sum("n").alias("total")), "p1-terms")
     docs = docstats.select("docid", "doc_len").where(F.col("docid").isNotNull()).groupBy("docid").agg(F.max("doc_len").alias("doc_len"))
     size = docs.agg(F.coalesce(F.sum("doc_len"), F.lit(0)).alias("s")).first()["s"]
-    whole = F.lit(float(size))
+    whole = F.lit(float(size) or None).cast("double")
     joined = shard_join(cells, terms, ["term"], ["docid"], "n_records").join(docs, "docid", "left")
-    expected = F.col("doc_len") * F.col("total") / F.nullif(whole, F.lit(0.0))
+    expected = F.col("doc_len") * F.col("total") / whole
     spread = expected * (1 - F.col("doc_len") / whole) * (1 - F.col("total") / whole)
     residual = F.when(spread > 0, (F.col("n") - expected) / F.sqrt(spread))
     share = F.when(F.col("doc_len") > 0, F.col("n") / F.col("doc_len"))
