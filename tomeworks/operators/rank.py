@@ -56,7 +56,7 @@ def triggered(index: Index, queries: DataFrame) -> DataFrame:
     high = index.lexicon.where(F.col("df") / F.lit(max(index.n, 1)) > scoring.HIGH_DF).join(F.broadcast(terms), "term").groupBy("query_nr").agg(F.count("*").alias("n_high"))
     sizes = terms.groupBy("query_nr").agg(F.count("*").alias("n_terms"))
     out = queries.join(sizes, "query_nr", "left").join(high, "query_nr", "left").fillna(0, ["n_terms", "n_high"])
-    many = (F.lit(index.n) > 0) & (F.col("n_terms") >= TRIGGER_TERMS) & (F.col("n_high") / F.col("n_terms") > TRIGGER_SHARE)
+    many = (F.lit(index.n) > 0) & (F.col("n_terms") >= TRIGGER_TERMS) & (F.col("n_high") / F.greatest(F.col("n_terms"), F.lit(1)) > TRIGGER_SHARE)
     return out.select("query_nr", "raw", (F.col("raw").contains('"') | many).alias("fallback"))
 
 
