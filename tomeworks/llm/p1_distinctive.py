@@ -42,7 +42,7 @@ def term_scores(postings: DataFrame, docstats: DataFrame) -> DataFrame:
 def distinctive(scores: DataFrame, min_count: int = 5, min_share: float = 0.03, min_records: int = 2, max_records: int = 15) -> DataFrame:
     """Terms that occur more often than expected, often in the record and in few records."""
     return scores.where(
-        (F.col("residual") > 0) & (F.col("n") >= min_count) & (F.col("n") >= F.lit(min_share) * F.col("doc_len")) & F.col("n_records").between(min_records, max_records)
+        (F.col("residual") > 0) & (F.col("n") >= min_count) & (F.col("share") >= min_share) & F.col("n_records").between(min_records, max_records)
     )
 
 
@@ -71,5 +71,5 @@ v AS (SELECT *, ex * (1 - doc_len / s) * (1 - CAST(total AS DOUBLE) / s) AS spre
 """
 SQL = {
     "p1_scores": P1_SCORES_SQL + "SELECT docid, term, n, n_records, round(CASE WHEN spread > 0 THEN (n - ex) / sqrt(spread) END, 4) AS residual FROM v",
-    "p1_found": P1_SCORES_SQL + "SELECT docid, term FROM v WHERE spread > 0 AND n > ex AND n >= 5 AND n >= 0.03::DOUBLE * doc_len AND n_records BETWEEN 2 AND 15",
+    "p1_found": P1_SCORES_SQL + "SELECT docid, term FROM v WHERE spread > 0 AND n > ex AND n >= 5 AND CAST(n AS DOUBLE) / doc_len >= 0.03::DOUBLE AND n_records BETWEEN 2 AND 15",
 }
