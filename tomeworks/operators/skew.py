@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeworks.session import parallelism
+from tomeworks.session import materialize, parallelism
 
 BUCKETS = 1024
 GRAIN = 0.25
@@ -134,7 +134,8 @@ def term_counts(postings: DataFrame, lexicon: DataFrame, tasks: int | None = Non
     """
     keys = ["term", "block_no"]
     live = live_postings(postings)
-    plan = plan_fragments(live.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", tasks)
+    loads = materialize(live.groupBy(*keys).agg(F.count("*").alias("_n")), "p6-loads")
+    plan = plan_fragments(loads, keys, "_n", tasks)
     rows = plan.fragment(live, ["docid"]).withColumns({"_lex": F.lit(False), "df": F.lit(None).cast("long")})
     terms = lexicon.select("term", F.col("df").cast("long").alias("df"), F.col("block_no").cast(live.schema["block_no"].dataType).alias("block_no")).distinct()
     terms = plan.replicate(terms).withColumns({"_lex": F.lit(True), "docid": F.lit(None).cast(live.schema["docid"].dataType), "passage_no": F.lit(None).cast(live.schema["passage_no"].dataType), "tf": F.lit(None).cast(live.schema["tf"].dataType)})
