@@ -171,6 +171,25 @@ def test_alignment_against_the_plain_recurrence():
         assert longest[i] == max(runs, default=0)
 
 
+def test_edited_copies_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    vocabulary = [a + b + c for a in "bdfgklmnprst" for b in ("ana", "olo", "uri", "eka", "iti") for c in ("", "s", "n", "x")]
+    words = lambda n: rng.choices(vocabulary, k=n)
+    items = [words(rng.randint(18, 48)) for _ in range(12)]
+
+    def edited(passage, every, edit):
+        out = [w for k, w in enumerate(passage) for w in (edit(w) if k % every == every - 1 else [w])]
+        return words(rng.randint(0, 25)) + out + words(rng.randint(0, 25))
+
+    docs = [edited(p, every, edit) for p in items for every, edit in ((8, lambda w: ["zzz"]), (6, lambda w: []), (7, lambda w: [w, "zzz", "yyy"]))]
+    docs += [p[:9] + ["zzz"] * 16 + p[9:] for p in items] + [p[:6] + [x for w in p[6:] for x in (w, "zzz")] for p in items] + [words(60) for _ in range(8)]
+    spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, passage string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    scores = {(d, i): simple_alignment(w, p) for d, w in enumerate(docs) for i, p in enumerate(items)}
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in p8.p8_alignments(spark, str(tmp_path)).collect()}
+    assert found == {k: s for k, s in scores.items() if s >= 10 * p8.MATCH} and len(found) >= 3 * len(items)
+
+
 def test_mixture(spark):
     rng = random.Random(1)
     docs = [(i, "word " * rng.randint(1, 60), [" Big", "big", "MID", "tiny ", None, "other"][i % 6 if i % 6 != 3 or i % 5 == 0 else 0]) for i in range(1500)] + [(2000, None, "mid"), (2001, "", "mid")]

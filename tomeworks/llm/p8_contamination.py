@@ -1,11 +1,14 @@
 """Problem 8: evaluation texts leaking into training text.
 
 Every run of five words of a test item is a seed. One pass over the corpus finds the documents
-that hold any seed and keeps them with their texts; the seeds' document counts over the whole
-corpus come from it. Of each window of RUN words of an item the rarest seed is chosen, so no
-run of RUN shared words is without a chosen seed. Where a chosen seed joins a document to an item,
-a Smith-Waterman alignment of words scores the copy, edited or whole, and the longest run of equal
-consecutive words is measured on the same matrix.
+that hold any seed and keeps them with their texts. Every seed joins a document to its items, so
+an edited copy is found by any five words that the edits left. If only runs of so many equal words
+are sought, the rarest held seed of each such window of an item is enough; the seeds' document
+counts over the whole corpus come from the same pass. Where a seed joins, a Smith-Waterman alignment
+of words scores the copy, edited or whole, and the longest run of equal consecutive words is
+measured on the same matrix. The part of a document that is aligned holds every alignment through
+the seed: left of it a positive score has at most three words of the document to each of the item,
+as two words more cost what one equal word gives, and right of it likewise.
 
 The test items are the stated query set: they go to the tasks in blocks of at most BLOCK items.
 
@@ -28,6 +31,7 @@ from tomeworks.session import materialize, table
 
 SEED, RUN, BLOCK = 5, 12, 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+REACH = 1 - MATCH // max(MISMATCH, GAP)  # words of a document to each word of an item in an alignment of positive score, at most
 CELLS = 1 << 20
 FILTER_BITS = 22
 
@@ -48,15 +52,23 @@ class Items:
         self.item = w.row[self.at] if len(self.at) else np.empty(0, np.int64)
         self.seeds = np.unique(self.gram)
 
-    def chosen(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Seeds that are the rarest of some window of RUN words, as sorted hashes and their places."""
+    def every(self) -> tuple[np.ndarray, np.ndarray]:
+        """All seeds, as sorted hashes and their places."""
+        order = np.argsort(self.gram, kind="stable")
+        return self.gram[order], order
+
+    def chosen(self, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Seeds that are the rarest of some window of run words, as sorted hashes and their places.
+
+        A window with a seed that no document holds is whole in none, so such a seed may stand for it.
+        """
         rank = np.lexsort((self.gram, counts[np.searchsorted(self.seeds, self.gram)])).argsort()
         keep = np.zeros(len(self.gram), bool)
         for i in range(len(self.ids)):
             a, b = np.searchsorted(self.item, [i, i + 1])
             if a == b:
                 continue
-            width = min(RUN - SEED + 1, b - a)
+            width = min(run - SEED + 1, b - a)
             windows = np.lib.stride_tricks.sliding_window_view(rank[a:b], width)
             keep[a + np.arange(len(windows)) + windows.argmin(axis=1)] = True
         place = np.flatnonzero(keep)
@@ -132,7 +144,7 @@ def smith_waterman(windows: list[np.ndarray], passages: list[np.ndarray]) -> tup
 
 
 def align(held: DataFrame, items: Items, seeds: np.ndarray, place: np.ndarray) -> DataFrame:
-    """row_key, item, score, longest of each document and item that a chosen seed joins."""
+    """row_key, item, score, longest of each document and item that one of the seeds joins."""
     schema = f"row_key {held.schema['row_key'].dataType.simpleString()}, item int, score int, longest int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +163,8 @@ def align(held: DataFrame, items: Items, seeds: np.ndarray, place: np.ndarray) -
                 one = place[np.repeat(number, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
                 item, row = items.item[one], w.row[pos]
                 size, within = np.diff(items.start)[item], items.at[one] - items.start[item]
-                slack = size // 4 + 2
-                low = np.maximum(pos - within - slack, bounds[row])
-                high = np.minimum(pos - within + size + slack, bounds[row + 1])
+                low = np.maximum(pos - REACH * within, bounds[row])
+                high = np.minimum(pos + REACH * (size - within), bounds[row + 1])
                 order = np.lexsort((low, item, row))
                 row, item, low, high = row[order], item[order], low[order], high[order]
                 group = row * len(items.ids) + item
@@ -175,10 +186,11 @@ def align(held: DataFrame, items: Items, seeds: np.ndarray, place: np.ndarray) -
     return held.select("row_key", "row_text").mapInArrow(run, schema)
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", block: int = BLOCK) -> DataFrame:
-    """key, item_key, item_words, score, share, longest of each pair of document and item joined by a rare seed.
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", block: int = BLOCK, run: int | None = None) -> DataFrame:
+    """key, item_key, item_words, score, share, longest of each pair of document and item joined by a seed.
 
     share: the score against that of a whole copy. longest: equal consecutive words.
+    run: if only pairs of so many equal consecutive words are needed (SEED at least); others may be left out.
     """
     spark = documents.sparkSession
     queries = items.select(F.col(item_key).alias("q"), F.col(passage).alias("p")).where(F.col("q").isNotNull()).distinct()
@@ -190,10 +202,13 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         if not len(mine.seeds):
             continue
         held = materialize(with_seeds(documents, key, text, mine.seeds), "p8-held")
-        counts = np.zeros(len(mine.seeds), np.int64)
-        for r in held.select(F.explode("seeds").alias("s")).groupBy("s").count().collect():
-            counts[r["s"]] = r["count"]
-        found = align(held, mine, *mine.chosen(counts))
+        if run is None:
+            found = align(held, mine, *mine.every())
+        else:
+            counts = np.zeros(len(mine.seeds), np.int64)
+            for r in held.select(F.explode("seeds").alias("s")).groupBy("s").count().collect():
+                counts[r["s"]] = r["count"]
+            found = align(held, mine, *mine.chosen(counts, run))
         size = np.diff(mine.start)
         names = spark.createDataFrame([(i, q, int(size[i])) for i, q in enumerate(mine.ids)], f"item int, {item_key} {items.schema[item_key].dataType.simpleString()}, item_words int")
         found = found.join(F.broadcast(names), "item").drop("item")
@@ -206,12 +221,12 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least RUN consecutive words of an item's passage."""
-    pairs = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    pairs = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), run=RUN)
     return pairs.where(F.col("longest") >= RUN).select("doc_id", "item_id")
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole and edited copies: pairs whose alignment has the score of at least ten equal words."""
+    """Whole and edited copies: pairs with five equal words in a row whose alignment has the score of at least ten equal words."""
     pairs = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return pairs.where(F.col("score") >= 10 * MATCH).withColumn("share", F.round("share", 6))
 
