@@ -108,6 +108,20 @@ def test_bands_meet_the_curve():
     assert 1 - (1 - p7.JACCARD**p7.ROWS) ** p7.bands() >= p7.RECALL > 1 - (1 - p7.JACCARD**p7.ROWS) ** (p7.bands() - 1)
 
 
+def slipped(rng, word):
+    k, c = rng.randrange(len(word) - 1), rng.choice("aeklnrst")
+    return rng.choice((word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + word[k + 1 :], word[:k] + c + word[k:], word[:k] + c + word[k + 1 :]))
+
+
+def test_short_family_names_against_brute_force(spark):
+    rng = random.Random(6)
+    names = {"".join(rng.choices("abdeiklmnorstu", k=rng.choice((4, 5, 6, 7, 23, 24, 25, 26)))) for _ in range(160)}
+    names = sorted(names | {slipped(rng, n) for n in sorted(names) for _ in range(3)})
+    keys = spark.createDataFrame([(n, i) for n in names for i in "ab"[: 1 + len(n) % 2]], "family string, initial string")
+    found = {(r["fa"], r["fb"]) for r in p7.family_pairs(keys).where("initial = 'a'").collect()}
+    assert {(a, b) for a in names for b in names if a < b and p7.family_like(a, b)} <= found
+
+
 @pytest.mark.parametrize("a,b,like", [("abcd", "abcd", True), ("abcd", "abd", True), ("abcd", "acbd", True), ("abcd", "abxd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("abcd", "ab", False), ("frank", "frnka", False)])
 def test_slips(a, b, like):
     assert p7.slip(a, b) == p7.slip(b, a) == like
