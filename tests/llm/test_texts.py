@@ -122,6 +122,17 @@ def test_short_family_names_against_brute_force(spark):
     assert {(a, b) for a in names for b in names if a < b and p7.family_like(a, b)} <= found
 
 
+def test_slips_in_first_letters_against_brute_force(spark):
+    given = "catherine katherine kitty kate atherine acthine frederick rfederick drederick rederick xfrederick freddie f. edward dward ned bred margaret peggy nargaret".split()
+    people = p7.parsed(spark.createDataFrame([(f"tavekex, {g}",) for g in given] + [(f"tavekxe, {g} hale",) for g in given], "name string"))
+    found = {(r["a"], r["b"]) for r in p7.links(people).collect()}
+    rows = sorted((r["name"], r["family"], list(r["given"])) for r in people.collect())
+    common = p7.common_given(people)
+    likeness = lambda x, y: (p7.family_like(x[1], y[1]) + p7.monge_elkan(x[2], y[2], common)) / 2
+    assert found == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and p7.monge_elkan(x[2], y[2], common) and likeness(x, y) >= p7.THRESHOLD}
+    assert ("tavekex, frederick", "tavekex, rfederick") in found and ("tavekex, katherine", "tavekex, kitty") in found
+
+
 @pytest.mark.parametrize("a,b,like", [("abcd", "abcd", True), ("abcd", "abd", True), ("abcd", "acbd", True), ("abcd", "abxd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("abcd", "ab", False), ("frank", "frnka", False)])
 def test_slips(a, b, like):
     assert p7.slip(a, b) == p7.slip(b, a) == like
