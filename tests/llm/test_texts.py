@@ -59,6 +59,18 @@ def test_languages(spark, corpus):
     assert all(0.5 < r["confidence"] <= 1 for r in got[900])
 
 
+def test_short_sentences_count_to_their_stretch(spark, corpus):
+    docs = spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string")
+    model = p4.fit_sample(docs, "doc_id", "text", "lang", per_language=20)
+    rng = random.Random(3)
+    nine = lambda lang: " ".join(rng.choices(VOCABULARY[lang], k=9)).capitalize() + "."
+    french = f"{nine('fr')} Enfants! {nine('fr')} Le pont.\n\nCHAPITRE II\n\n{nine('fr')} {nine('fr')} Chaque."
+    texts = [(1, f"{sentences(rng, 'en', 6)} {french} {sentences(rng, 'en', 6)}"), (2, french), (3, "Enfants! Le pont.")]
+    got = p4.stretches(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", model).where("lang = 'fr'").collect()
+    assert {r["row_key"]: r["n_words"] for r in got} == {1: 40, 2: 40} and all(r["confidence"] <= 1 for r in got)
+    assert all(dict(texts)[r["row_key"]][r["start_char"] : r["end_char"]].strip() == french for r in got)
+
+
 def test_no_labels_no_model(spark):
     docs = spark.createDataFrame([(1, "the text", None)], "doc_id long, text string, lang string")
     model = p4.fit_sample(docs, "doc_id", "text", "lang")

@@ -8,7 +8,8 @@ product of presence vectors, map and weights fold into one matrix, and batches o
 times that matrix score all units. The rest of the data is read in full by one pass.
 
 Each document's units (sentences of the running text) get the best path of languages under a
-penalty for each change, so stretches in another language come out with their limits.
+penalty for each change, so stretches in another language come out with their limits. Sentences of
+a word or two have no part in the path; their words count to the stretch they stand in.
 
 Defined results: a null or empty text, or one without running text, has no stretch and the language
 null with confidence 0; repeated rows come out repeated; an empty table, or one without usable
@@ -110,11 +111,16 @@ def _bodies(t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units(t: C.Texts) -> Units:
-    """Sentences of the running text, of rows in order; headings and lines of a word or two are left out."""
+    """Sentences of the running text, of rows in order; headings and sentences of a word or two are left out."""
+    return long_and_short(t)[0]
+
+
+def long_and_short(t: C.Texts) -> tuple[Units, Units]:
+    """The sentences of units(), and those too short to be scored."""
     cp = t.cp
     none = np.empty(0, np.int64)
     if not len(cp):
-        return Units(none, none, none, none)
+        return Units(none, none, none, none), Units(none, none, none, none)
     blank = (cp == 32) | (cp == 10) | (cp == 13) | (cp == 9) | (cp == 160)
     low, high = _bodies(t)
     edge = np.zeros(len(cp) + 1, np.int32)
@@ -140,7 +146,19 @@ def units(t: C.Texts) -> Units:
     letters = np.add.reduceat((symbols()[cp] > 0).astype(np.int64), start)
     keep = inside[start] & (count >= 3) & (letters >= 2 * count)
     row = np.searchsorted(t.off, start, side="right") - 1
-    return Units(row[keep], start[keep], end[keep], count[keep])
+    short = inside[start] & ~keep & (letters > 0) & stop[end - 1]
+    return Units(row[keep], start[keep], end[keep], count[keep]), Units(row[short], start[short], end[short], count[short])
+
+
+def around(u: Units, path: np.ndarray, short: Units, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which short sentences have a unit beside them in their row, and the unit each goes with: of two languages, that of its better score."""
+    after = np.searchsorted(u.start, short.start)
+    before, next_ = np.maximum(after - 1, 0), np.minimum(after, len(u.row) - 1)
+    has_before, has_after = (after > 0) & (u.row[before] == short.row), (after < len(u.row)) & (u.row[next_] == short.row)
+    own = np.arange(len(after))
+    forward = has_after & (~has_before | (score[own, path[next_]] > score[own, path[before]]))
+    which = np.flatnonzero(has_before | has_after)
+    return which, np.where(forward, next_, before)[which]
 
 
 def presence(t: C.Texts, u: Units) -> Iterator[np.ndarray]:
@@ -281,7 +299,7 @@ def stretches(documents: DataFrame, key: str, text: str, model: Model | None) ->
         for batch in batches:
             for part in C.slices(batch, "row_text"):
                 t = C.from_arrow(part.column(1))
-                u = units(t)
+                u, short = long_and_short(t)
                 if not len(u.row):
                     continue
                 score = scores(t, u, model.matrix)
@@ -292,12 +310,18 @@ def stretches(documents: DataFrame, key: str, text: str, model: Model | None) ->
                 fresh[1:] = (path[1:] != path[:-1]) | (u.row[1:] != u.row[:-1])
                 first = np.flatnonzero(fresh)
                 last = np.append(first[1:], len(path)) - 1
-                n = np.add.reduceat(u.words, first)
+                scored = np.add.reduceat(u.words, first)
+                n, start, end = scored.copy(), u.start[first], u.end[last]
+                which, beside = around(u, path, short, scores(t, short, model.matrix))
+                stretch = np.cumsum(fresh)[beside] - 1
+                np.add.at(n, stretch, short.words[which])
+                np.minimum.at(start, stretch, short.start[which])
+                np.maximum.at(end, stretch, short.end[which])
                 row = u.row[first]
                 number = np.arange(len(first)) - np.searchsorted(row, row)
                 columns = [
-                    part.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(u.start[first] - t.off[row]), pa.array(u.end[last] - t.off[row]),
-                    languages.take(pa.array(path[first])), pa.array(n), pa.array(np.add.reduceat(sure * u.words, first) / n),
+                    part.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start - t.off[row]), pa.array(end - t.off[row]),
+                    languages.take(pa.array(path[first])), pa.array(n), pa.array(np.add.reduceat(sure * u.words, first) / scored),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
