@@ -59,6 +59,17 @@ def test_labels(values):
         assert list(out[1000 + i, "bookshelf"].values()) == wanted
 
 
+def test_labels_of_many_atoms(spark):
+    shelves = ["Law", "Poetry", "Tales of the Old Northern Sea", "Birds, Beasts, Fish, Trees and Flowers"]
+    cells = {f"{a} {b}": [a, b] for a in shelves[:3] for b in shelves[:3] if a != b} | {f"{shelves[3]}; {a}": [shelves[3], a] for a in shelves[:2]}
+    rows = [(i, s) for i, s in enumerate(shelves * 5)] + [(100 + i, c) for i, c in enumerate(cells)]
+    df = spark.createDataFrame(rows, "rec_id long, bookshelf string").withColumn("feed", F.lit("f"))
+    out = defaultdict(dict)
+    for r in packed.split_packed(df, "rec_id", "feed", {"bookshelf": "label"}).collect():
+        out[r["rec_id"]][r["pos"]] = r["value"]
+    assert [list(dict(sorted(out[100 + i].items())).values()) for i in range(len(cells))] == list(cells.values())
+
+
 def test_very_long_cell(spark):
     names = [f"Last{i}, First" for i in range(5000)]
     df = spark.createDataFrame([(1, "f", "; ".join(names))], "rec_id long, feed string, authors string")

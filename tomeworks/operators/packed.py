@@ -5,7 +5,7 @@ quotes; each candidate is scored per source and field by how regular the pieces
 (a value known from cells of its own, or of the form of a name) and how consistent their count is.
 Candidates below MIN_SCORE are not used in that source. With the others, names are put together by
 their form ("Last, First, Title", "First Last", houses), labels by the cut into most pieces that
-are all known from cells of their own (of up to SPAN atoms).
+are all known from cells of their own.
 
 Defined results: null and blank cells and stand-ins for "not known" have no values; empty pieces
 are no values and take no position; quotes and brackets around a value or list are removed, all
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tomeworks.session import materialize
 
-SPAN = 4
 MIN_SCORE = {"name": 0.5, "label": 0.05, "label-sign": 0.001}  # commas and and-signs of labels are also judged cell by cell
 PRIOR = 5.0  # cells of the whole field that each source's score is mixed with
 HARD = ";|/\n+"
@@ -153,10 +152,13 @@ def label_cut(atoms: list[str], known: set[str]) -> list[int] | None:
     is that of its atoms and the delimiters between them, which stand at odd places. None if there is no such cut."""
     n = (len(atoms) + 1) // 2
     best: list[tuple[int, int] | None] = [(0, 0)] + [None] * n
+    longest = max(map(len, known), default=0)
     for end in range(1, n + 1):
-        for size in range(1, min(SPAN, end) + 1):
-            start = best[end - size]
-            if start is not None and "".join(atoms[2 * (end - size) : 2 * end - 1]).strip() in known and (best[end] is None or start[0] + 1 > best[end][0]):
+        for size in range(1, end + 1):
+            start, span = best[end - size], "".join(atoms[2 * (end - size) : 2 * end - 1]).strip()
+            if len(span) > longest:
+                break
+            if start is not None and span in known and (best[end] is None or start[0] + 1 > best[end][0]):
                 best[end] = (start[0] + 1, size)
     if best[n] is None:
         return None
@@ -176,9 +178,9 @@ def soft_atoms(text: str, delimiters: str) -> list[str]:
     return re.split("(" + "|".join(chosen) + ")", text) if chosen else [text]
 
 
-def spans_of(atoms: list[str]) -> set[str]:
+def spans_of(atoms: list[str], limit: int) -> set[str]:
     n = (len(atoms) + 1) // 2
-    return {"".join(atoms[2 * i : 2 * (i + size) - 1]).strip() for i in range(n) for size in range(1, min(SPAN, n - i) + 1)}
+    return {"".join(atoms[2 * i : 2 * (i + size) - 1]).strip() for i in range(n) for size in range(1, min(limit, n - i) + 1)}
 
 
 def _hard_parts(cell: str, hard: str) -> list[tuple[str, bool]]:
@@ -244,10 +246,12 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
     packed = F.col("t").rlike(r"[;|/\n+,\"\[]|^'|\s(and|&)\s") | ((F.col("kind") == "label") & F.col("t").rlike(r"\s"))
     alone = cells.where((F.col("kind") == "label") & ~F.col("t").rlike(r"[;|/\n+\"\[]|^'")).select("f", F.col("t").alias("span")).distinct()
     todo = cells.where(packed)
+    n_atoms = F.size(F.split("span", "(?U)" + "|".join(SOFT_CUT.values())))
+    limits = {r["f"]: r["n"] for r in alone.groupBy("f").agg(F.max(n_atoms).alias("n")).collect()}  # of the longest label of each field
 
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            rows = [(k, f, s) for k, f, c in zip(x["k"], x["f"], x["t"], strict=True) for t, _ in _hard_parts(c, HARD) for s in spans_of(soft_atoms(t, ",&")) | spans_of(soft_atoms(t, ",& "))]
+            rows = [(k, f, s) for k, f, c in zip(x["k"], x["f"], x["t"], strict=True) for t, _ in _hard_parts(c, HARD) for s in spans_of(soft_atoms(t, ",&"), limits.get(f, 0)) | spans_of(soft_atoms(t, ",& "), limits.get(f, 0))]
             yield pd.DataFrame(rows, columns=["k", "f", "span"])
 
     wanted = todo.where("kind = 'label'").select("k", "f", "t").mapInPandas(spans, f"k {key_type}, f string, span string").distinct()
