@@ -118,6 +118,37 @@ def test_words():
     assert len(marked.hash) == 5
 
 
+def n_words(*texts, markup=True):
+    w = C.words(C.fold_table().apply(C.level(C.from_arrow(pa.array(texts)))[0]), markup=markup)
+    return np.bincount(w.row, minlength=len(texts)).tolist()
+
+
+def test_markup_of_any_length_and_kind():
+    tags = [f'<span class="{"x" * 90}">', '<span\nclass="y">', '<a title="é">', "</i>", "<!-- note -->", "[1]", "[1234567]", "{12345678901}"]
+    assert n_words(*(f"one {t} two" for t in tags)) == [2] * len(tags)
+    assert n_words("one < two > three", "one [x] two", "one <b two", "one [12", "] two <b", "c> three") == [3, 3, 3, 2, 2, 2]
+
+
+def test_words_split_at_a_line_end_before_any_number_of_blanks():
+    assert n_words("wo-\n" + " " * 40 + "rd", "wo-" + " " * 30 + "\r\n\n\trd", "wo-" + " " * 30 + "rd", "wo-\n-rd", "wo-\n") == [1, 1, 2, 2, 1]
+
+
+def test_letters_and_signs_of_all_planes():
+    assert n_words("\U00030001\U00030002 \U00031350") == [2]
+    plain, odd = C.level(C.from_arrow(pa.array(["ab\U000e0041c", "a\U000e0101b", "ʙird ᴡood", "Bօօk", "Ꭰonald", "ꓐook", "Ⲣoem", "Հայաստան"])))
+    assert C.to_arrow(plain).to_pylist() == ["abc", "ab", "Bird Wood", "Book", "Donald", "Book", "Poem", "Հայաստան"]
+    assert odd.tolist() == [True] * 7 + [False]
+
+
+def test_blocks_do_not_change_words(monkeypatch):
+    texts = ["it's a well-\n   known <b>day</b> ﬁnd [12] ab’c " * 5, "", "x" * 300, "a b", "-", "e" * 40 + " y"]
+    make = lambda: [c.tolist() for c in C.words(C.fold_table().apply(C.level(C.from_arrow(pa.array(texts)))[0]), markup=True)]
+    whole = make()
+    for size in (1, 7, 64):
+        monkeypatch.setattr(C, "BLOCK", size)
+        assert make() == whole
+
+
 META = "rec_id long, gutenberg_id string, title string, authors string, language string, bookshelf string, rights string, has_text int, feed string, updated_at timestamp, loaded_at timestamp"
 
 

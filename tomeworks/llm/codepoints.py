@@ -6,6 +6,7 @@ whole array; no string function is called for a single row.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -16,13 +17,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LIMIT = 0x110000
-SCANNED = 0x30000  # all assigned letters and signs lie below; beyond are tags and private use
+BLOCK = 1 << 20  # characters worked on at once where a step needs several numbers for each
 LATIN, CYRILLIC, GREEK, OTHER = 1, 2, 3, 4
 
 # Letters of one script that look like letters of another.
 CYRILLIC_AS_LATIN = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјкорсухһԁԛԝӏЁЇёї", "ABESIJKMHOPCTXYaesijkopcyxhdqwlËÏëï", strict=True))
 GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγηικνορυχϲάίό", "ABEZHIKMNOPTYXaynikvopuxcáíó", strict=True))
 GREEK_AS_CYRILLIC = dict(zip("ΑΒΓΕΗΚΜΟΠΡΤΦΧοραχ", "АВГЕНКМОПРТФХорах", strict=True))
+ARMENIAN_AS_LATIN = dict(zip("ՕՏԼՍաոսհցզյօ", "OSLUwnuhgqjo", strict=True))
+CHEROKEE_AS_LATIN = dict(zip("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGhZbRWSVSLCPKdGB", strict=True))
+LISU_AS_LATIN = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+COPTIC_AS_LATIN = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲓⲟⲣⲥⲭ", "HIKMNOPCTYXiopcx", strict=True))
+LATIN_AS_LATIN = dict(zip("ɑɡɩꞮꟾ", "agiII", strict=True))
 
 # Signs that are written in many ways and are left as they are.
 KEPT_SIGNS = "'\"`´‘’‚‛“”„‟‹›«»ʼ′″…"
@@ -37,6 +43,19 @@ class Texts(NamedTuple):
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
 
+def sums_between(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums of values from each offset to the next."""
+    out = np.zeros(len(off) - 1, np.int64)
+    filled = np.flatnonzero(np.diff(off))
+    if len(filled):
+        out[filled] = np.add.reduceat(values, off[filled], dtype=np.int64)
+    return out
+
+
+def offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+
+
 def from_arrow(column: pa.Array | pa.ChunkedArray) -> Texts:
     """Code points of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -46,28 +65,27 @@ def from_arrow(column: pa.Array | pa.ChunkedArray) -> Texts:
         column = column.fill_null("")
     if not len(column):
         return Texts(np.empty(0, np.uint32), np.zeros(1, np.int64))
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = bytes(memoryview(data)[at[0] : at[-1]]) if data is not None else b""
     cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     first = np.frombuffer(raw, np.uint8)
-    count = np.concatenate(([0], np.cumsum((first & 0xC0) != 0x80)))
-    return Texts(cp, count[at - at[0]])
+    return Texts(cp, offsets(sums_between((first & 0xC0) != 0x80, at - at[0])))
 
 
 def to_arrow(t: Texts, null_mask: np.ndarray | None = None) -> pa.Array:
     raw = t.cp.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-    width = 1 + (t.cp >= 0x80).astype(np.int64) + (t.cp >= 0x800) + (t.cp >= 0x10000)
-    at = np.concatenate(([0], np.cumsum(width)))[t.off]
+    width = 1 + (t.cp >= 0x80).astype(np.uint8) + (t.cp >= 0x800) + (t.cp >= 0x10000)
+    at = offsets(sums_between(width, t.off))
     out = pa.LargeStringArray.from_buffers(len(t.off) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(raw))
     if null_mask is not None and null_mask.any():
         out = pc.if_else(pa.array(~null_mask), out, pa.scalar(None, pa.large_string()))
     return out.cast(pa.string())
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have about so many bytes; a longer text makes a run of its own."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, *columns: str, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts in the columns have about so many bytes; a longer row makes a run of its own."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     total = np.cumsum(size)
     start = 0
     while start < len(size):
@@ -100,27 +118,44 @@ class Table(NamedTuple):
         n = self.count[t.cp]
         if (n == 1).all():
             return Texts(self.single[t.cp], t.off)
-        end = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        source = np.repeat(np.arange(len(t.cp)), n)
-        cp = t.cp[source]
+        parts = [self._expanded(t.cp[k : k + BLOCK], n[k : k + BLOCK]) for k in range(0, len(n), BLOCK)]
+        return Texts(np.concatenate(parts), offsets(sums_between(n, t.off)))
+
+    def _expanded(self, cp: np.ndarray, n: np.ndarray) -> np.ndarray:
+        end = offsets(n)
+        source = np.repeat(np.arange(len(cp)), n)
+        cp = cp[source]
         many = np.flatnonzero(n[source] > 1)
         out = self.single[cp]
         out[many] = self.data[self.start[cp[many]] + (many - end[source[many]])]
-        return Texts(out, end[t.off])
+        return out
 
 
 def _kept(ch: str) -> bool:
     return ch in KEPT_SIGNS or unicodedata.category(ch) in ("Pd", "Pi", "Pf")
 
 
-def _assigned() -> Iterator[tuple[int, str]]:
-    for c in range(0x80, SCANNED):
-        if not 0xD800 <= c < 0xE000:
-            yield c, chr(c)
+@cache
+def assigned() -> list[tuple[int, str, str]]:
+    """Number, character and category of every code point that has a meaning of its own, of the whole range."""
+    return [(c, ch, kind) for c in range(LIMIT) if (kind := unicodedata.category(ch := chr(c))) not in ("Cn", "Co", "Cs")]
+
+
+def _marks_and_signs() -> Iterator[tuple[int, str, str]]:
+    """Those beyond ASCII."""
+    return ((c, ch, kind) for c, ch, kind in assigned() if c >= 0x80)
 
 
-def _invisible(ch: str) -> bool:
-    return unicodedata.category(ch) == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or ord(ch) in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0)
+def _invisible(c: int, kind: str) -> bool:
+    return kind == "Cf" or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF or c in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0)
+
+
+def _small_capital(ch: str) -> str | None:
+    """The capital that a small capital looks like, by its name."""
+    if ord(ch) < 0x250:
+        return None
+    found = re.fullmatch(r"LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(ch, ""))
+    return found and found.group(1)
 
 
 @cache
@@ -128,13 +163,15 @@ def plain_table() -> tuple[Table, np.ndarray]:
     """The plain form of each code point, and which ones differ from the sign they look like."""
     mapping: dict[int, str] = {}
     odd = np.zeros(LIMIT, bool)
-    for c, ch in _assigned():
+    for c, ch, kind in _marks_and_signs():
         if _kept(ch):
             continue
-        if _invisible(ch):
+        if _invisible(c, kind):
             mapping[c], odd[c] = "", True
-        elif unicodedata.category(ch) == "Zs":
+        elif kind == "Zs":
             mapping[c], odd[c] = " ", True
+        elif twin := _small_capital(ch) or LATIN_AS_LATIN.get(ch):
+            mapping[c], odd[c] = twin, True
         elif (d := unicodedata.decomposition(ch)) and (plain := unicodedata.normalize("NFKC", ch)) != ch:
             mapping[c] = plain
             odd[c] = not d.startswith(("<super>", "<sub>", "<fraction>"))
@@ -147,10 +184,7 @@ def fold_table() -> Table:
     """Plain form with case folded, for comparing words."""
     table, _ = plain_table()
     mapping = {}
-    for c in range(SCANNED):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
+    for c, ch, _ in assigned():
         plain = "".join(map(chr, table.data[table.start[c] : table.start[c] + table.count[c]])) if table.count[c] != 1 else chr(table.single[c])
         folded = unicodedata.normalize("NFC", plain.casefold())
         if folded != ch:
@@ -161,8 +195,9 @@ def fold_table() -> Table:
 @cache
 def combining() -> np.ndarray:
     out = np.zeros(LIMIT, np.uint8)
-    for c, ch in _assigned():
-        out[c] = unicodedata.combining(ch)
+    for c, ch, kind in assigned():
+        if kind[0] == "M":
+            out[c] = unicodedata.combining(ch)
     return out
 
 
@@ -170,7 +205,7 @@ def combining() -> np.ndarray:
 def pairs() -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys base << 21 | mark and the composed code points."""
     found = {}
-    for c, ch in _assigned():
+    for c, ch, _ in _marks_and_signs():
         d = unicodedata.decomposition(ch)
         if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", ch) == ch:
             base, mark = (int(x, 16) for x in d.split())
@@ -187,11 +222,11 @@ def compose(t: Texts) -> Texts:
     ccc = combining()[t.cp]
     if not ccc.any():
         return t
-    cp, row = t.cp.copy(), t.rows
-    mark = ccc > 0
-    at = np.flatnonzero(mark)
+    cp = t.cp.copy()
+    at = np.flatnonzero(ccc)
+    row = np.searchsorted(t.off, at, side="right") - 1
     fresh = np.ones(len(at), bool)
-    fresh[1:] = (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])
+    fresh[1:] = (np.diff(at) > 1) | (row[1:] != row[:-1])
     run = np.cumsum(fresh) - 1
     order = np.lexsort((np.arange(len(at)), ccc[at], run))
     cp[at] = cp[at[order]]
@@ -199,7 +234,7 @@ def compose(t: Texts) -> Texts:
     ccc[at] = ccc[at[order]]
     first = at[fresh]
     base = first - 1
-    usable = (base >= 0) & (row[np.maximum(base, 0)] == row[first])
+    usable = base >= t.off[row[fresh]]
     place = np.arange(len(at)) - np.flatnonzero(fresh)[run]
     last = np.zeros(len(first), np.int64)
     keep = np.ones(len(cp), bool)
@@ -213,19 +248,15 @@ def compose(t: Texts) -> Texts:
         cp[base[r[hit]]] = made[i[hit]]
         keep[pos[hit]] = False
         last[r[~hit]] = ccc[pos[~hit]]
-    end = np.concatenate(([0], np.cumsum(keep)))
-    return Texts(cp[keep], end[t.off])
+    return Texts(cp[keep], t.off - np.searchsorted(np.flatnonzero(~keep), t.off))
 
 
 @cache
 def scripts() -> tuple[np.ndarray, np.ndarray]:
     """The script of each letter; and for each target script what a letter of another looks like there (0: nothing)."""
     script = np.zeros(LIMIT, np.uint8)
-    for c in range(0x41, SCANNED):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        if unicodedata.category(ch)[0] == "L" and ch not in "ªº":
+    for c, ch, kind in assigned():
+        if kind[0] == "L" and ch not in "ªº":
             name = unicodedata.name(ch, "")
             script[c] = LATIN if "LATIN" in name else CYRILLIC if name.startswith("CYRILLIC") else GREEK if name.startswith("GREEK") else OTHER
     alike = np.zeros((5, LIMIT), np.uint32)
@@ -233,6 +264,9 @@ def scripts() -> tuple[np.ndarray, np.ndarray]:
         for x, y in table.items():
             alike[b][ord(x)] = ord(y)
             alike[a][ord(y)] = alike[a][ord(y)] or ord(x)
+    for table in (ARMENIAN_AS_LATIN, CHEROKEE_AS_LATIN, LISU_AS_LATIN, COPTIC_AS_LATIN):
+        for x, y in table.items():
+            alike[LATIN][ord(x)] = ord(y)
     return script, alike
 
 
@@ -286,6 +320,8 @@ def one_script(t: Texts) -> tuple[Texts, np.ndarray]:
 
 
 def take(t: Texts, rows: np.ndarray) -> Texts:
+    if len(rows) == len(t.off) - 1:
+        return t
     length = np.diff(t.off)[rows]
     off = np.concatenate(([0], np.cumsum(length)))
     return Texts(t.cp[np.repeat(t.off[rows] - off[:-1], length) + np.arange(off[-1])], off)
@@ -293,6 +329,8 @@ def take(t: Texts, rows: np.ndarray) -> Texts:
 
 def put(t: Texts, rows: np.ndarray, new: Texts) -> Texts:
     """t with the given rows replaced by the rows of new."""
+    if len(rows) == len(t.off) - 1:
+        return new
     length, start = np.diff(t.off), t.off[:-1].copy()
     length[rows], start[rows] = np.diff(new.off), len(t.cp) + new.off[:-1]
     off = np.concatenate(([0], np.cumsum(length)))
@@ -339,23 +377,26 @@ ODD1, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 @cache
 def classes() -> np.ndarray:
     out = np.zeros(LIMIT, np.uint8)
-    for c in range(SCANNED):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        kind = unicodedata.category(ch)
+    for c, ch, kind in assigned():
         if kind[0] in "LN" or kind in ("Mn", "Mc"):
             out[c] = WORD
         elif ch in "'’‘ʼ":
             out[c] = DROPPED
         elif ch in "-‐‑":
             out[c] = HYPHEN
-        elif ch in " \t\r\n":
+        elif ch.isspace():
             out[c] = BLANK
     out[0xAD] = HYPHEN
     return out
 
 
+@cache
+def line_ends() -> np.ndarray:
+    out = np.zeros(LIMIT, bool)
+    out[[ord(c) for c in "\n\r\v\f\x85\u2028\u2029"]] = True
+    return out
+
+
 class Words(NamedTuple):
     hash: np.ndarray  # uint64 per word
     row: np.ndarray  # row of each word, ascending
@@ -371,90 +412,107 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _spanned(cp: np.ndarray, opening: int, closing: int, inner: np.ndarray, reach: int) -> np.ndarray:
-    """Mask of spans from opening to closing with only inner characters between, at least one."""
-    out = np.zeros(len(cp) + 1, np.int32)
-    start = np.flatnonzero(cp == opening)
-    live, at = start, start + 1
-    for step in range(reach):
-        ok = at < len(cp)
-        live, at = live[ok], at[ok]
-        done = (cp[at] == closing) & (step > 0)
-        out[live[done]] += 1
-        out[at[done] + 1] -= 1
-        go = ~done & inner[cp[at]]
-        live, at = live[go], at[go] + 1
-        if not len(live):
-            break
-    return np.cumsum(out[:-1]) > 0
+def _filled(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """True from each start to its end."""
+    edge = np.zeros(size + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
-@cache
-def _digits() -> np.ndarray:
-    out = np.zeros(LIMIT, bool)
-    out[ord("0") : ord("9") + 1] = True
-    return out
+def _next(places: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The first of the sorted places that is not before each of at."""
+    i = np.searchsorted(places, at)
+    return np.append(places, none)[i]
 
 
-@cache
-def _tag_inner() -> np.ndarray:
-    out = np.zeros(LIMIT, bool)
-    out[0x20:0x7F] = True
-    out[[ord("<"), ord(">")]] = False
+def markup_mask(t: Texts) -> np.ndarray:
+    """Which characters belong to tags (a "<" with a letter, "/", "!" or "?" behind it, to the next ">") or to numbers in brackets.
+
+    Tags and numbers may be of any length and hold any characters, line breaks too, but lie in one row.
+    """
+    cp, n = t.cp, len(t.cp)
+    out = np.zeros(n, bool)
+    # Found among the signs alone, which are few.
+    sign = np.flatnonzero((cp == ord("<")) | (cp == ord(">")))
+    start = sign[:-1][(cp[sign[:-1]] == ord("<")) & (cp[sign[1:]] == ord(">"))] if len(sign) > 1 else sign[:0]
+    if len(start):
+        end = _next(sign, start + 1, n)
+        behind = cp[start + 1]
+        ok = (scripts()[0][behind] > 0) | np.isin(behind, [ord(c) for c in "/!?"])
+        ok &= np.searchsorted(t.off, start, side="right") == np.searchsorted(t.off, end, side="right")
+        out |= _filled(n, start[ok], end[ok] + 1)
+    for opening, closing in ("[]", "{}"):
+        start = np.flatnonzero(cp == ord(opening))
+        if not len(start):
+            continue
+        end = _next(np.flatnonzero((cp < ord("0")) | (cp > ord("9"))), start + 1, n)
+        ok = (end > start + 1) & (end < n)
+        ok[ok] = cp[end[ok]] == ord(closing)
+        ok &= np.searchsorted(t.off, start, side="right") == np.searchsorted(t.off, end, side="right")
+        out |= _filled(n, start[ok], end[ok] + 1)
     return out
 
 
 def words(t: Texts, markup: bool = False) -> Words:
     """The words of folded texts.
 
-    Apostrophes and hyphens within a word, and a hyphen with the line break after it, join their
-    two sides. With markup, tags and bracketed numbers count as nothing.
+    Apostrophes and hyphens within a word, and a hyphen with the line break and all blanks after
+    it, join their two sides. With markup, tags and bracketed numbers count as nothing.
     """
-    cp = t.cp
+    cp, n = t.cp, len(t.cp)
     kind = classes()[cp]
     if markup:
-        for a, b, inner, reach in (("[", "]", _digits(), 6), ("{", "}", _digits(), 6), ("<", ">", _tag_inner(), 60)):
-            if (cp == ord(a)).any():
-                kind[_spanned(cp, ord(a), ord(b), inner, reach)] = SEPARATOR
-    starts = t.off[:-1][np.diff(t.off) > 0]
+        kind[markup_mask(t)] = SEPARATOR
     hyphens = np.flatnonzero(kind == HYPHEN)
     if len(hyphens):
-        n, row_at = len(cp), t.off
-        end = row_at[np.searchsorted(row_at, hyphens, side="right")]
+        end = t.off[np.searchsorted(t.off, hyphens, side="right")]
         before = (hyphens > 0) & (kind[np.maximum(hyphens - 1, 0)] == WORD)
-        after = np.minimum(hyphens + 1, n - 1)
-        lines = np.zeros(len(hyphens), bool)
-        for _ in range(12):
-            step = (after < end) & (kind[np.minimum(after, n - 1)] == BLANK) & before
-            if not step.any():
-                break
-            lines |= step & ((cp[np.minimum(after, n - 1)] == 10) | (cp[np.minimum(after, n - 1)] == 13))
-            after = after + step
-        inside = before & (after < end) & (kind[np.minimum(after, n - 1)] == WORD) & ((after == hyphens + 1) | lines)
+        after = _next(np.flatnonzero(kind != BLANK), hyphens + 1, n)
+        broken = _next(np.flatnonzero(line_ends()[cp]), hyphens + 1, n) < after
+        inside = before & (after < end) & (kind[np.minimum(after, n - 1)] == WORD) & ((after == hyphens + 1) | broken)
         kind[hyphens[~inside]] = SEPARATOR
-        kind[hyphens[inside]] = DROPPED
-        broken = np.flatnonzero(inside & (after > hyphens + 1))
-        for k in range(1, 13):
-            at = hyphens[broken] + k
-            at = at[at < after[broken]]
-            kind[at] = DROPPED
+        kind[_filled(n, hyphens[inside], after[inside])] = DROPPED
+    # Blocks end where neither a word nor a sign within one stands, or where a row ends.
+    parts, a = [], 0
+    while a < n:
+        b = min(n, a + BLOCK)
+        if b < n:
+            loose = np.flatnonzero((kind[a:b] != WORD) & (kind[a:b] != DROPPED))
+            edge = t.off[np.searchsorted(t.off, b, side="right") - 1]
+            b = max(a + loose[-1] + 1 if len(loose) else a, edge)
+            if b == a:  # one word longer than a block
+                loose = np.flatnonzero((kind[a:] != WORD) & (kind[a:] != DROPPED))
+                b = min(a + loose[0] + 1 if len(loose) else n, t.off[np.searchsorted(t.off, a, side="right")])
+        parts.append(_words_of(cp[a:b], kind[a:b], t.off, a))
+        a = b
+    if not parts:
+        none = np.empty(0, np.int64)
+        return Words(np.empty(0, np.uint64), none, none, none)
+    return Words(*map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _words_of(cp: np.ndarray, kind: np.ndarray, off: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+    """hash, row, chars, first of the words of a block that begins at base."""
     keep = np.flatnonzero(kind != DROPPED)
     is_word = kind[keep] == WORD
-    new_row = np.zeros(len(cp) + 1, bool)
-    new_row[starts] = True
+    letters = keep[is_word]
+    if not len(letters):
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
     # A row that begins with a dropped sign still begins a word at its first kept sign.
-    row_of = np.repeat(np.arange(len(t.off) - 1), np.diff(t.off))[keep]
+    edges = np.searchsorted(keep, off - base)
     begin = is_word.copy()
-    begin[1:] &= ~is_word[:-1] | (row_of[1:] != row_of[:-1])
-    letters = keep[is_word]
+    begin[1:] &= ~is_word[:-1]
+    edges = edges[edges < len(keep)]
+    begin[edges] |= is_word[edges]
     first = np.flatnonzero(begin[is_word])
-    if not len(first):
-        return Words(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     length = np.diff(np.append(first, len(letters)))
     place = np.arange(len(letters)) - np.repeat(first, length)
     power = np.cumprod(np.full(int(length.max()), ODD1 | np.uint64(1), np.uint64))
     h = np.add.reduceat((cp[letters].astype(np.uint64) + np.uint64(1)) * ODD2 * power[place], first)
-    return Words(mix(h + length.astype(np.uint64)), row_of[is_word][first], length, letters[first])
+    start = letters[first] + base
+    return mix(h + length.astype(np.uint64)), np.searchsorted(off, start, side="right") - 1, length, start
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ def level_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.slices(batch, columns[0], 1 << 19):
+            for part in C.slices(batch, *columns):
                 texts, odd = [], []
                 for c in columns:
                     column = part.column(part.schema.get_field_index(c))

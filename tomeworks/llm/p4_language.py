@@ -66,10 +66,10 @@ def symbols() -> np.ndarray:
     folded = C.fold_table()
     out = np.zeros(C.LIMIT, np.uint8)
     twins = {**C.CYRILLIC_AS_LATIN, **C.GREEK_AS_LATIN}
-    for c in range(0x30, C.SCANNED):
-        if 0xD800 <= c < 0xE000 or unicodedata.category(chr(c))[0] != "L":
+    for c, letter, kind in C.assigned():
+        if kind[0] != "L":
             continue
-        ch = twins.get(chr(c), chr(c)).lower()[:1]
+        ch = twins.get(letter, letter).lower()[:1]
         if ch not in number and folded.count[ord(ch)] == 1:
             ch = chr(folded.single[ord(ch)])
         out[c] = number.get(ch) or number.get(unicodedata.normalize("NFD", ch)[0], 63)
