@@ -2,18 +2,26 @@
 
 String-kernel classification. The kernel of two units of text is the cosine of their sets of
 character n-grams (blended spectrum of lengths 1 to 4, presence only, hashed to DIMS). A bounded
-sample of labelled documents (TRAIN_DOCS per language) gives the units; LANDMARKS of them make the
-Nystroem map, and one-versus-rest kernel ridge regression is solved on it. As the kernel is an inner
-product of presence vectors, map and weights fold into one matrix, and batches of presence rows
-times that matrix score all units. The rest of the data is read in full by one pass.
+sample of labelled documents (TRAIN_DOCS per language, DOC_UNITS units of each, spread over its text)
+is cut to presence vectors where it is read; LANDMARKS of them make the Nystroem map, and
+one-versus-rest kernel ridge regression is solved on it. As the kernel is an inner product of
+presence vectors, map and weights fold into one matrix, and batches of presence rows times that
+matrix score all units. The rest of the data is read in full by one pass.
+
+The languages are those that labels name, in at least MIN_LABELLED documents of the sample where
+SPELLINGS doesn't know the code, and that the first fit can tell apart: a label whose units mostly
+belong to other languages is no class. A unit that scores
+below what all but REJECTED of the held-out units score for their own language speaks for "und",
+none of these.
 
 Each document's units (sentences of the running text) get the best path of languages under a
 penalty for each change, so stretches in another language come out with their limits. Sentences of
 a word or two have no part in the path; their words count to the stretch they stand in.
 
 Defined results: a null or empty text, or one without running text, has no stretch and the language
-null with confidence 0; repeated rows come out repeated; an empty table, or one without usable
-labels, gives no model, and documents then have no language; other columns are not looked at.
+null with confidence 0; repeated rows come out repeated (in the sample, rows of one key count once);
+an empty table, or one without usable labels, gives no model, and documents then have no language;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -44,7 +52,8 @@ SPELLINGS = {
     "nl": "nl nld dut dutch nederlands",
     "pt": "pt por portuguese português portugues",
 }
-TRAIN_DOCS, LANDMARKS, UNITS = 150, 384, 6_000
+TRAIN_DOCS, DOC_UNITS, MIN_LABELLED, LANDMARKS = 150, 12, 20, 384
+UNKNOWN, REJECTED = "und", 0.005
 PARTS = ((1, 64), (2, 1024), (3, 1472), (4, 1536))  # n-gram length, hashed dimensions
 DIMS = sum(d for _, d in PARTS)
 RIDGE, SWITCH, STRETCH = 1e-3, 5.0, 40
@@ -58,6 +67,12 @@ def named_languages(col: Column) -> Column:
     return F.array_compact(F.array_distinct(F.transform(words, lambda w: F.try_element_at(known, w))))
 
 
+def label_code(col: Column) -> Column:
+    """The language a label names: the first known one, else a cell that is nothing but a code of two letters, or one with its region."""
+    code = F.regexp_extract(F.lower(F.coalesce(col, F.lit(""))), r"^\s*([a-z]{2})(?:[-_][a-z]{2})?\s*$", 1)
+    return F.coalesce(F.try_element_at(named_languages(col), F.lit(1)), F.nullif(code, F.lit("")))
+
+
 @cache
 def symbols() -> np.ndarray:
     """Letters as 1 to 63, all else 0. Accented letters of the Latin script have symbols of their own."""
@@ -98,12 +113,13 @@ def _bodies(t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
         return low, high
     row = np.searchsorted(t.off, at, side="right") - 1
     started, ended = np.zeros(len(low), bool), np.zeros(len(low), bool)
-    for p, r in zip(at.tolist(), row.tolist(), strict=True):
-        line = t.cp[p : p + 400].tobytes().decode("utf-32-le")
-        head = line[3:16].upper().strip()
+    line_end = np.append(np.flatnonzero((t.cp == 10) | (t.cp == 13)), len(t.cp))
+    ends = np.minimum(line_end[np.searchsorted(line_end, at)], t.off[1:][row])
+    for p, r, end in zip(at.tolist(), row.tolist(), ends.tolist(), strict=True):
+        head = t.cp[p + 3 : min(end, p + 16)].tobytes().decode("utf-32-le").upper().strip()
         if head.startswith("START OF") and not started[r]:
             started[r] = True
-            low[r] = p + len(line.splitlines()[0])
+            low[r] = end
         elif head.startswith("END OF") and not ended[r]:
             ended[r] = True
             high[r] = p
@@ -188,52 +204,67 @@ def presence(t: C.Texts, u: Units) -> Iterator[np.ndarray]:
         yield out
 
 
-def scores(t: C.Texts, u: Units, model: np.ndarray) -> np.ndarray:
-    """One score per unit and language: presence rows times the folded matrix, over the norm."""
-    out = [np.zeros((0, len(LANGS)), np.float32)]
+class Model(NamedTuple):
+    langs: tuple[str, ...]
+    matrix: np.ndarray  # DIMS x languages + 1; the last column of ones counts the n-grams
+    sharpness: float  # of the softmax that turns scores into confidence
+    reject: float  # score of a unit that speaks for none of the languages
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return (*self.langs, UNKNOWN)
+
+
+def scores(t: C.Texts, u: Units, model: Model) -> np.ndarray:
+    """One score per unit and language, and one for none of them: presence rows times the folded matrix, over the norm."""
+    out = [np.zeros((0, len(model.names)), np.float32)]
     for p in presence(t, u):
-        product = p.astype(np.float32) @ model
-        out.append(product[:, :-1] / np.sqrt(np.maximum(product[:, -1:], 1)))
+        product = p.astype(np.float32) @ model.matrix
+        product[:, :-1] /= np.sqrt(np.maximum(product[:, -1:], 1))
+        product[:, -1] = model.reject
+        out.append(product)
     return np.concatenate(out)
 
 
-class Model(NamedTuple):
-    matrix: np.ndarray  # DIMS x languages + 1; the last column of ones counts the n-grams
-    sharpness: float  # of the softmax that turns scores into confidence
+def _features(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nystroem features of packed presence rows, and the map from presence vectors to them."""
 
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Kernel ridge regression on Nystroem features, folded to one matrix on presence vectors."""
-    rng = np.random.default_rng(7)
-    unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = unit[rng.permutation(len(unit))[:LANDMARKS]]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = unit(packed[np.random.default_rng(7).permutation(len(packed))[:LANDMARKS]])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    features = unit @ marks.T @ root
-    target = np.where(y[:, None] == np.arange(len(LANGS)), 1.0, -1.0)
-    weights = np.linalg.solve(features.T @ features + RIDGE * len(x) * np.eye(features.shape[1]), features.T @ target)
-    return marks.T @ root @ weights
-
-
-def train(texts: list[str | None], labels: list[str]) -> Model | None:
-    """Fit on labelled texts; units that a first fit gives to another language are left out of the second."""
-    t = C.from_arrow(pa.array(texts, pa.string()))
-    u = units(t)
-    if not len(u.row):
+    into = marks.T @ (vectors[:, good] / np.sqrt(values[good]))
+    return np.concatenate([unit(packed[k : k + ROWS]) @ into for k in range(0, len(packed), ROWS)]), into
+
+
+def _ridge(features: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
+    """One-versus-rest kernel ridge regression on Nystroem features."""
+    target = np.where(y[:, None] == np.arange(classes), 1.0, -1.0)
+    return np.linalg.solve(features.T @ features + RIDGE * len(y) * np.eye(features.shape[1]), features.T @ target)
+
+
+def train(packed: np.ndarray, labels: list[str]) -> Model | None:
+    """Fit on presence rows, packed to bits, and their labels; units that a first fit gives to another language are left out of the second."""
+    if not len(packed):
         return None
-    y = np.array([LANGS.index(x) for x in labels])[u.row]
-    pick = np.sort(np.random.default_rng(3).permutation(len(y))[:UNITS])
-    u, y = Units(*(c[pick] for c in u)), y[pick]
-    x = np.concatenate(list(presence(t, u))).astype(np.float32)
-    norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    first = _fit(x, y)
-    agree = np.argmax(x @ first / norm, axis=1) == y
+    langs, y = np.unique(labels, return_inverse=True)
+    x, into = _features(packed)
+    while True:
+        agree = np.argmax(x @ _ridge(x, y, len(langs)), axis=1) == y
+        own = np.bincount(y[agree], minlength=len(langs)) >= 0.5 * np.bincount(y, minlength=len(langs))
+        if own.all() or not own.any():
+            break
+        keep = own[y]
+        x, y, langs = x[keep], np.cumsum(own)[y[keep]] - 1, langs[own]
     if agree.sum() < 2:
         return None
     fold = np.arange(len(y)) % 5 == 0
-    held = x @ _fit(x[agree & ~fold], y[agree & ~fold]) / norm if (agree & ~fold).any() else x @ first / norm
-    test = fold & agree
+    test, rest = fold & agree, agree & ~fold
+    held = x @ _ridge(x[rest], y[rest], len(langs)) if rest.any() else x @ _ridge(x, y, len(langs))
+    own_score = held[np.arange(len(y)), y][test]
 
     def loss(g: float) -> float:
         z = g * held[test]
@@ -241,8 +272,9 @@ def train(texts: list[str | None], labels: list[str]) -> Model | None:
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(test.sum()), y[test]])) if test.any() else 0.0
 
     sharpness = min((1.0, 2.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0), key=loss)
-    matrix = _fit(x[agree], y[agree])
-    return Model(np.hstack([matrix, np.ones((DIMS, 1))]).astype(np.float32), sharpness)
+    reject = min(0.0, float(np.quantile(own_score, REJECTED))) if test.any() else -1.0
+    matrix = into @ _ridge(x[agree], y[agree], len(langs))
+    return Model(tuple(map(str, langs)), np.hstack([matrix, np.ones((DIMS, 1))]).astype(np.float32), sharpness, reject)
 
 
 def best_path(u: Units, score: np.ndarray) -> np.ndarray:
@@ -256,8 +288,8 @@ def best_path(u: Units, score: np.ndarray) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     total = gain[first].astype(np.float64)
-    back = np.zeros((len(gain), len(LANGS)), np.int8)
-    own = np.arange(len(LANGS))
+    back = np.zeros(gain.shape, np.int16)
+    own = np.arange(gain.shape[1])
     for k in range(1, int(size.max()) if len(size) else 0):
         live = int(np.searchsorted(-size, -k, side="left"))
         at, before = first[:live] + k, total[:live]
@@ -276,14 +308,39 @@ def best_path(u: Units, score: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_sample(documents: DataFrame, key: str, text: str, label: str, per_language: int = TRAIN_DOCS) -> Model | None:
-    """Fit on the per_language documents of each label with the smallest hashes: a sample of bounded size."""
-    labelled = documents.select(F.col(key).alias("k"), F.try_element_at(named_languages(F.col(label)), F.lit(1)).alias("l")).where("l is not null and k is not null")
+def fit_sample(documents: DataFrame, key: str, text: str, label: str, per_language: int = TRAIN_DOCS, per_document: int = DOC_UNITS) -> Model | None:
+    """Fit on the per_language documents of each label with the smallest hashes: a sample of bounded size.
+
+    What reaches the driver is at most per_document presence vectors of DIMS bits of each, whatever
+    the length of the texts.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+    labelled = documents.select(F.col(key).alias("k"), label_code(F.col(label)).alias("l")).where("l is not null and k is not null")
     rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = F.broadcast(labelled.withColumn("r", rank).where(F.col("r") <= per_language).select("k", "l"))
-    rows = documents.select(F.col(key).alias("k"), F.make_valid_utf8(F.col(text)).alias("x")).join(chosen, "k").select("x", "l", "k").collect()
-    rows = sorted(rows, key=lambda r: (r["l"], r["k"]))[: 2 * per_language * len(LANGS)]
-    return train([r["x"] for r in rows], [r["l"] for r in rows]) if rows else None
+    chosen = labelled.withColumn("r", rank).where(F.col("r") <= per_language)
+    chosen = chosen.groupBy("k").agg(F.min("l").alias("l"))
+    rows = documents.select(F.col(key).alias("k"), F.make_valid_utf8(F.col(text)).alias("x")).join(F.broadcast(chosen), "k").select("k", "l", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "x"):
+                t = C.from_arrow(part.column(2))
+                u = units(t)
+                first, size = np.searchsorted(u.row, np.arange(part.num_rows)), np.bincount(u.row, minlength=part.num_rows)
+                pick = [a + np.unique(np.linspace(0, n - 1, min(n, per_document)).astype(int)) for a, n in zip(first, size, strict=True)]
+                taken = np.concatenate(pick)
+                bits = [np.packbits(p, axis=1) for p in presence(t, Units(*(c[taken] for c in u)))]
+                packed = np.concatenate(bits) if bits else np.zeros((0, DIMS // 8), np.uint8)
+                ends = np.cumsum([0, *map(len, pick)]).astype(np.int32)
+                values = pa.array([p.tobytes() for p in packed], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "l", "units"])
+
+    cut = rows.mapInArrow(run, f"k {kind}, l string, units array<binary>").groupBy("k", "l").agg(F.min("units").alias("units")).collect()
+    enough = {x for x in {r["l"] for r in cut} if x in SPELLINGS or sum(r["l"] == x for r in cut) >= MIN_LABELLED}
+    pairs = [(r["l"], bytes(x)) for r in sorted(cut, key=lambda r: (r["l"], r["k"])) if r["l"] in enough for x in r["units"]]
+    if not pairs:
+        return None
+    return train(np.frombuffer(b"".join(x for _, x in pairs), np.uint8).reshape(len(pairs), DIMS // 8), [x for x, _ in pairs])
 
 
 def stretches(documents: DataFrame, key: str, text: str, model: Model | None) -> DataFrame:
@@ -295,14 +352,14 @@ def stretches(documents: DataFrame, key: str, text: str, model: Model | None) ->
         return documents.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = pa.array(LANGS)
+        languages = pa.array(model.names)
         for batch in batches:
             for part in C.slices(batch, "row_text"):
                 t = C.from_arrow(part.column(1))
                 u, short = long_and_short(t)
                 if not len(u.row):
                     continue
-                score = scores(t, u, model.matrix)
+                score = scores(t, u, model)
                 path = best_path(u, score)
                 z = model.sharpness * (score - score.max(axis=1, keepdims=True))
                 sure = (np.exp(z) / np.exp(z).sum(axis=1, keepdims=True))[np.arange(len(path)), path]
@@ -312,7 +369,7 @@ def stretches(documents: DataFrame, key: str, text: str, model: Model | None) ->
                 last = np.append(first[1:], len(path)) - 1
                 scored = np.add.reduceat(u.words, first)
                 n, start, end = scored.copy(), u.start[first], u.end[last]
-                which, beside = around(u, path, short, scores(t, short, model.matrix))
+                which, beside = around(u, path, short, scores(t, short, model))
                 stretch = np.cumsum(fresh)[beside] - 1
                 np.add.at(n, stretch, short.words[which])
                 np.minimum.at(start, stretch, short.start[which])
@@ -341,7 +398,7 @@ def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stretches(docs, "doc_id", "text", fit_sample(docs, "doc_id", "text", "lang"))
     by_lang = found.groupBy("row_key", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("confidence") * F.col("n_words")).alias("c"))
     best = by_lang.groupBy("row_key").agg(F.max(F.struct("n", "c", "lang")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("n_langs"))
-    labelled = docs.select("doc_id", F.try_element_at(named_languages(F.col("lang")), F.lit(1)).alias("label"))
+    labelled = docs.select("doc_id", label_code(F.col("lang")).alias("label"))
     best = best.select(F.col("row_key").alias("doc_id"), F.col("m.lang").alias("lang"), F.round(F.col("m.c") / F.col("m.n"), 4).alias("confidence"), F.round(F.col("m.n") / F.col("all"), 4).alias("share"), "n_langs")
     return labelled.join(best, "doc_id", "left").fillna(0.0, ["confidence"])
 
@@ -351,6 +408,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_sample(docs, "doc_id", "text", "lang")
     keyed = docs.where(F.col("gutenberg_id").isNotNull()).select("gutenberg_id", "text")
-    held = stretches(keyed, "gutenberg_id", "text", model).where(F.col("n_words") >= STRETCH).select(F.col("row_key").alias("gutenberg_id"), "lang").distinct()
+    held = stretches(keyed, "gutenberg_id", "text", model).where((F.col("n_words") >= STRETCH) & F.col("lang").isin(*LANGS)).select(F.col("row_key").alias("gutenberg_id"), "lang").distinct()
     named = table(spark, sf_dir, "metadata").select(plain_number(F.col("gutenberg_id")).alias("gutenberg_id"), F.explode(named_languages(F.col("language"))).alias("lang")).distinct()
     return held.join(named, ["gutenberg_id", "lang"], "left_anti")
