@@ -71,6 +71,44 @@ def test_short_sentences_count_to_their_stretch(spark, corpus):
     assert all(dict(texts)[r["row_key"]][r["start_char"] : r["end_char"]].strip() == french for r in got)
 
 
+def test_none_of_the_languages(spark, corpus):
+    model = p4.fit_sample(spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_language=20)
+    assert model.langs == p4.LANGS
+    rng = random.Random(4)
+    foreign = ["Wieczorem stary rybak wrócił do portu i opowiadał dzieciom o burzy.", "Старый рыбак вечером вернулся в гавань и рассказал детям о буре.", "Vanha kalastaja palasi illalla satamaan ja kertoi lapsille myrskystä."]
+    texts = [*(" ".join([x] * 4) for x in foreign), f"{sentences(rng, 'nl', 6)} {' '.join([foreign[0]] * 6)} {sentences(rng, 'nl', 6)}"]
+    got = p4.stretches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", model).orderBy("row_key", "seg_no").collect()
+    assert [r["lang"] for r in got] == ["und", "und", "und", "nl", "und", "nl"] and all(r["confidence"] > 0.5 for r in got)
+
+
+def test_languages_are_learned_from_labels(spark, corpus):
+    rng = random.Random(6)
+    polish = "stara rzeka płynęła pod kamiennym mostem gdy dzieci patrzyły każdego ranka na łodzie i ptaki wzdłuż zielonych brzegów".split()
+    text = lambda n: " ".join(" ".join(rng.choices(polish, k=10)).capitalize() + "." for _ in range(n))
+    rows = [r[:3] for r in corpus] + [(500 + i, text(8), "pl" if i % 2 else "pl-PL") for i in range(30)]
+    # A label that stands on texts of many languages is no language; one of few documents isn't either.
+    rows += [(600 + i, corpus[i][1], "xx") for i in range(21)] + [(700, text(8), "cs")]
+    model = p4.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert model.langs == tuple(sorted((*p4.LANGS, "pl")))
+    found = p4.stretches(spark.createDataFrame([(1, text(9))], "doc_id long, text string"), "doc_id", "text", model).collect()
+    assert [r["lang"] for r in found] == ["pl"]
+
+
+def test_sample_is_bounded_and_repeatable(spark, corpus):
+    rows = [r[:3] for r in corpus] * 2 + [(900, sentences(random.Random(1), "en", 3000), "en")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (p4.fit_sample(docs.repartition(n), "doc_id", "text", "lang", per_document=3) for n in (2, 5))
+    assert (one.matrix == two.matrix).all() and one.reject == two.reject
+
+
+def test_start_line_of_any_length(spark, corpus):
+    model = p4.fit_sample(spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_language=20)
+    rng = random.Random(9)
+    text = f"*** START OF {'x y ' * 20}{sentences(rng, 'de', 30)} ***\r\n{sentences(rng, 'es', 5)}\r*** END OF IT ***\n{sentences(rng, 'fr', 5)}"
+    got = p4.stretches(spark.createDataFrame([(1, text), (2, "*** START OF " + "x" * 900)], "doc_id long, text string"), "doc_id", "text", model).collect()
+    assert [(r["row_key"], r["lang"]) for r in got] == [(1, "es")]
+
+
 def test_no_labels_no_model(spark):
     docs = spark.createDataFrame([(1, "the text", None)], "doc_id long, text string, lang string")
     model = p4.fit_sample(docs, "doc_id", "text", "lang")
@@ -182,9 +220,10 @@ def test_leaks(spark):
             index[tuple(w[k : k + 12])].add(i)
     wanted = {(d, i) for d, t in docs for w in [plain_words(t)] for k in range(len(w) - 11) for i in index.get(tuple(w[k : k + 12]), ())}
     frame, queries = spark.createDataFrame(docs, "doc_id long, text string").withColumn("seeds", F.lit(1)), spark.createDataFrame(items, "item_id long, passage string")
-    for block in (20_000, 17):
-        pairs = p8.leaks(frame, queries, block=block)
+    for block, run in ((20_000, None), (17, None), (20_000, 12), (17, 12)):
+        pairs = p8.leaks(frame, queries, block=block, run=run)
         assert {(r["doc_id"], r["item_id"]) for r in pairs.where("longest >= 12").collect()} == wanted
+    pairs = p8.leaks(frame, queries)
     assert wanted and max(r["share"] for r in pairs.collect()) == 1.0
     assert p8.leaks(frame.limit(0), queries).count() == 0 and p8.leaks(frame, queries.limit(0)).count() == 0
 

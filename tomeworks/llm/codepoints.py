@@ -319,12 +319,15 @@ def one_script(t: Texts) -> tuple[Texts, np.ndarray]:
     return Texts(cp, t.off), flagged
 
 
+def spans(t: Texts, start: np.ndarray, end: np.ndarray) -> Texts:
+    """The characters from each start to its end, as texts of their own."""
+    length = end - start
+    off = offsets(length)
+    return Texts(t.cp[np.repeat(start - off[:-1], length) + np.arange(off[-1])], off)
+
+
 def take(t: Texts, rows: np.ndarray) -> Texts:
-    if len(rows) == len(t.off) - 1:
-        return t
-    length = np.diff(t.off)[rows]
-    off = np.concatenate(([0], np.cumsum(length)))
-    return Texts(t.cp[np.repeat(t.off[rows] - off[:-1], length) + np.arange(off[-1])], off)
+    return t if len(rows) == len(t.off) - 1 else spans(t, t.off[rows], t.off[rows + 1])
 
 
 def put(t: Texts, rows: np.ndarray, new: Texts) -> Texts:
@@ -402,6 +405,7 @@ class Words(NamedTuple):
     row: np.ndarray  # row of each word, ascending
     chars: np.ndarray  # letters in each word
     first: np.ndarray  # place of its first letter in the code points
+    end: np.ndarray  # place after its last letter
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -488,18 +492,18 @@ def words(t: Texts, markup: bool = False) -> Words:
         a = b
     if not parts:
         none = np.empty(0, np.int64)
-        return Words(np.empty(0, np.uint64), none, none, none)
+        return Words(np.empty(0, np.uint64), none, none, none, none)
     return Words(*map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _words_of(cp: np.ndarray, kind: np.ndarray, off: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
-    """hash, row, chars, first of the words of a block that begins at base."""
+    """hash, row, chars, first, end of the words of a block that begins at base."""
     keep = np.flatnonzero(kind != DROPPED)
     is_word = kind[keep] == WORD
     letters = keep[is_word]
     if not len(letters):
         none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none, none
+        return np.empty(0, np.uint64), none, none, none, none
     # A row that begins with a dropped sign still begins a word at its first kept sign.
     edges = np.searchsorted(keep, off - base)
     begin = is_word.copy()
@@ -512,7 +516,7 @@ def _words_of(cp: np.ndarray, kind: np.ndarray, off: np.ndarray, base: int) -> t
     power = np.cumprod(np.full(int(length.max()), ODD1 | np.uint64(1), np.uint64))
     h = np.add.reduceat((cp[letters].astype(np.uint64) + np.uint64(1)) * ODD2 * power[place], first)
     start = letters[first] + base
-    return mix(h + length.astype(np.uint64)), np.searchsorted(off, start, side="right") - 1, length, start
+    return mix(h + length.astype(np.uint64)), np.searchsorted(off, start, side="right") - 1, length, start, letters[first + length - 1] + base + 1
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,16 +1,22 @@
 """Problem 8: evaluation texts leaking into training text.
 
-Every run of five words of a test item is a seed. One pass over the corpus finds the documents
-that hold any seed and keeps them with their texts. Every seed joins a document to its items, so
-an edited copy is found by any five words that the edits left. If only runs of so many equal words
-are sought, the rarest held seed of each such window of an item is enough; the seeds' document
-counts over the whole corpus come from the same pass. Where a seed joins, a Smith-Waterman alignment
-of words scores the copy, edited or whole, and the longest run of equal consecutive words is
-measured on the same matrix. The part of a document that is aligned holds every alignment through
-the seed: left of it a positive score has at most three words of the document to each of the item,
-as two words more cost what one equal word gives, and right of it likewise.
-
-The test items are the stated query set: they go to the tasks in blocks of at most BLOCK items.
+Every run of five words of a test item is a seed. One pass over the corpus finds them in documents.
+
+Edited copies: every seed joins a document to its items, so a copy is found by any five words that
+the edits left, and is aligned where its text is read. The part of a document that is aligned holds
+every alignment through the seed: left of it a positive score has at most three words of the
+document to each of the item, as two words more cost what one equal word gives, and right of it
+likewise.
+
+If only runs of so many equal words are sought, the pass keeps of each document no more than the
+words around its seeds in which such a run can lie. The seeds' counts over the whole corpus come
+from what it kept; then the rarest held seed of each such window of an item is enough to join.
+
+Where a seed joins, a Smith-Waterman alignment of words scores the copy, edited or whole, and the
+longest run of equal consecutive words is measured on the same matrix.
+
+The test items are the stated query set: they go to the tasks in blocks of at most BLOCK items, and
+the corpus is read once for each block.
 
 Defined results: null or empty texts and passages match nothing; an item of fewer than five words
 has no seed and matches nothing; repeated rows give one result per pair of ids; empty tables give
@@ -36,15 +42,15 @@ CELLS = 1 << 20
 FILTER_BITS = 22
 
 
-def text_words(t: C.Texts) -> C.Words:
-    return C.words(C.fold_table().apply(C.level(t)[0]), markup=True)
+def folded(t: C.Texts) -> C.Texts:
+    return C.fold_table().apply(C.level(t)[0])
 
 
 class Items:
     """The words of a block of test items and the seeds among them."""
 
     def __init__(self, ids: list, passages: list[str | None]):
-        w = text_words(C.from_arrow(pa.array(passages, pa.string())))
+        w = C.words(folded(C.from_arrow(pa.array(passages, pa.string()))), markup=True)
         self.ids = ids
         self.start = np.searchsorted(w.row, np.arange(len(ids) + 1))
         self.hash = w.hash
@@ -90,28 +96,44 @@ def lookup(gram: np.ndarray, seeds: np.ndarray, screen: np.ndarray) -> tuple[np.
     return maybe[hit], i[hit]
 
 
-def with_seeds(documents: DataFrame, key: str, text: str, seeds: np.ndarray) -> DataFrame:
-    """row_key, row_text, seeds (numbers of the seeds it holds) of the documents that hold any."""
+def merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping windows of a row (or other group) joined: row, low, high; and the joined one of each window."""
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    size = np.int64(high.max(initial=0) + 1)
+    reach = np.maximum.accumulate(high + row * size) - row * size
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (low[1:] > reach[:-1])
+    first = np.flatnonzero(fresh)
+    joined = np.empty(len(row), np.int64)
+    joined[order] = np.cumsum(fresh) - 1
+    return row[first], low[first], np.maximum.reduceat(high, first), joined
+
+
+def around_seeds(documents: DataFrame, key: str, text: str, seeds: np.ndarray, run: int) -> DataFrame:
+    """row_key, seeds (numbers of the seeds in it), part: the folded text around seeds in which a run of so many equal words can lie."""
     source = documents.select(F.col(key).alias("row_key"), F.make_valid_utf8(F.col(text)).alias("row_text"))
-    schema = f"row_key {documents.schema[key].dataType.simpleString()}, row_text string, seeds array<int>"
+    schema = f"row_key {documents.schema[key].dataType.simpleString()}, seeds array<int>, part string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         screen = seed_filter(seeds)
         for batch in batches:
             for part in C.slices(batch, "row_text"):
-                w = text_words(C.from_arrow(part.column(1)))
+                t = folded(C.from_arrow(part.column(1)))
+                w = C.words(t, markup=True)
                 gram, at = C.ngrams(w, SEED)
                 which, number = lookup(gram, seeds, screen)
                 if not len(which):
                     continue
-                pair = np.unique(w.row[at[which]] * len(seeds) + number)
-                row, number = pair // len(seeds), pair % len(seeds)
-                rows, first = np.unique(row, return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(number.astype(np.int32)))
-                kept = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), lists], ["row_key", "row_text", "seeds"])
+                at, bounds = at[which], np.searchsorted(w.row, np.arange(part.num_rows + 1))
+                row = w.row[at]
+                row, low, high, joined = merged(row, np.maximum(at - (run - SEED), bounds[row]), np.minimum(at + run, bounds[row + 1]))
+                pair = np.unique(joined * len(seeds) + number)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // len(seeds), np.arange(len(row) + 1)).astype(np.int32)), pa.array((pair % len(seeds)).astype(np.int32)))
+                kept = C.to_arrow(C.spans(t, w.first[low], w.end[high - 1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), lists, kept], ["row_key", "seeds", "part"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(cut, schema)
 
 
 def smith_waterman(windows: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,54 +165,56 @@ def smith_waterman(windows: list[np.ndarray], passages: list[np.ndarray]) -> tup
     return best, longest
 
 
-def align(held: DataFrame, items: Items, seeds: np.ndarray, place: np.ndarray) -> DataFrame:
-    """row_key, item, score, longest of each document and item that one of the seeds joins."""
-    schema = f"row_key {held.schema['row_key'].dataType.simpleString()}, item int, score int, longest int"
+def alignments(w: C.Words, rows: int, items: Items, seeds: np.ndarray, place: np.ndarray, screen: np.ndarray, reach: int | None) -> tuple[np.ndarray, ...]:
+    """row, item, score, longest of each row and item that one of the seeds joins.
+
+    reach: words to both sides of a seed's first one that count; by default all that an alignment can need.
+    """
+    gram, at = C.ngrams(w, SEED)
+    which, number = lookup(gram, seeds, screen)
+    times = (np.searchsorted(seeds, seeds, side="right") - np.searchsorted(seeds, seeds))[number]
+    pos = np.repeat(at[which], times)
+    one = place[np.repeat(number, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    item, row = items.item[one], w.row[pos]
+    bounds = np.searchsorted(w.row, np.arange(rows + 1))
+    size, within = np.diff(items.start)[item], items.at[one] - items.start[item]
+    left, right = (REACH * within, REACH * (size - within)) if reach is None else (reach - SEED, reach)
+    group, low, high, _ = merged(row * len(items.ids) + item, np.maximum(pos - left, bounds[row]), np.minimum(pos + right, bounds[row + 1]))
+    row, item = group // len(items.ids), group % len(items.ids)
+    score, longest = np.zeros(len(low), np.int32), np.zeros(len(low), np.int32)
+    by_size = np.argsort(high - low, kind="stable")
+    while len(by_size):
+        cells = np.cumsum((high - low)[by_size])
+        batch = by_size[: max(1, int(np.searchsorted(cells, CELLS // 4)))]
+        by_size = by_size[len(batch) :]
+        passages = [items.hash[items.start[item[k]] : items.start[item[k] + 1]] for k in batch]
+        score[batch], longest[batch] = smith_waterman([w.hash[low[k] : high[k]] for k in batch], passages)
+    return row, item, score, longest
+
+
+def align(source: DataFrame, column: str, is_folded: bool, items: Items, seeds: np.ndarray, place: np.ndarray, reach: int | None) -> DataFrame:
+    """row_key, item, score, longest of each row of source(row_key, column) and item that one of the seeds joins."""
+    schema = f"row_key {source.schema['row_key'].dataType.simpleString()}, item int, score int, longest int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         screen = seed_filter(seeds)
-        repeats = np.searchsorted(seeds, seeds, side="right") - np.searchsorted(seeds, seeds)
         for batch in batches:
-            for part in C.slices(batch, "row_text"):
-                w = text_words(C.from_arrow(part.column(part.schema.get_field_index("row_text"))))
-                bounds = np.searchsorted(w.row, np.arange(part.num_rows + 1))
-                gram, at = C.ngrams(w, SEED)
-                which, number = lookup(gram, seeds, screen)
-                if not len(which):
-                    continue
-                times = repeats[number]
-                pos = np.repeat(at[which], times)
-                one = place[np.repeat(number, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                item, row = items.item[one], w.row[pos]
-                size, within = np.diff(items.start)[item], items.at[one] - items.start[item]
-                low = np.maximum(pos - REACH * within, bounds[row])
-                high = np.minimum(pos + REACH * (size - within), bounds[row + 1])
-                order = np.lexsort((low, item, row))
-                row, item, low, high = row[order], item[order], low[order], high[order]
-                group = row * len(items.ids) + item
-                reach = np.maximum.accumulate(high + group * np.int64(len(w.hash) + 1)) - group * np.int64(len(w.hash) + 1)
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (group[1:] != group[:-1]) | (low[1:] > reach[:-1])
-                first = np.flatnonzero(fresh)
-                low, high, row, item = low[first], np.maximum.reduceat(high, first), row[first], item[first]
-                score, longest = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
-                by_size = np.argsort(high - low, kind="stable")
-                while len(by_size):
-                    cells = np.cumsum((high - low)[by_size])
-                    take = by_size[: max(1, int(np.searchsorted(cells, CELLS // 4)))]
-                    by_size = by_size[len(take) :]
-                    score[take], longest[take] = smith_waterman([w.hash[low[k] : high[k]] for k in take], [items.hash[items.start[item[k]] : items.start[item[k] + 1]] for k in take])
-                keys = part.column(0).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(item.astype(np.int32)), pa.array(score), pa.array(longest)], ["row_key", "item", "score", "longest"])
-
-    return held.select("row_key", "row_text").mapInArrow(run, schema)
+            for part in C.slices(batch, column):
+                t = C.from_arrow(part.column(1))
+                w = C.words(t if is_folded else folded(t), markup=True)
+                row, item, score, longest = alignments(w, part.num_rows, items, seeds, place, screen, reach)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(item.astype(np.int32)), pa.array(score), pa.array(longest)], ["row_key", "item", "score", "longest"])
+
+    return source.select("row_key", column).mapInArrow(run, schema)
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", block: int = BLOCK, run: int | None = None) -> DataFrame:
     """key, item_key, item_words, score, share, longest of each pair of document and item joined by a seed.
 
     share: the score against that of a whole copy. longest: equal consecutive words.
-    run: if only pairs of so many equal consecutive words are needed (SEED at least); others may be left out.
+    run: if only pairs of so many equal consecutive words are needed (SEED at least); others may be left out, and
+    score and longest are those of the words around the seeds.
     """
     spark = documents.sparkSession
     queries = items.select(F.col(item_key).alias("q"), F.col(passage).alias("p")).where(F.col("q").isNotNull()).distinct()
@@ -201,14 +225,15 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         mine = Items([r["q"] for r in rows], [r["p"] for r in rows])
         if not len(mine.seeds):
             continue
-        held = materialize(with_seeds(documents, key, text, mine.seeds), "p8-held")
         if run is None:
-            found = align(held, mine, *mine.every())
+            texts = documents.select(F.col(key).alias("row_key"), F.make_valid_utf8(F.col(text)).alias("row_text"))
+            found = align(texts, "row_text", False, mine, *mine.every(), None)
         else:
+            held = materialize(around_seeds(documents, key, text, mine.seeds, run), "p8-held")
             counts = np.zeros(len(mine.seeds), np.int64)
             for r in held.select(F.explode("seeds").alias("s")).groupBy("s").count().collect():
                 counts[r["s"]] = r["count"]
-            found = align(held, mine, *mine.chosen(counts, run))
+            found = align(held, "part", True, mine, *mine.chosen(counts, run), run)
         size = np.diff(mine.start)
         names = spark.createDataFrame([(i, q, int(size[i])) for i, q in enumerate(mine.ids)], f"item int, {item_key} {items.schema[item_key].dataType.simpleString()}, item_words int")
         found = found.join(F.broadcast(names), "item").drop("item")
