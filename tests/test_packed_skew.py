@@ -31,8 +31,11 @@ CELLS = {
 }
 
 
-@pytest.fixture(scope="module")
-def values(spark):
+@pytest.fixture(scope="module", params=["to the tasks", "by joins"])
+def values(spark, request):
+    few = packed.DICTIONARY, packed.SOURCES
+    if request.param == "by joins":
+        packed.DICTIONARY, packed.SOURCES = (0, 0), 0
     rows = [(i, "f" if i % 2 else None, a, s) for i, (a, s) in enumerate(zip(list(CELLS) * 6, SHELVES * 20, strict=True))]
     extra = [("Travel, Northern, Law", ["Travel, Northern", "Law"]), ("Poetry/Folk Tales & Legends", ["Poetry", "Folk Tales & Legends"]), ("'Children's Reading', 'Law'", ["Children's Reading", "Law"]), ("Arts and Crafts and Law", ["Arts and Crafts", "Law"])]
     rows += [(1000 + i, "f", None, s) for i, (s, _) in enumerate(extra)]
@@ -40,6 +43,7 @@ def values(spark):
     out = defaultdict(dict)
     for r in packed.split_packed(df, "rec_id", "feed", {"authors": "name", "bookshelf": "label"}).collect():
         out[r["rec_id"], r["field_name"]][r["pos"]] = r["value"]
+    packed.DICTIONARY, packed.SOURCES = few
     return rows, extra, out
 
 
@@ -70,6 +74,21 @@ def test_labels_of_many_atoms(spark):
     assert [list(dict(sorted(out[100 + i].items())).values()) for i in range(len(cells))] == list(cells.values())
 
 
+def test_words_that_close_a_name_are_learned(spark):
+    cells = ["Roe & Gebrüder"] * 20 + ["Smith, John, Freiherr"] * 20 + ["Hale, Ann"] * 40
+    asked = {"Smith, John, Freiherr, Doe, Ann": ["Smith, John, Freiherr", "Doe, Ann"], "Ann Roe & Gebrüder, Hale, Ann": ["Ann Roe & Gebrüder", "Hale, Ann"]}
+    df = spark.createDataFrame([(i, "f", c) for i, c in enumerate([*cells, *asked])], "rec_id long, feed string, authors string")
+    out = defaultdict(list)
+    for r in packed.split_packed(df, "rec_id", "feed", {"authors": "name"}).orderBy("pos").collect():
+        out[r["rec_id"]].append(r["value"])
+    assert [out[80 + i] for i in range(len(asked))] == list(asked.values())
+
+
+def test_cells_told_by_their_form_are_cut_like_others():
+    for cell in ("Smith, John", "O'Neil , Pat", "Smith,\u00a0J. B.", "Ann Doe", "Smith-Roe, Ann of Ash"):
+        assert packed.values_of(cell, "name", packed.HARD + "&", packed.Known.of(())) == [cell]
+
+
 def test_very_long_cell(spark):
     names = [f"Last{i}, First" for i in range(5000)]
     df = spark.createDataFrame([(1, "f", "; ".join(names))], "rec_id long, feed string, authors string")

@@ -5,7 +5,13 @@ quotes; each candidate is scored per source and field by how regular the pieces
 (a value known from cells of its own, or of the form of a name) and how consistent their count is.
 Candidates below MIN_SCORE are not used in that source. With the others, names are put together by
 their form ("Last, First, Title", "First Last", houses), labels by the cut into most pieces that
-are all known from cells of their own.
+are all known from cells of their own. Words that may close a name behind an and-sign or a second
+comma (titles, "Sons", "Publishers") are learned from where they stand last: those with TAIL_SHARE
+of all such places in the field.
+
+Cells of one value that can be told by their form alone (no delimiter at all, or one word, a comma
+and a rest) never leave the JVM. All others are cut once to score the delimiters and once to give
+the values, from Arrow batches, without a shuffle; equal cells of a batch are worked on once.
 
 Defined results: null and blank cells and stand-ins for "not known" have no values; empty pieces
 are no values and take no position; quotes and brackets around a value or list are removed, all
@@ -17,39 +23,37 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeworks.session import materialize
+from tomeworks.session import materialize, small_or_none
 
 MIN_SCORE = {"name": 0.5, "label": 0.05, "label-sign": 0.001}  # commas and and-signs of labels are also judged cell by cell
 PRIOR = 5.0  # cells of the whole field that each source's score is mixed with
+TAIL_SHARE = 0.001
+DICTIONARY = (50_000, 4 << 20)  # labels, and characters in them, up to which the dictionary goes to the tasks whole
+SOURCES = 10_000  # sources and fields up to which the chosen delimiters do
 HARD = ";|/\n+"
 BREAK = re.compile(r"[;|/\n+,]|\s+(?:and|&)\s+")
 CLOSE = {'"': re.compile(r'"\s*(?=[;|/\n+,\]]|(?:and|&)\s|$)'), "'": re.compile(r"'\s*(?=[;|/\n+,\]]|(?:and|&)\s|$)")}
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed values.
 STAND_INS = frozenset(("n/a", "unknown", "none", "null", "-", "?", "[not known]"))
-TITLES = frozenset("dr sir mrs miss mr rev capt prof lady lord col gen maj hon esq jr sr st mme fr bp".split())
-HOUSE_WORDS = frozenset("society soc company co com house hou sons press publishers publishing printing print bros brothers ltd limited inc institute association club library university college office bureau union academy miss. missionary historical".split())
-HOUSE_TAILS = frozenset("sons co company bros brothers daughters partners cie publishers printers ltd limited inc".split())
 
 
 def plain_word(word: str) -> str:
-    """A word for comparison with fixed values: no invisible signs, one width, lower case, no full stop."""
+    """A word for comparison: no invisible signs, one width, lower case, no full stop."""
     if not word.isascii():
         word = "".join(c for c in unicodedata.normalize("NFKC", word) if unicodedata.category(c) != "Cf")
     return word.lower().strip(".,")
 
 
-def is_house(piece: str) -> bool:
-    words = [plain_word(w) for w in piece.split()]
-    return len(words) > 1 and any(w in HOUSE_WORDS for w in words)
-
-
 class Piece(NamedTuple):
     text: str
     quoted: bool
@@ -107,15 +111,29 @@ def rejoin(text: str, pieces: list[Piece]) -> str:
     return text[pieces[0].start : pieces[-1].end].strip()
 
 
-def name_groups(pieces: list[Piece], use_and: bool) -> list[list[Piece]]:
-    """Neighbouring pieces grouped to names by their form."""
+def one_word(text: str) -> bool:
+    return len(text.split()) == 1
+
+
+def tail_of(part: list[Piece]) -> str | None:
+    """The word in the place of a title or a house's ending, if the part has one."""
+    p = [x for x in part if x.text]
+    if len(p) < 2 or p[-1].quoted or not one_word(p[-1].text):
+        return None
+    house = p[-1].before == "&" or (len(p) > 2 and p[-1].before == "," and p[-2].before == "&" and one_word(p[-2].text))
+    title = len(p) == 3 and p[1].before == p[2].before == "," and one_word(p[0].text)
+    return plain_word(p[-1].text) if house or title else None
+
+
+def name_groups(pieces: list[Piece], use_and: bool, tails: frozenset[str]) -> list[list[Piece]]:
+    """Neighbouring pieces grouped to names by their form; tails: words that may close a name."""
     pieces = [p for p in pieces if p.text]
     chunks: list[list[list[Piece]]] = []  # between and-signs: between commas: pieces
     for i, p in enumerate(pieces):
         if chunks and p.before == "&":
             follows = i + 1 < len(pieces) and pieces[i + 1].before == ","
-            tail = len(p.text.split()) == 1 and (not follows or plain_word(p.text) in HOUSE_TAILS)
-            lone = len(chunks[-1]) == 1 and len(chunks[-1][0]) == 1 and len(chunks[-1][0][0].text.split()) == 1
+            tail = one_word(p.text) and (not follows or plain_word(p.text) in tails)
+            lone = len(chunks[-1]) == 1 and len(chunks[-1][0]) == 1 and one_word(chunks[-1][0][0].text)
             if tail or lone or not use_and:
                 chunks[-1][-1].append(p)
             else:
@@ -128,12 +146,11 @@ def name_groups(pieces: list[Piece], use_and: bool) -> list[list[Piece]]:
     for chunk in chunks:
         i = 0
         while i < len(chunk):
-            one_word = len(chunk[i]) == 1 and len(chunk[i][0].text.split()) == 1
-            take = 2 if one_word and i + 1 < len(chunk) else 1
+            take = 2 if len(chunk[i]) == 1 and one_word(chunk[i][0].text) and i + 1 < len(chunk) else 1
             while i + take < len(chunk):
                 nxt = chunk[i + take]
-                short = len(nxt) == 1 and len(nxt[0].text.split()) == 1
-                if short and (plain_word(nxt[0].text) in TITLES | HOUSE_TAILS or i + take + 1 == len(chunk)):
+                short = len(nxt) == 1 and one_word(nxt[0].text)
+                if short and (plain_word(nxt[0].text) in tails or i + take + 1 == len(chunk)):
                     take += 1
                 else:
                     break
@@ -147,18 +164,29 @@ def regular_name(text: str) -> bool:
     return any(c.isalpha() for c in text) and (len(text.split()) > 1) and not any(c in ";|/\n+" for c in text)
 
 
-def label_cut(atoms: list[str], known: set[str]) -> list[int] | None:
+class Known(NamedTuple):
+    """Labels known from cells of their own."""
+
+    labels: frozenset[str]
+    longest: int
+
+    @classmethod
+    def of(cls, labels) -> Known:
+        labels = frozenset(labels or ())
+        return cls(labels, max(map(len, labels), default=0))
+
+
+def label_cut(atoms: list[str], known: Known) -> list[int] | None:
     """Lengths of the most pieces into which atoms can be cut so that all are known; the text of a piece
     is that of its atoms and the delimiters between them, which stand at odd places. None if there is no such cut."""
     n = (len(atoms) + 1) // 2
     best: list[tuple[int, int] | None] = [(0, 0)] + [None] * n
-    longest = max(map(len, known), default=0)
     for end in range(1, n + 1):
         for size in range(1, end + 1):
             start, span = best[end - size], "".join(atoms[2 * (end - size) : 2 * end - 1]).strip()
-            if len(span) > longest:
+            if len(span) > known.longest:
                 break
-            if start is not None and span in known and (best[end] is None or start[0] + 1 > best[end][0]):
+            if start is not None and span in known.labels and (best[end] is None or start[0] + 1 > best[end][0]):
                 best[end] = (start[0] + 1, size)
     if best[n] is None:
         return None
@@ -189,7 +217,7 @@ def _hard_parts(cell: str, hard: str) -> list[tuple[str, bool]]:
     return [(rejoin(text, g), g[0].quoted) for g in parts_of(pieces, hard)]
 
 
-def stats_of(cell: str, kind: str, known: set[str]) -> list[tuple[str, int, float]]:
+def stats_of(cell: str, kind: str, known: Known) -> list[tuple[str, int, float]]:
     """For each candidate delimiter in a cell: (delimiter, pieces, share of regular pieces)."""
     text, pieces = cut(cell)
     out = []
@@ -204,7 +232,7 @@ def stats_of(cell: str, kind: str, known: set[str]) -> list[tuple[str, int, floa
             out.append((d, len(good), sum(good) / len(good)))
     if kind == "name":
         if "&" in present:
-            names = [n for g in parts_of(pieces, HARD) for n in name_groups(g, True)]
+            names = [n for g in parts_of(pieces, HARD) for n in name_groups(g, True, frozenset())]
             out.append(("&", len(names), sum(n[0].quoted or regular_name(rejoin(text, n)) for n in names) / max(1, len(names))))
         return out
     for t, quoted in _hard_parts(cell, HARD):
@@ -217,11 +245,15 @@ def stats_of(cell: str, kind: str, known: set[str]) -> list[tuple[str, int, floa
     return out
 
 
-def values_of(cell: str, kind: str, delimiters: str, known: set[str]) -> list[str]:
+def tails_of(cell: str) -> list[str]:
+    return [w for g in parts_of(cut(cell)[1], HARD) if (w := tail_of(g))]
+
+
+def values_of(cell: str, kind: str, delimiters: str, known: Known, tails: frozenset[str] = frozenset()) -> list[str]:
     hard = "".join(d for d in delimiters if d in HARD)
     if kind == "name":
         text, pieces = cut(cell)
-        groups = [n for g in parts_of(pieces, hard) for n in ([g] if g[0].quoted else name_groups(g, "&" in delimiters))]
+        groups = [n for g in parts_of(pieces, hard) for n in ([g] if g[0].quoted else name_groups(g, "&" in delimiters, tails))]
         return [v for v in (rejoin(text, g) for g in groups if any(p.text for p in g)) if v]
     out = []
     for text, quoted in _hard_parts(cell, hard):
@@ -234,38 +266,97 @@ def values_of(cell: str, kind: str, delimiters: str, known: set[str]) -> list[st
     return [v for v in out if v]
 
 
-def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -> DataFrame:
-    """key, field_name, pos, value, n_values: every value of the given fields ("name" or "label" each)."""
-    key_type = df.schema[key].dataType.simpleString()
-    kinds = F.create_map(*(F.lit(x) for f, k in fields.items() for x in (f, k)))
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("c")) for f in fields)))
-    cells = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), pairs.alias("p")).select("k", "s", "p.f", F.make_valid_utf8("p.c").alias("c"))
-    text = F.trim(F.regexp_replace("c", r"(?U)^[\s]+|[\s]+$", ""))
-    cells = cells.where("c is not null").withColumn("t", text).where((F.col("t") != "") & ~F.lower("t").isin(*STAND_INS))
-    cells = cells.withColumn("kind", kinds[F.col("f")])
-    packed = F.col("t").rlike(r"[;|/\n+,\"\[]|^'|\s(and|&)\s") | ((F.col("kind") == "label") & F.col("t").rlike(r"\s"))
+def _told_by_form(kind: Column) -> Column:
+    """A cell t that is one value whatever the delimiters are."""
+    plain = r"^[^;|/\n+,\"\[']" + r"[^;|/\n+,\"\[]*$"
+    word, gap, rest = r"[^\s;|/+,\"\['&][^\s;|/+,\"\[&]*", r"[\s&&[^\n]]*", r"[^\s;|/+,\"\['][^;|/\n+,\"\[]*"
+    signs = F.col("t").rlike(r"(?U)\s(and|&)\s")
+    name = F.col("t").rlike(f"(?U){plain}|^{word}{gap},{gap}{rest}$") & ~signs
+    label = F.col("t").rlike(plain) & ~F.col("t").rlike(r"(?U)\s")
+    return F.when(kind == "label", label).otherwise(name)
+
+
+def _dictionary(cells: DataFrame) -> tuple[DataFrame, dict[str, Known] | None]:
+    """The labels of cells of their own (f, span), and by field where they are few enough to go to the tasks."""
     alone = cells.where((F.col("kind") == "label") & ~F.col("t").rlike(r"[;|/\n+\"\[]|^'")).select("f", F.col("t").alias("span")).distinct()
-    todo = cells.where(packed)
+    alone = materialize(alone, "labels")
+    size = alone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("span")), F.lit(0)).alias("c")).first()
+    if size["n"] > DICTIONARY[0] or size["c"] > DICTIONARY[1]:
+        return alone, None
+    by_field = defaultdict(set)
+    for r in alone.collect():
+        by_field[r["f"]].add(r["span"])
+    return alone, {f: Known.of(x) for f, x in by_field.items()}
+
+
+def _with_known(todo: DataFrame, alone: DataFrame, key_type: str) -> DataFrame:
+    """todo with the labels known of each cell, for a dictionary that is too large to go to the tasks: by a join with the spans of its atoms."""
     n_atoms = F.size(F.split("span", "(?U)" + "|".join(SOFT_CUT.values())))
     limits = {r["f"]: r["n"] for r in alone.groupBy("f").agg(F.max(n_atoms).alias("n")).collect()}  # of the longest label of each field
 
-    def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            rows = [(k, f, s) for k, f, c in zip(x["k"], x["f"], x["t"], strict=True) for t, _ in _hard_parts(c, HARD) for s in spans_of(soft_atoms(t, ",&"), limits.get(f, 0)) | spans_of(soft_atoms(t, ",& "), limits.get(f, 0))]
-            yield pd.DataFrame(rows, columns=["k", "f", "span"])
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows: list[tuple[int, str]] = []
+            for i, (f, c) in enumerate(zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)):
+                n = limits.get(f, 0)
+                rows += [(i, s) for t, _ in _hard_parts(c, HARD) for s in spans_of(soft_atoms(t, ",&"), n) | spans_of(soft_atoms(t, ",& "), n)]
+            at = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array([s for _, s in rows], pa.string())], ["k", "f", "span"])
 
-    wanted = todo.where("kind = 'label'").select("k", "f", "t").mapInPandas(spans, f"k {key_type}, f string, span string").distinct()
+    wanted = todo.where("kind = 'label'").select("k", "f", "t").mapInArrow(spans, f"k {key_type}, f string, span string").distinct()
     known = wanted.join(alone, ["f", "span"], "left_semi").groupBy("k", "f").agg(F.collect_set("span").alias("known"))
-    todo = materialize(todo.join(known, ["k", "f"], "left"), "packed")
+    return materialize(todo.join(known, ["k", "f"], "left"), "packed")
+
 
-    def stats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            rows = [(s, f, d, n, r) for s, f, kind, c, known in zip(x["s"], x["f"], x["kind"], x["t"], x["known"], strict=True) for d, n, r in stats_of(c, kind, set(known) if known is not None else set())]
-            yield pd.DataFrame(rows, columns=["s", "f", "d", "n", "r"])
+def _known_of(x: pa.RecordBatch, known: dict[str, Known] | None) -> list[Known]:
+    """What is known of each row's cell."""
+    nothing = Known.of(())
+    if known is not None:
+        return [known.get(f, nothing) for f in x.column("f").to_pylist()]
+    return [Known.of(v) if v else nothing for v in x.column("known").to_pylist()]
 
-    sums = [F.count("*").alias("cells"), F.sum("r").alias("r"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")]
-    by_source = todo.select("s", "f", "kind", "t", "known").mapInPandas(stats, "s string, f string, d string, n long, r double").groupBy("s", "f", "d").agg(*sums)
-    whole = by_source.groupBy("f", "d").agg(*(F.sum(c).alias("w_" + c) for c in ("cells", "r", "n", "nn")))
+
+def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -> DataFrame:
+    """key, field_name, pos, value, n_values: every value of the given fields ("name" or "label" each)."""
+    key_type = df.schema[key].dataType.simpleString()
+    kinds = F.create_map(*(F.lit(x) for f, k in fields.items() for x in (f, k)))
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.lit(k).alias("kind"), F.col(f).cast("string").alias("c")) for f, k in fields.items())))
+    cells = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), pairs.alias("p")).select("k", "s", "p.f", "p.kind", F.btrim(F.make_valid_utf8("p.c"), F.lit(WHITE)).alias("t"))
+    cells = cells.where((F.col("t") != "") & ~F.lower("t").isin(*STAND_INS))
+    told = _told_by_form(F.col("kind"))
+    todo = cells.where(~told)
+    alone, known = _dictionary(cells) if "label" in fields.values() else (None, {})
+    if known is None:
+        todo = _with_known(todo, alone, key_type)
+    columns = ["s", "f", "kind", "t", *(["known"] if known is None else [])]
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = lru_cache(1 << 14)(stats_of)
+        for x in batches:
+            sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0, 0])
+            for s, f, kind, c, own in zip(*(x.column(i).to_pylist() for i in range(4)), _known_of(x, known), strict=True):
+                found = once(c, kind, own) if known is not None else stats_of(c, kind, own)
+                for d, n, r in found:
+                    for i, v in enumerate((1, r, n, n * n)):
+                        sums[s, f, d][i] += v
+                for w in tails_of(c) if kind == "name" else ():
+                    sums[None, f, "tail " + w][0] += 1
+            keys, values = list(sums), list(sums.values())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), *(pa.array([v[i] for v in values], pa.float64()) for i in range(4))], ["s", "f", "d", "cells", "r", "n", "nn"]
+            )
+
+    names = ("cells", "r", "n", "nn")
+    by_source = todo.select(*columns).mapInArrow(stats, "s string, f string, d string, cells double, r double, n double, nn double").groupBy("s", "f", "d").agg(*(F.sum(c).alias(c) for c in names))
+    by_source = materialize(by_source, "packed-scores")
+    is_tail = F.col("d").startswith("tail ")
+    ends = by_source.where(is_tail).select("f", F.substring("d", 6, 1 << 30).alias("w"), "cells")
+    all_ends = ends.groupBy("f").agg(F.sum("cells").alias("all"))
+    # At most 1 / TAIL_SHARE words of each field.
+    frequent = ends.join(F.broadcast(all_ends), "f").where((F.col("cells") >= 2) & (F.col("cells") >= TAIL_SHARE * F.col("all"))).collect()
+    tails = {f: frozenset(r["w"] for r in frequent if r["f"] == f) for f in fields}
+    by_source = by_source.where(~is_tail)
+    whole = by_source.groupBy("f", "d").agg(*(F.sum(c).alias("w_" + c) for c in names))
     scored = by_source.join(whole, ["f", "d"])
     mixed = {c: F.col(c) + F.lit(PRIOR) * F.col("w_" + c) / F.col("w_cells") for c in ("r", "n", "nn")}
     size = F.col("cells") + F.lit(PRIOR)
@@ -274,14 +365,22 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
     limit = F.when(kinds[F.col("f")] == "name", MIN_SCORE["name"]).when(F.col("d").isin(",", "&"), MIN_SCORE["label-sign"]).otherwise(MIN_SCORE["label"])
     chosen = scored.withColumn("score", mixed["r"] / size * consistency).where(F.col("score") >= limit)
     chosen = chosen.groupBy(F.col("s").alias("cs"), F.col("f").alias("cf")).agg(F.array_join(F.array_sort(F.collect_set("d")), "").alias("delimiters"))
-    todo = todo.join(chosen, todo["s"].eqNullSafe(chosen["cs"]) & (todo["f"] == chosen["cf"]), "left")
-
-    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            lists = [values_of(c, kind, d or "", set(known) if known is not None else set()) for kind, c, d, known in zip(x["kind"], x["t"], x["delimiters"], x["known"], strict=True)]
-            yield pd.DataFrame({"k": x["k"], "f": x["f"], "v": lists})
-
-    split = todo.select("k", "f", "kind", "t", "delimiters", "known").mapInPandas(values, f"k {key_type}, f string, v array<string>")
-    single = cells.where(~packed).select("k", "f", F.array("t").alias("v"))
+    few = small_or_none(chosen, SOURCES)
+    of_source = None if few is None else {(r["cs"], r["cf"]): r["delimiters"] for r in few}
+    if few is None:
+        todo = todo.join(chosen, todo["s"].eqNullSafe(chosen["cs"]) & (todo["f"] == chosen["cf"]), "left")
+        columns = [*columns, "delimiters"]
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = lru_cache(1 << 14)(values_of)
+        for x in batches:
+            s, f, kind, t = (x.column(c).to_pylist() for c in ("s", "f", "kind", "t"))
+            cut_at = x.column("delimiters").to_pylist() if of_source is None else [of_source.get(p) for p in zip(s, f, strict=True)]
+            use = once if known is not None else values_of
+            lists = [use(c, k, d or "", own, tails.get(g, frozenset())) for c, k, d, own, g in zip(t, kind, cut_at, _known_of(x, known), f, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column("k"), x.column("f"), pa.array(lists, pa.list_(pa.string()))], ["k", "f", "v"])
+
+    split = todo.select("k", *columns).mapInArrow(values, f"k {key_type}, f string, v array<string>")
+    single = cells.where(told).select("k", "f", F.array("t").alias("v"))
     out = split.unionByName(single).select("k", "f", F.size("v").alias("n_values"), F.posexplode("v").alias("pos", "value"))
     return out.select(F.col("k").alias(key), F.col("f").alias("field_name"), (F.col("pos") + 1).cast("long").alias("pos"), "value", "n_values")
