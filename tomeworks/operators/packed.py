@@ -41,6 +41,7 @@ DICTIONARY = (50_000, 4 << 20)  # labels, and characters in them, up to which th
 SOURCES = 10_000  # sources and fields up to which the chosen delimiters do
 HARD = ";|/\n+"
 BREAK = re.compile(r"[;|/\n+,]|\s+(?:and|&)\s+")
+GAP = re.compile(r"[^\S\n]*")
 CLOSE = {'"': re.compile(r'"\s*(?=[;|/\n+,\]]|(?:and|&)\s|$)'), "'": re.compile(r"'\s*(?=[;|/\n+,\]]|(?:and|&)\s|$)")}
 WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed values.
@@ -72,10 +73,9 @@ def cut(cell: str) -> tuple[str, list[Piece]]:
         text = text[1:-1]
     out, pos, before = [], 0, ""
     while pos <= len(text):
-        while pos < len(text) and text[pos].isspace() and text[pos] != "\n":
-            pos += 1
+        pos = GAP.match(text, pos).end()
         mark = text[pos : pos + 1]
-        closing = CLOSE[mark].search(text, pos + 1) if mark in CLOSE and mark else None
+        closing = CLOSE[mark].search(text, pos + 1) if mark in ('"', "'") else None
         if closing:
             start, end = pos + 1, closing.start()
             pos = closing.end()
@@ -83,10 +83,10 @@ def cut(cell: str) -> tuple[str, list[Piece]]:
         else:
             m = BREAK.search(text, pos)
             start, end = pos, m.start() if m else len(text)
-        piece = text[start:end]
-        start += len(piece) - len(piece.lstrip())
-        piece = piece.strip()
-        out.append(Piece(piece, bool(closing), before, start, start + len(piece)))
+        if closing:
+            start = GAP.match(text, start).end()
+        piece = text[start:end].strip()
+        out.append(Piece(piece, closing is not None, before, start, start + len(piece)))
         if not m:
             break
         sign = m.group().strip()
@@ -206,19 +206,26 @@ def soft_atoms(text: str, delimiters: str) -> list[str]:
     return re.split("(" + "|".join(chosen) + ")", text) if chosen else [text]
 
 
+@lru_cache(1 << 16)
+def soft_cut(text: str, delimiters: str, known: Known) -> tuple[list[str], list[int] | None]:
+    """The atoms of a label and the cut of them; the same parts return in many cells."""
+    atoms = soft_atoms(text, delimiters)
+    return atoms, label_cut(atoms, known)
+
+
 def spans_of(atoms: list[str], limit: int) -> set[str]:
     n = (len(atoms) + 1) // 2
     return {"".join(atoms[2 * i : 2 * (i + size) - 1]).strip() for i in range(n) for size in range(1, min(limit, n - i) + 1)}
 
 
-def _hard_parts(cell: str, hard: str) -> list[tuple[str, bool]]:
-    """Stored text of each part of a label cell between hard delimiters, and whether it was quoted."""
+def _hard_parts(cell: str) -> list[str]:
+    """Stored text of each part of a label cell between hard delimiters."""
     text, pieces = cut(cell)
-    return [(rejoin(text, g), g[0].quoted) for g in parts_of(pieces, hard)]
+    return [rejoin(text, g) for g in parts_of(pieces, HARD)]
 
 
-def stats_of(cell: str, kind: str, known: Known) -> list[tuple[str, int, float]]:
-    """For each candidate delimiter in a cell: (delimiter, pieces, share of regular pieces)."""
+def stats_of(cell: str, kind: str, known: Known) -> tuple[list[tuple[str, int, float]], list[str]]:
+    """For each candidate delimiter in a cell: (delimiter, pieces, share of regular pieces); and the words that stand where a name may be closed."""
     text, pieces = cut(cell)
     out = []
     present = {p.before for p in pieces[1:]}
@@ -227,38 +234,38 @@ def stats_of(cell: str, kind: str, known: Known) -> list[tuple[str, int, float]]
         for g in parts_of(pieces, d):
             first = parts_of(g, HARD)[0]  # what other delimiters cut off is judged under them
             whole = rejoin(text, first)
-            good.append(first[0].quoted or (regular_name(whole) if kind == "name" else label_cut(soft_atoms(whole, ",&"), known) is not None))
+            good.append(first[0].quoted or (regular_name(whole) if kind == "name" else soft_cut(whole, ",&", known)[1] is not None))
         if good:
             out.append((d, len(good), sum(good) / len(good)))
+    parts = parts_of(pieces, HARD)
     if kind == "name":
         if "&" in present:
-            names = [n for g in parts_of(pieces, HARD) for n in name_groups(g, True, frozenset())]
+            names = [n for g in parts for n in name_groups(g, True, frozenset())]
             out.append(("&", len(names), sum(n[0].quoted or regular_name(rejoin(text, n)) for n in names) / max(1, len(names))))
-        return out
-    for t, quoted in _hard_parts(cell, HARD):
-        if not quoted:
+        return out, [w for g in parts if (w := tail_of(g))]
+    for g in parts:
+        if not g[0].quoted:
             for d in (",", "&", " "):
-                atoms = soft_atoms(t, d)
+                atoms, lengths = soft_cut(rejoin(text, g), d, known)
                 if len(atoms) > 1:
-                    lengths = label_cut(atoms, known) or [1]
-                    out.append((d, len(lengths), float(len(lengths) > 1)))
-    return out
-
-
-def tails_of(cell: str) -> list[str]:
-    return [w for g in parts_of(cut(cell)[1], HARD) if (w := tail_of(g))]
+                    n = len(lengths or [1])
+                    out.append((d, n, float(n > 1)))
+    return out, []
 
 
 def values_of(cell: str, kind: str, delimiters: str, known: Known, tails: frozenset[str] = frozenset()) -> list[str]:
     hard = "".join(d for d in delimiters if d in HARD)
+    text, pieces = cut(cell)
     if kind == "name":
-        text, pieces = cut(cell)
         groups = [n for g in parts_of(pieces, hard) for n in ([g] if g[0].quoted else name_groups(g, "&" in delimiters, tails))]
         return [v for v in (rejoin(text, g) for g in groups if any(p.text for p in g)) if v]
     out = []
-    for text, quoted in _hard_parts(cell, hard):
-        atoms = soft_atoms(text, delimiters)
-        lengths = None if quoted else label_cut(atoms, known)
+    for g in parts_of(pieces, hard):
+        whole = rejoin(text, g)
+        if g[0].quoted:
+            out.append(whole)
+            continue
+        atoms, lengths = soft_cut(whole, delimiters, known)
         at = 0
         for size in lengths or [(len(atoms) + 1) // 2]:
             out.append("".join(atoms[2 * at : 2 * (at + size) - 1]).strip())
@@ -299,7 +306,7 @@ def _with_known(todo: DataFrame, alone: DataFrame, key_type: str) -> DataFrame:
             rows: list[tuple[int, str]] = []
             for i, (f, c) in enumerate(zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)):
                 n = limits.get(f, 0)
-                rows += [(i, s) for t, _ in _hard_parts(c, HARD) for s in spans_of(soft_atoms(t, ",&"), n) | spans_of(soft_atoms(t, ",& "), n)]
+                rows += [(i, s) for t in _hard_parts(c) for s in spans_of(soft_atoms(t, ",&"), n) | spans_of(soft_atoms(t, ",& "), n)]
             at = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array([s for _, s in rows], pa.string())], ["k", "f", "span"])
 
@@ -335,11 +342,14 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
         for x in batches:
             sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0, 0])
             for s, f, kind, c, own in zip(*(x.column(i).to_pylist() for i in range(4)), _known_of(x, known), strict=True):
-                found = once(c, kind, own) if known is not None else stats_of(c, kind, own)
+                found, ends = once(c, kind, own) if known is not None else stats_of(c, kind, own)
                 for d, n, r in found:
-                    for i, v in enumerate((1, r, n, n * n)):
-                        sums[s, f, d][i] += v
-                for w in tails_of(c) if kind == "name" else ():
+                    row = sums[s, f, d]
+                    row[0] += 1
+                    row[1] += r
+                    row[2] += n
+                    row[3] += n * n
+                for w in ends:
                     sums[None, f, "tail " + w][0] += 1
             keys, values = list(sums), list(sums.values())
             yield pa.RecordBatch.from_arrays(
