@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tomeworks import cli
+from tomeworks.functions import codec
 from tomeworks.operators import index
 from tomeworks.sources import readers, sinks
 from tomeworks.streaming import incremental
@@ -42,29 +43,45 @@ def test_lists(spark, tmp_path):
 
 def test_logs_and_judgments(spark, tmp_path):
     log = str(tmp_path / "l" / "q.jsonl")
-    sinks.append_log(log, query="ö", model="bm25", elapsed_ms=1.25)
-    with open(log, "a") as f:
-        f.write("\n")
-    sinks.append_log(log, query="b")
+    sinks.append_log(spark, log, [{"query": "ö", "model": "bm25", "elapsed_ms": 1.25}])
+    (tmp_path / "l" / "q.jsonl" / "part-typed.json").write_text("\n")
+    sinks.append_log(spark, log, [{"query": "b"}])
     got = sinks.latency_rows(readers.query_log(spark, log)).orderBy("query").collect()
     assert [(r["query"], r["elapsed_ms"], r["topk"], r["phrase_fallback"]) for r in got] == [("b", "0.00", 0, False), ("ö", "1.25", 0, False)]
     path = str(tmp_path / "j.csv")
-    sinks.append_judgments(path, [("1", "bm25", 1, "7", 2)])
-    sinks.append_judgments(path, [("1", "bm25", 2, "8", 0), ("1", "bm25", 3, "8", 5)])
+    sinks.append_judgments(spark, path, [("1", "bm25", 1, "7", 2)])
+    sinks.append_judgments(spark, path, [("1", "bm25", 2, "8", 0), ("1", "bm25", 3, "8", 5)])
     assert [(r["rank"], r["label"]) for r in readers.judgments_csv(spark, path).orderBy("rank").collect()] == [(1, 2), (2, 0)]
 
 
 def test_performance_table(spark, tmp_path):
-    values = {"N": 70772, "total_text_bytes_read": 27_800_000_000, "elapsed_seconds": 37826.04, "docs_per_second": 1.871, "mb_per_second": 0.735, "peak_tracemalloc_mb": 1009.2, "blocks_written": 150, "final_vocab_size": 22463450, "avgdl": 61570.2, "postings_bytes": 1_150_000_000, "sqlite_bytes": 1_280_000_000}
-    sinks.write_report(str(tmp_path / "b.json"), values)
-    rows = sinks.performance_rows(readers.build_metrics(spark, str(tmp_path / "b.json"))).orderBy("place").collect()
-    assert [r["value"] for r in rows] == ["70772", "27.8", "37826.0", "1.87", "0.74", "1009", "150", "22,463,450", "61570", "1.15", "1.28"]
+    values = {"N": 812, "total_text_bytes_read": 31_400_000, "elapsed_seconds": 12.345, "docs_per_second": 65.775, "final_vocab_size": 90210, "avgdl": 377.04, "postings_bytes": 1_250_000}
+    sinks.write_report(spark, str(tmp_path / "b.json"), values)
+    rows = {r["metric"]: (r["value"], r["unit"]) for r in sinks.performance_rows(readers.build_metrics(spark, str(tmp_path / "b.json"))).collect()}
+    assert rows == {
+        "N": ("812", ""), "total_text_bytes_read": ("31.40", "MB"), "elapsed_seconds": ("12.35", "s"), "docs_per_second": ("65.78", "per s"),
+        "final_vocab_size": ("90210", ""), "avgdl": ("377.04", ""), "postings_bytes": ("1.25", "MB"),
+    }
 
 
 def test_table_for_print():
-    t = sinks.latex_table(["q", "x_y"], [["1", "a&b"], ["1", "5%"], ["2", "ö#"]], "c", "t:x", group_by=0)
-    assert r"a\&b" in t and r"5\%" in t and r"{\"o}\#" in t and r"x\_y" in t
-    assert t.count(r"\midrule") == 2
+    t = sinks.latex_table(["q", "x_y"], [["1", "a&b"], ["1", "5% {of} \\ $3 ~ ^"], ["2", "ö#"], ["2", None]], "c", "t:x", group_by=0)
+    assert r"a\&b" in t and r'{\"o}\#' in t and r"x\_y" in t and r"5\% \{of\} \textbackslash{} \$3 \textasciitilde{} \textasciicircum{}" in t
+    assert t.count(r"\midrule") == 2 and sinks.latex_escape("Čapek, façade, Å") == r"{\v C}apek, fa{\c c}ade, {\r A}"
+
+
+def test_byte_lists(tmp_path):
+    lists = [("b", [(7, 1), (3, 2)]), ("a", []), ("c", [(0, 300), (100_000, 1)])]
+    rows = codec.write_postings(str(tmp_path / "p"), lists)
+    assert [(t, n) for t, n, _, _ in rows] == [("b", 2), ("a", 0), ("c", 2)]
+    with codec.PostingsFile(str(tmp_path / "p")) as f:
+        assert [f.read(at, size) for _, _, at, size in rows] == [[(3, 2), (7, 1)], [], [(0, 300), (100_000, 1)]]
+        assert f.read(*rows[0][2:]) is f.read(*rows[0][2:])
+        with pytest.raises(OSError):
+            f.read(rows[2][2], rows[2][3] + 1)
+    f.close()
+    with pytest.raises(FileNotFoundError):
+        codec.PostingsFile(str(tmp_path / "none")).read(0, 1)
 
 
 def test_commands(spark, folder, capsys, monkeypatch):
@@ -88,7 +105,22 @@ def test_commands(spark, folder, capsys, monkeypatch):
     answers = iter(["9", "1"])
     args = cli.parser().parse_args(["--data", str(folder), "judge", "--tsv", str(folder / "tsv_full/4_bm25.tsv")])
     assert cli.judge(cli.Workspace(spark, str(folder), False), args, lambda _: next(answers)) == 0
-    assert (folder / "judgments/judgments.csv").read_text().splitlines()[1] == "4,bm25,1,3,1"
+    assert [tuple(r) for r in readers.judgments_csv(spark, str(folder / "judgments/judgments.csv")).collect()] == [("4", "bm25", 1, "3", 1)]
+    assert run("run_eval_queries", "--allow-full-scan") == 0 and run("check_determinism", "--allow-full-scan") == 0
+    log = readers.query_log(spark, str(folder / "logs/query_metrics.jsonl"))
+    told = {(r["model"], r["query"]): r for r in log.where("topk = 100").collect()}
+    assert len(told) == 18 and told["bm25", "Jabberwocky"]["postings_accessed"] == 1 and told["bm25", "Jabberwocky"]["candidates_scored"] == 1
+    for name in cli.REPORTS:
+        assert run(name) == 0
+    made = {p.name: p.read_text() for p in (folder / "analysis").iterdir() if p.suffix in (".csv", ".json", ".tex")}
+    assert len(made) == 12 and all(made.values())
+    assert made["metrics_by_query_model.csv"].splitlines() == ["query_nr,query_text,model,P@10,P@10_partial,AP@10,NDCG@10,result_count", "4,Jabberwocky,bm25,0.1000,0.1000,1.0000,1.0000,1"]
+    assert made["metrics_summary.csv"].splitlines()[1] == "bm25,0.1000,0.1000,1.0000,1.0000,1"
+    overlap = made["top10_overlap.csv"].splitlines()
+    assert len(overlap) == 19 and overlap[0] == "query_nr,pair,overlap_top10,jaccard_top10" and "4,vsm_vs_bm25,1,1.0000" in overlap
+    assert len(made["score_stats_by_query_model.csv"].splitlines()) == 19 and "4,structured,0,,,,," in made["score_stats_by_query_model.csv"]
+    assert json.loads(made["tsv_comparison.json"])["4"]["models"]["bm25"] == {"result_count": 1, "top10_ids": ["3"]}
+    assert "postings_bytes" in made["performance_table.csv"] and len(made["query_latency_table.csv"].splitlines()) > 18
     lines = iter(["bm25 grammar", "nonsense", ""])
     assert cli.interactive(cli.Workspace(spark, str(folder), False), args=cli.parser().parse_args(["interactive"]), ask=lambda _: next(lines)) == 0
 

@@ -5,6 +5,7 @@ Stored postings are Parquet, which has its own encodings; these serve exchange w
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame
@@ -56,6 +57,50 @@ def decode_postings(data: bytes) -> list[tuple[int, int]]:
     return list(zip(ungaps(flat[::2]), flat[1::2], strict=True))
 
 
+def write_postings(path: str, lists: Iterable[tuple[str, list[tuple[int, int]]]]) -> list[tuple[str, int, int, int]]:
+    """A file of byte lists one after the other; term, df, byte_offset, length of each."""
+    out, at = [], 0
+    with open(path, "wb") as f:
+        for term, pairs in lists:
+            data = encode_postings(sorted(pairs))
+            f.write(data)
+            out.append((term, len(pairs), at, len(data)))
+            at += len(data)
+    return out
+
+
+class PostingsFile:
+    """A file of byte lists, read by offset and length. It is opened at the first reading; lists once read are kept until it is closed."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self._file = None
+        self._kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def read(self, offset: int, length: int) -> list[tuple[int, int]]:
+        if (offset, length) not in self._kept:
+            if self._file is None:
+                self._file = open(self.path, "rb")
+            self._file.seek(offset)
+            data = self._file.read(length)
+            if len(data) < length:
+                raise OSError(f"{self.path} ends {length - len(data)} bytes before a list at {offset} does")
+            self._kept[offset, length] = decode_postings(data)
+        return self._kept[offset, length]
+
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+        self._file = None
+        self._kept.clear()
+
+    def __enter__(self) -> PostingsFile:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
 def posting_gaps(postings: DataFrame, spread: int = SPREAD) -> DataFrame:
     """term, docid, gap: the difference to the term's previous record, the first keeps its id.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -42,16 +43,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only where nothing is set (tests in one process) a temporary folder is made and set.
+    Only where nothing is set and all work is done in one process, a temporary folder is made and set.
     """
     ship(spark)
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tomeworks-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = hadoop_path(spark, path)
+    fs.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on whatever store the path is of."""
+    fs, target = hadoop_path(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def files_in(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Names and sizes of the files of a folder; nothing if there is none."""
+    fs, target = hadoop_path(spark, folder)
+    return {s.getPath().getName(): s.getLen() for s in fs.listStatus(target) if s.isFile()} if fs.exists(target) else {}
+
+
+def bytes_in(spark: SparkSession, path: str) -> int:
+    fs, target = hadoop_path(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
+def version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """What changes when a table is written anew: bytes and the time of its last change."""
+    fs, target = hadoop_path(spark, path)
+    if not fs.exists(target):
+        return 0, 0
+    return fs.getContentSummary(target).getLength(), max([fs.getFileStatus(target).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(target))])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -61,9 +104,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tomeworks/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs, target = hadoop_path(spark, path)
+    fs.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

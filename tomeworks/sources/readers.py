@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tomeworks.functions.text import newlines
 
+# Column names and keys of the files.
 CATALOGUE_COLUMNS = {"gutenberg_id": "gutenberg_id", "title": "title", "author": "authors", "language": "language", "gutenberg_bookshelf": "bookshelf", "rights": "rights"}
 LOG_DEFAULTS = {"query": "", "model": "", "elapsed_ms": 0.0, "topk": 0, "candidates_scored": 0, "phrase_fallback_used": False}
 LOG_SCHEMA = "timestamp string, model string, query string, topk long, elapsed_ms double, postings_accessed long, candidates_scored long, phrase_fallback_used boolean"
@@ -40,7 +41,9 @@ def list_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     stem = F.regexp_replace("f", r"\.[^.]*$", "")
     named = stem.rlike(r"^\d+_.+$")
-    lines = lines.select(F.when(named, F.regexp_extract(stem, r"^(\d+)_", 1)).otherwise(stem).alias("query_nr"), F.when(named, F.regexp_extract(stem, r"^\d+_(.+)$", 1)).otherwise("unknown").alias("model"), "b", "i", "value")
+    query = F.when(named, F.regexp_extract(stem, r"^(\d+)_", 1)).otherwise(stem)
+    model = F.when(named, F.regexp_extract(stem, r"^\d+_(.+)$", 1)).otherwise("unknown")
+    lines = lines.select(query.alias("query_nr"), model.alias("model"), "b", "i", "value")
     order = W.partitionBy("query_nr", "model").orderBy("b", "i")
     return lines.withColumn("line", F.row_number().over(order)).select("query_nr", "model", "line", "value")
 
@@ -67,7 +70,9 @@ def build_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUILD_SCHEMA).json(path, multiLine=True)
 
 
-def titles(results: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Results with title and authors, empty where the catalogue has none."""
+def titles(results: DataFrame, metadata: DataFrame | None) -> DataFrame:
+    """Results with title and authors, empty where the catalogue has none or there is no catalogue."""
+    if metadata is None:
+        return results.withColumns({"title": F.lit(""), "authors": F.lit("")})
     own = metadata.select("gutenberg_id", "title", "authors")
     return results.join(own, "gutenberg_id", "left").fillna("", ["title", "authors"])
