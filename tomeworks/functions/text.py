@@ -1,33 +1,67 @@
 """Text expressions: folding, tokens, aliases, boilerplate, phrases.
 
-Everything is a column expression. Only texts with a character beyond ASCII go through Arrow, for
-compatibility normalisation and full case folding, which Spark has no built-in for.
+Everything is a column expression. Texts of ASCII only, which one comparison of lengths tells, stay on
+the JVM; others go through Arrow, for compatibility normalisation, full case folding and accents,
+which Spark has no built-in for. The two ways give the same for ASCII, so there is one tokeniser.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+LIST = T.ArrayType(T.StringType())
+SLICE = 1 << 20  # bytes of text that are Python strings at once
+
+
+def in_slices(texts: pa.Array, use: Callable[[str], object], kind: pa.DataType) -> pa.Array:
+    """use of each text, null for null, with about SLICE bytes of them as Python strings at a time; a longer text is alone."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    parts = [pa.array([None if t is None else use(t) for t in part.to_pylist()], kind) for part in slices_of(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def slices_of(texts: pa.Array) -> Iterator[pa.Array]:
+    start = size = 0
+    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+        if i > start and size + (n or 0) > SLICE:
+            yield texts.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if start < len(texts):
+        yield texts.slice(start)
+
+
+def python_fold(value: str) -> str:
+    return value.lower() if value.isascii() else unicodedata.normalize("NFKC", value).casefold()
 
 
 @F.arrow_udf(T.StringType())
 def _fold(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts.to_pylist()], pa.string())
+    return in_slices(texts, python_fold, pa.string())
+
+
+def is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
+def apart(col: Column, plain: Column, other: Callable[[Column], Column]) -> Column:
+    """plain for ASCII texts, other, which sees only the rest, for all else."""
+    return F.when(is_ascii(col), plain).otherwise(other(F.when(~is_ascii(col), col)))
 
 
 def fold(col: Column) -> Column:
     """Compatibility form with case folded. Null stays null."""
-    ascii_only = col.rlike(r"^[\x00-\x7f]*$")
-    return F.when(ascii_only, F.lower(col)).otherwise(_fold(F.when(~ascii_only, col)))
+    return apart(col, F.lower(col), _fold)
 
 
 def fold_any(col: Column) -> Column:
@@ -53,44 +87,70 @@ def drop_apostrophes(col: Column) -> Column:
     return F.translate(col, "'’", "")
 
 
-def words(folded: Column) -> Column:
-    """The runs of letters and numbers, in order, repeats kept."""
-    return F.regexp_extract_all(drop_apostrophes(split_hyphens(folded)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(0))
+TOKEN = re.compile(r"[^\W_]+")
+APART = {ord(c): " " for c in "-‐‑‒–—"} | {ord(c): None for c in "'’"}
 
 
-def tokens(col: Column) -> Column:
-    """Document tokens. Null gives an empty list."""
-    return F.coalesce(words(fold(col)), F.array().cast("array<string>"))
+def python_tokens(value: str) -> list[str]:
+    """The runs of letters and numbers of the folded text, in order, repeats kept."""
+    return TOKEN.findall(python_fold(value).translate(APART))
 
 
-@cache
-def _accents() -> tuple[str, str]:
-    """Letters with accents and their bases, then marks to drop: for translate, by rule from the character database."""
-    letters, bases, marks = [], [], []
-    for c in range(0x80, 0x10000):
-        ch = chr(c)
-        if unicodedata.category(ch) == "Mn":
-            marks.append(ch)
-            continue
-        plain = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
-        if len(plain) == 1 and plain != ch:
-            letters.append(ch)
-            bases.append(plain)
-    return "".join(letters + marks), "".join(bases)
+def python_alias(token: str) -> str:
+    """A token without combining accents."""
+    return token if token.isascii() else "".join(c for c in unicodedata.normalize("NFD", token) if unicodedata.category(c) != "Mn")
 
 
-def strip_accents(col: Column) -> Column:
-    """Letters without combining accents. Hangul syllables stay whole."""
-    return F.when(col.rlike(r"^[\x00-\x7f]*$"), col).otherwise(F.translate(col, *_accents()))
+def python_query_tokens(value: str) -> list[str]:
+    """Tokens, then each new accent-free spelling once."""
+    toks = python_tokens(value)
+    known = set(toks)
+    return toks + [a for a in dict.fromkeys(map(python_alias, toks)) if a not in known]
 
 
-def with_aliases(toks: Column) -> Column:
-    """Tokens, then each new accent-free spelling once."""
-    return F.concat(toks, F.array_except(F.array_distinct(F.transform(toks, strip_accents)), toks))
+@F.arrow_udf(LIST)
+def _tokens(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, python_tokens, pa.list_(pa.string()))
+
+
+@F.arrow_udf(LIST)
+def _query_tokens(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, python_query_tokens, pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.StringType())
+def _alias(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, python_alias, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _phrase(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, lambda t: " ".join(TOKEN.findall(python_fold(t))), pa.string())
+
+
+@F.arrow_udf(LIST)
+def _author_keys(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, lambda t: [" ".join(sorted(python_tokens(a))) for a in t.split(";") if a.strip()], pa.list_(pa.string()))
+
+
+def words(ascii_text: Column) -> Column:
+    """The tokens of a text of ASCII only."""
+    return F.regexp_extract_all(drop_apostrophes(split_hyphens(F.lower(ascii_text))), F.lit("([a-z0-9]+)"), F.lit(0))
+
+
+def tokens(col: Column) -> Column:
+    """Document tokens. Null gives an empty list."""
+    return F.coalesce(apart(col, words(col), _tokens), F.array().cast("array<string>"))
+
+
+def strip_accents(col: Column) -> Column:
+    """Letters without combining accents."""
+    return apart(col, col, _alias)
 
 
 def query_tokens(col: Column) -> Column:
-    return with_aliases(tokens(col))
+    """Tokens, then each new accent-free spelling once."""
+    return F.coalesce(apart(col, words(col), _query_tokens), F.array().cast("array<string>"))
 
 
 def _first_line(lines: Column, mark: str) -> Column:
@@ -118,12 +178,6 @@ def strip_boilerplate(text: Column) -> Column:
     return let(text, cut)
 
 
-def document_tokens(text: Column) -> Column:
-    """Tokens of what the markers leave. Folding comes first, as a Python function can't read a computed lambda;
-    it leaves lines and markers as they are (but makes a marker of one typed in full-width signs)."""
-    return F.coalesce(words(strip_boilerplate(fold_any(newlines(text)))), F.array().cast("array<string>"))
-
-
 def squeeze(col: Column) -> Column:
     """White space runs as one blank, none outside."""
     return F.trim(F.regexp_replace(col, SPACE, " "))
@@ -138,9 +192,18 @@ def sorted_key(col: Column) -> Column:
     return F.array_join(F.array_sort(tokens(col)), " ")
 
 
+def author_keys(col: Column) -> Column:
+    """The sorted tokens of each author between semicolons."""
+    text = F.coalesce(col, F.lit(""))
+    plain = F.transform(F.filter(F.split(text, ";"), lambda a: F.trim(a) != ""), lambda a: F.array_join(F.array_sort(words(a)), " "))
+    return apart(text, plain, _author_keys)
+
+
 def phrase_form(col: Column) -> Column:
     """Folded, everything but letters and numbers as one blank."""
-    return F.trim(F.regexp_replace(fold_any(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    text = F.coalesce(col, F.lit(""))
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return apart(text, plain, _phrase)
 
 
 def phrase_query(raw: Column) -> Column:
@@ -154,21 +217,3 @@ def plain_number(col: Column) -> Column:
     """The digit run of a book number without leading zeros and decimal part; null without digits."""
     digits = F.regexp_extract(col, r"(\d+)", 1)
     return F.when(digits != "", F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.lit("0")))
-
-
-TOKEN = re.compile(r"[^\W_]+")
-APART = {ord(c): " " for c in "-‐‑‒–—"} | {ord(c): None for c in "'’"}
-
-
-def python_tokens(value: str) -> list[str]:
-    """tokens for one Python string."""
-    folded = value.lower() if value.isascii() else unicodedata.normalize("NFKC", value).casefold()
-    return TOKEN.findall(folded.translate(APART))
-
-
-def python_query_tokens(value: str) -> list[str]:
-    """query_tokens for one Python string."""
-    letters, bases = _accents()
-    table = dict(zip(map(ord, letters), bases, strict=False)) | {ord(c): None for c in letters[len(bases) :]}
-    toks = python_tokens(value)
-    return toks + [a for a in dict.fromkeys(t.translate(table) for t in toks) if a not in toks]

@@ -1,8 +1,7 @@
 """The inverted index: postings, lexicon, document statistics, globals.
 
-Postings carry the document's length, so ranking needs no join for it. Accent-free aliases are
-added as rows of their own and are not merged with a posting of the same term, as df, scores and
-norms count both.
+A record (gutenberg_id) may have several texts; their counts add up. Accent-free aliases are added as
+rows of their own and are not merged with a posting of the same term, as df, scores and norms count both.
 """
 
 from __future__ import annotations
@@ -18,12 +17,12 @@ from pyspark.sql import functions as F
 
 from tomeworks.functions import scoring, text
 from tomeworks.operators.skew import shard_join
-from tomeworks.session import materialize, spread
+from tomeworks.session import delete, materialize, spread
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, gutenberg_id, tf, doc_len
+    postings: DataFrame  # term, gutenberg_id, tf
     lexicon: DataFrame  # term, df
     docstats: DataFrame  # gutenberg_id, doc_len, doc_norm
     n: int
@@ -36,43 +35,54 @@ class Index:
         return spark.createDataFrame([(self.n, self.avgdl, self.k1, self.b)], "n long, avgdl double, k1 double, b double")
 
 
-def document_lengths(docs: DataFrame) -> DataFrame:
-    """gutenberg_id, toks, doc_len of docs(gutenberg_id, text)."""
-    return docs.select("gutenberg_id", text.document_tokens(F.col("text")).alias("toks")).withColumn("doc_len", F.size("toks"))
-
-
 def counted(docs: DataFrame) -> DataFrame:
-    """gutenberg_id, doc_len, term, tf of docs(gutenberg_id, text); a document without tokens has one row with a null term.
+    """gutenberg_id, term, tf of each text of docs(gutenberg_id, text), and a row with a null term for each text, whose tf is its length.
 
-    A document's text is in one row, so its terms are counted where it is read and no shuffle is
-    needed. Folding takes Python anyway; tokens are cut and counted in the same Arrow pass.
+    A text is in one row, so its terms are counted where it is read and no shuffle is needed.
     """
     source = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select("gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lengths, terms, tfs = [], [], [], []
-            for i, content in enumerate(batch.column(1).to_pylist()):
-                counts = Counter(text.python_tokens(content)) if content else {}
-                n = sum(counts.values())
-                rows += [i] * max(1, len(counts))
-                lengths += [n] * max(1, len(counts))
-                terms += counts or [None]
-                tfs += counts.values() or [None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], ["gutenberg_id", "doc_len", "term", "tf"])
+            at = 0
+            for part in text.slices_of(batch.column(1)):
+                rows, terms, tfs = [], [], []
+                for i, content in enumerate(part.to_pylist(), at):
+                    counts = Counter(text.python_tokens(content)) if content else Counter()
+                    rows += [i] * (len(counts) + 1)
+                    terms += [None, *counts]
+                    tfs += [counts.total(), *counts.values()]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["gutenberg_id", "term", "tf"])
+
+    return source.mapInArrow(run, "gutenberg_id string, term string, tf long")
+
+
+def tokenised(docs: DataFrame, key: str) -> DataFrame:
+    """key, toks: the tokens of each text of docs(key, text), in order."""
+    source = docs.select(F.col(key).alias("row_key"), text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), text.in_slices(batch.column(1), text.python_tokens, pa.list_(pa.string())).fill_null([])], ["row_key", "toks"])
 
-    return source.mapInArrow(run, "gutenberg_id string, doc_len int, term string, tf int")
+    return source.mapInArrow(run, f"row_key {docs.schema[key].dataType.simpleString()}, toks array<string>").withColumnRenamed("row_key", key)
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """gutenberg_id, doc_len, term, tf of the documents that have tokens."""
-    return counted(docs).where("term is not null")
+def lengths_of(raw: DataFrame) -> DataFrame:
+    """gutenberg_id, doc_len of each record in counted rows."""
+    return raw.where("term is null").groupBy("gutenberg_id").agg(F.sum("tf").alias("doc_len"))
+
+
+def term_frequencies(raw: DataFrame) -> DataFrame:
+    """gutenberg_id, term, tf of each record in counted rows."""
+    return raw.where("term is not null").groupBy("term", "gutenberg_id").agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def alias_postings(tfs: DataFrame) -> DataFrame:
     """The accent-free spelling of each term that differs from it, with the term's tf."""
-    alias = text.strip_accents(F.col("term"))
-    return tfs.where(alias != F.col("term")).withColumn("term", alias)
+    marked = tfs.where(~text.is_ascii(F.col("term")))
+    return marked.withColumn("_alias", text.strip_accents(F.col("term"))).where("_alias <> term").withColumn("term", F.col("_alias")).drop("_alias")
 
 
 def lexicon_of(postings: DataFrame) -> DataFrame:
@@ -87,23 +97,31 @@ def document_norms(postings: DataFrame, lexicon: DataFrame, n: int) -> DataFrame
     return joined.groupBy("gutenberg_id").agg(F.sqrt(F.sum(weight * weight)).alias("doc_norm"))
 
 
-def build(docs: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> Index:
-    """Index docs(gutenberg_id, text); postings are written sorted by term, so a lookup reads few row groups."""
-    # The slow tokeniser runs once: what it gives is written before the sort samples it.
-    raw = materialize(counted(docs), "index-counted")
-    tfs = raw.where("term is not null")
-    every = tfs.unionByName(alias_postings(tfs)).select("term", "gutenberg_id", "tf", "doc_len")
-    postings = materialize(every.repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id"), "index-postings")
+def of_counts(raw: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> Index:
+    """The index of counted rows, which should be written ones; postings are written sorted by term, so a lookup reads few row groups."""
+    columns = ("term", "gutenberg_id", "tf")
+    # Ranges of term and record keep a record's rows of a term together, so summing them needs no other exchange, and a term of many records lies in many ranges.
+    ranged = raw.where("term is not null").repartitionByRange("term", "gutenberg_id")
+    base = materialize(ranged.groupBy("term", "gutenberg_id").agg(F.sum("tf").cast("int").alias("tf")).select(*columns).sortWithinPartitions("term", "gutenberg_id"), "index-base")
+    alias = materialize(alias_postings(base).repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id").select(*columns), "index-alias")
+    postings = base.unionByName(alias)
     lexicon = materialize(lexicon_of(postings), "index-lexicon")
-    stats = raw.groupBy("gutenberg_id").agg(F.max("doc_len").cast("long").alias("doc_len"))
-    one = stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl")).first()
+    lengths = lengths_of(raw)
+    one = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl")).first()
     norms = document_norms(postings, lexicon, one["n"])
-    docstats = stats.join(norms, "gutenberg_id", "left").withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0)))
+    docstats = lengths.join(norms, "gutenberg_id", "left").withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0)))
     return Index(postings, lexicon, materialize(docstats, "index-docstats"), one["n"], one["avgdl"], k1, b)
 
 
+def build(docs: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> Index:
+    """Index docs(gutenberg_id, text)."""
+    # The slow tokeniser runs once: what it gives is written before the sort samples it.
+    return of_counts(materialize(counted(docs.where("gutenberg_id is not null")), "index-counted"), k1, b)
+
+
 def save(index: Index, path: str) -> None:
-    """Write the index; the globals are written last and mark it as whole."""
+    """Write the index. The globals mark it as whole: they are removed before anything else is replaced and written last."""
+    delete(index.docstats.sparkSession, f"{path}/globals")
     for name in ("postings", "lexicon", "docstats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
     index.globals().coalesce(1).write.mode("overwrite").parquet(f"{path}/globals")

@@ -7,45 +7,46 @@ from pyspark.sql import functions as F
 
 from tomeworks.functions import text
 from tomeworks.operators.index import Index
-from tomeworks.operators.rank import bm25, rank, triggered
+from tomeworks.operators.rank import Asked, bm25, rank, triggered
 from tomeworks.session import materialize, spread
 
 BONUS, RERANKED, SCANNED = 5.0, 5000, 200
 
 
-def rerank(results: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The first RERANKED results of each query; those whose raw text holds the phrase gain BONUS. A missing text keeps its score."""
-    top = rank(results, RERANKED).join(F.broadcast(phrases), "query_nr")
-    wanted = top.select("gutenberg_id").distinct()
-    texts = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").join(wanted, "gutenberg_id", "left_semi")
-    texts = texts.select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("form"))
-    joined = top.join(texts, "gutenberg_id", "left")
-    gain = F.when(F.col("form").contains(F.col("phrase")), F.col("score") + BONUS).otherwise(F.col("score"))
-    return joined.select("query_nr", "gutenberg_id", gain.alias("score"))
+def holding(docs: DataFrame, phrases: DataFrame, q: Asked) -> DataFrame:
+    """query_nr, gutenberg_id of the records of which a raw text holds the phrase: each text is folded once for all phrases."""
+    forms = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("form"))
+    return forms.join(q.sent(phrases), F.col("form").contains(F.col("phrase"))).select("query_nr", "gutenberg_id").distinct()
 
 
-def scan(docs: DataFrame, phrases: DataFrame, most: int = SCANNED) -> DataFrame:
-    """The first documents by id, SCANNED at most, whose raw text holds the phrase. Phrases are a small stated set."""
-    texts = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("form"))
-    hits = texts.join(F.broadcast(phrases), F.col("form").contains(F.col("phrase"))).select("query_nr", "gutenberg_id", F.lit(BONUS).alias("score"))
-    return rank(hits, most).drop("rank")
+def bm25_with_fallback(index: Index, docs: DataFrame, q: Asked, allow_full_scan: bool = True, reranked: int = RERANKED, scanned: int = SCANNED) -> DataFrame:
+    """query_nr, gutenberg_id, score, fallback_used.
 
-
-def bm25_with_fallback(index: Index, docs: DataFrame, queries: DataFrame, allow_full_scan: bool = True) -> DataFrame:
-    """query_nr, gutenberg_id, score, fallback_used."""
-    results = materialize(bm25(index, queries), "bm25")
-    state = triggered(index, queries).withColumn("phrase", text.phrase_query(F.col("raw")))
+    Of a query that triggers the fallback and has a phrase, the first RERANKED results are kept, and
+    those of which a raw text holds the phrase gain BONUS. If BM25 found nothing and a full scan is
+    allowed, the first SCANNED records by id that hold the phrase have a score of BONUS. The texts are
+    read once for both; without a scan only those of the results are.
+    """
+    results = materialize(bm25(index, q), "bm25")
     found = results.select("query_nr").distinct().withColumn("found", F.lit(True))
-    state = state.join(found, "query_nr", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    act = F.col("fallback") & (F.col("phrase") != "")
-    again = state.where(act & F.col("found")).select("query_nr", "phrase")
-    whole = state.where(act & ~F.col("found") & F.lit(allow_full_scan)).select("query_nr", "phrase")
-    calm = state.where(~act & F.col("found")).select("query_nr")
-    parts = [(results.join(F.broadcast(calm), "query_nr", "left_semi"), False), (rerank(results, docs, again), True)]
-    if allow_full_scan:
-        parts.append((scan(docs, whole), True))
-    out = None
-    for df, used in parts:
-        df = df.select("query_nr", "gutenberg_id", "score", F.lit(used).alias("fallback_used"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    state = triggered(index, q).withColumn("phrase", text.phrase_query(F.col("raw"))).join(found, "query_nr", "left")
+    state = materialize(state.select("query_nr", "phrase", F.coalesce("found", F.lit(False)).alias("found"), (F.col("fallback") & (F.col("phrase") != "")).alias("act")), "phrases")
+    columns = ("query_nr", "gutenberg_id", "score", "fallback_used")
+    calm = results.join(q.sent(state.where("found and not act").select("query_nr")), "query_nr", "left_semi").withColumn("fallback_used", F.lit(False))
+    kinds = {r["found"] for r in state.where("act").select("found").distinct().collect()}
+    if not kinds or (kinds == {False} and not allow_full_scan):
+        return calm.select(*columns)
+    top = rank(results.join(q.sent(state.where("found and act").select("query_nr")), "query_nr", "left_semi"), reranked).drop("rank")
+    if allow_full_scan and False in kinds:
+        hits = holding(docs, state.where("act").select("query_nr", "phrase"), q)
+    else:
+        hits = holding(docs.join(top.select("gutenberg_id").distinct(), "gutenberg_id", "left_semi"), state.where("found and act").select("query_nr", "phrase"), q)
+    hits = materialize(hits, "phrase-hits") if len(kinds) > 1 else hits
+    out = calm
+    if True in kinds:
+        again = top.join(hits.withColumn("holds", F.lit(True)), ["query_nr", "gutenberg_id"], "left")
+        out = out.unionByName(again.withColumn("score", F.when(F.col("holds"), F.col("score") + BONUS).otherwise(F.col("score"))).withColumn("fallback_used", F.lit(True)).select(*columns))
+    if allow_full_scan and False in kinds:
+        new = hits.join(q.sent(state.where("act and not found").select("query_nr")), "query_nr", "left_semi").withColumn("score", F.lit(BONUS))
+        out = out.unionByName(rank(new, scanned).withColumn("fallback_used", F.lit(True)).select(*columns))
+    return out.select(*columns)

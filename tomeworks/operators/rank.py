@@ -1,13 +1,15 @@
 """Ranking: BM25, cosine and structured search, for many queries in one job.
 
-Queries are a stated, small set: their terms are broadcast. Results have query_nr, gutenberg_id,
-score; rank() adds the place. Scores are rounded to six places before ordering; ties go to the
-smaller id as a string. Null and empty queries give no rows.
+Up to FEW queries of at most TOKENS tokens are a small, checked set: their terms are cut in the driver
+and broadcast. More are cut like texts and joined like any table. Results have query_nr,
+gutenberg_id, score; rank() adds the place. Scores are rounded to six places before ordering; ties go
+to the smaller id as a string. Null and empty queries give no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,105 +17,109 @@ from pyspark.sql import functions as F
 
 from tomeworks.functions import scoring, text
 from tomeworks.operators.index import Index
-from tomeworks.session import small_or_none, spread
+from tomeworks.session import materialize, small_or_none
 
 TRIGGER_TERMS, TRIGGER_SHARE = 4, 0.6
-FEW = 1000
-OTHER_SEMICOLONS = "；\u037e︔﹔"  # folding makes semicolons of them, which must not part authors
+FEW, TOKENS = 1000, 50_000
 
 
 def query_frame(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
     return spark.createDataFrame(sorted(queries.items()), "query_nr int, raw string")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_nr, term, tf_q, first_pos of each query's tokens and aliases.
+@dataclass
+class Asked:
+    """Queries, their terms (query_nr, term, tf_q, first_pos), and whether both are few enough to be sent to all tasks."""
 
-    Up to FEW queries are cut in the driver, which spares a job and its Python workers; more go the way of texts.
-    """
-    few = small_or_none(queries.select("query_nr", "raw"), FEW)
-    if few is None:
+    queries: DataFrame
+    terms: DataFrame
+    few: bool
+
+    def sent(self, df: DataFrame) -> DataFrame:
+        """df, which has no more rows than there are terms or queries, broadcast if they are few."""
+        return F.broadcast(df) if self.few else df
+
+
+def asked(queries: DataFrame) -> Asked:
+    """The terms of each query: its tokens and aliases."""
+    rows = small_or_none(queries.select("query_nr", "raw"), FEW)
+    cut = None if rows is None or sum(len(r["raw"] or "") for r in rows) > TOKENS else [(r["query_nr"], text.python_query_tokens(r["raw"] or "")) for r in rows]
+    if cut is None:
         toks = queries.select("query_nr", F.posexplode(text.query_tokens(F.col("raw"))).alias("pos", "term"))
-        return toks.groupBy("query_nr", "term").agg(F.count("*").alias("tf_q"), F.min("pos").alias("first_pos"))
-    rows = []
-    for q in few:
-        toks = text.python_query_tokens(q["raw"] or "")
-        counts = Counter(toks)
-        rows += [(q["query_nr"], t, n, toks.index(t)) for t, n in counts.items()]
+        return Asked(queries, materialize(toks.groupBy("query_nr", "term").agg(F.count("*").alias("tf_q"), F.min("pos").alias("first_pos")), "query-terms"), False)
+    terms = [(nr, t, n, toks.index(t)) for nr, toks in cut for t, n in Counter(toks).items()]
     kind = queries.schema["query_nr"].dataType.simpleString()
-    return queries.sparkSession.createDataFrame(rows, f"query_nr {kind}, term string, tf_q long, first_pos int")
+    return Asked(queries, queries.sparkSession.createDataFrame(terms, f"query_nr {kind}, term string, tf_q long, first_pos int"), True)
 
 
-def terms_in_lexicon(index: Index, queries: DataFrame) -> DataFrame:
-    """query_terms with df; terms that are not in the lexicon are left out."""
-    terms = query_terms(queries)
-    return index.lexicon.join(F.broadcast(terms), "term")
+def terms_in_lexicon(index: Index, q: Asked) -> DataFrame:
+    """The queries' terms with df; terms that are not in the lexicon are left out."""
+    return index.lexicon.join(q.sent(q.terms), "term")
 
 
-def triggered(index: Index, queries: DataFrame) -> DataFrame:
+def triggered(index: Index, q: Asked) -> DataFrame:
     """query_nr, raw, fallback: a quote sign, or four terms and more of which over 0.6 are in over 0.8 of the documents."""
-    terms = query_terms(queries)
-    high = index.lexicon.where(F.col("df") / F.lit(max(index.n, 1)) > scoring.HIGH_DF).join(F.broadcast(terms), "term").groupBy("query_nr").agg(F.count("*").alias("n_high"))
-    sizes = terms.groupBy("query_nr").agg(F.count("*").alias("n_terms"))
-    out = queries.join(sizes, "query_nr", "left").join(high, "query_nr", "left").fillna(0, ["n_terms", "n_high"])
+    high = index.lexicon.where(F.col("df") / F.lit(max(index.n, 1)) > scoring.HIGH_DF).join(q.sent(q.terms), "term").groupBy("query_nr").agg(F.count("*").alias("n_high"))
+    sizes = q.terms.groupBy("query_nr").agg(F.count("*").alias("n_terms"))
+    out = q.queries.join(sizes, "query_nr", "left").join(high, "query_nr", "left").fillna(0, ["n_terms", "n_high"])
     many = (F.lit(index.n) > 0) & (F.col("n_terms") >= TRIGGER_TERMS) & (F.col("n_high") / F.greatest(F.col("n_terms"), F.lit(1)) > TRIGGER_SHARE)
     return out.select("query_nr", "raw", (F.col("raw").contains('"') | many).alias("fallback"))
 
 
-def bm25(index: Index, queries: DataFrame) -> DataFrame:
+def bm25(index: Index, q: Asked) -> DataFrame:
     n = F.lit(index.n)
     idf = scoring.bm25_idf(F.col("df"), n)
-    terms = terms_in_lexicon(index, queries).where((idf > 0) & (F.col("df") / n <= scoring.HIGH_DF)).select("query_nr", "term", idf.alias("idf"))
+    terms = terms_in_lexicon(index, q).where((idf > 0) & (F.col("df") / n <= scoring.HIGH_DF)).select("query_nr", "term", idf.alias("idf"))
     part = F.col("idf") * scoring.bm25_part(F.col("tf"), F.col("doc_len"), F.lit(index.avgdl), index.k1, index.b)
-    hits = index.postings.where("tf > 0").join(F.broadcast(terms), "term")
+    hits = index.postings.where("tf > 0").join(q.sent(terms), "term").join(index.docstats.select("gutenberg_id", "doc_len"), "gutenberg_id")
     return hits.groupBy("query_nr", "gutenberg_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def cosine(index: Index, queries: DataFrame) -> DataFrame:
+def cosine(index: Index, q: Asked) -> DataFrame:
     """Queries that trigger the fallback give no rows."""
-    calm = triggered(index, queries).where(~F.col("fallback")).select("query_nr", "raw")
-    terms = terms_in_lexicon(index, calm).withColumn("idf", scoring.cosine_idf(F.col("df"), F.lit(index.n)))
+    calm = triggered(index, q).where(~F.col("fallback")).select("query_nr")
+    terms = terms_in_lexicon(index, q).join(q.sent(calm), "query_nr", "left_semi").withColumn("idf", scoring.cosine_idf(F.col("df"), F.lit(index.n)))
     terms = terms.select("query_nr", "term", "idf", (scoring.log_tf(F.col("tf_q")) * F.col("idf")).alias("w_q"))
     norms = terms.groupBy("query_nr").agg(F.sqrt(F.sum(F.col("w_q") * F.col("w_q"))).alias("norm_q")).where("norm_q > 0")
-    hits = index.postings.where("tf > 0").join(F.broadcast(terms), "term")
+    hits = index.postings.where("tf > 0").join(q.sent(terms), "term")
     dots = hits.groupBy("query_nr", "gutenberg_id").agg(F.sum(F.col("w_q") * scoring.log_tf(F.col("tf")) * F.col("idf")).alias("dot"))
-    scored = dots.join(F.broadcast(norms), "query_nr").join(index.docstats.where("doc_norm > 0"), "gutenberg_id")
+    scored = dots.join(q.sent(norms), "query_nr").join(index.docstats.where("doc_norm > 0"), "gutenberg_id")
     return scored.select("query_nr", "gutenberg_id", F.round(F.col("dot") / (F.col("norm_q") * F.col("doc_norm")), 6).alias("score"))
 
 
 def searchable(metadata: DataFrame) -> DataFrame:
-    """The merged catalogue with what structured search compares, computed once a row."""
+    """The merged catalogue with what structured search compares, folded once a row; written where it is searched often."""
     own = {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "authors", "language", "bookshelf", "rights")}
-    other = text.metadata_form(F.concat_ws(" ", own["language"], own["bookshelf"], own["rights"]))
-    return metadata.select(
-        "gutenberg_id", F.coalesce("has_text", F.lit(0)).alias("has_text"), text.metadata_form(own["title"]).alias("title_form"), text.tokens(own["title"]).alias("title_toks"),
-        text.tokens(own["authors"]).alias("author_toks"), text.tokens(other).alias("other_toks"), text.fold(F.translate(own["authors"], OTHER_SEMICOLONS, "    ")).alias("author_fold"),
-    )
+    other = F.concat_ws(" ", own["language"], own["bookshelf"], own["rights"])
+
+    def weighed(col: Column, weight: int, near: bool) -> Column:
+        return F.transform(F.array_distinct(text.tokens(col)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(near).alias("near")))
+
+    weights = F.concat(weighed(own["title"], 2, True), weighed(own["authors"], 1, True), weighed(other, 1, False))
+    return metadata.select("gutenberg_id", F.coalesce("has_text", F.lit(0)).alias("has_text"), text.metadata_form(own["title"]).alias("title_form"), text.author_keys(own["authors"]).alias("author_keys"), weights.alias("terms"))
 
 
-def structured(metadata: DataFrame, queries: DataFrame, include_missing_text: bool = False) -> DataFrame:
-    """Weighted matches of title, authors and the other fields.
+def structured(catalogue: DataFrame, q: Asked, include_missing_text: bool = False) -> DataFrame:
+    """Weighted matches of title, authors and the other fields of a searchable catalogue.
 
-    Candidates of a query are the rows that share a token with it in title or authors; a query with
-    no candidate at all (or without tokens) takes all rows.
+    Tokens and whole authors meet by hash join; only the title's substrings need a nested loop over
+    titles and queries. Candidates of a query are the rows that share a token with it in title or
+    authors; a query with no candidate at all (or without tokens) takes all rows.
     """
-    q = queries.select("query_nr", text.metadata_form(F.col("raw")).alias("q_form"), F.array_distinct(text.query_tokens(F.col("raw"))).alias("q"), text.sorted_key(F.col("raw")).alias("q_key")).where("q_form <> ''")
-    author_key = F.transform(F.filter(F.split("author_fold", ";"), lambda a: F.trim(a) != ""), lambda a: F.array_join(F.array_sort(text.words(a)), " "))
-    rows = searchable(spread(metadata, "gutenberg_id")).withColumn("author_keys", author_key)
-    pairs = rows.join(F.broadcast(q), F.col("title_form").contains(F.col("q_form")) | F.arrays_overlap("q", F.concat("title_toks", "author_toks", "other_toks")) | F.array_contains("author_keys", F.col("q_key")))
-
-    def shared(c: str) -> Column:
-        return F.size(F.array_intersect("q", c))
-
-    exact = (F.col("q_key") != "") & F.array_contains("author_keys", F.col("q_key"))
-    score = 10 * F.col("title_form").contains(F.col("q_form")).cast("int") + 5 * exact.cast("int") + 2 * shared("title_toks") + shared("author_toks") + shared("other_toks")
-    candidate = F.arrays_overlap("q", F.concat("title_toks", "author_toks"))
-    scored = pairs.select("query_nr", "gutenberg_id", "has_text", score.cast("double").alias("score"), candidate.alias("candidate"))
-    any_candidate = scored.groupBy("query_nr").agg(F.max("candidate").alias("narrow"))
-    scored = scored.join(F.broadcast(any_candidate), "query_nr").where((F.col("score") > 0) & (F.col("candidate") | ~F.col("narrow")))
+    raw = q.queries.select("query_nr", text.metadata_form(F.col("raw")).alias("q_form"), text.sorted_key(F.col("raw")).alias("q_key")).where("q_form <> ''")
+    # Written, as folding would be repeated in each of the joins.
+    raw = q.queries.sparkSession.createDataFrame(raw.collect(), raw.schema) if q.few else materialize(raw, "query-forms")
+    ids = ("query_nr", "gutenberg_id", "has_text")
+    by_term = catalogue.select("gutenberg_id", "has_text", F.inline("terms")).join(q.sent(q.terms.select("query_nr", "term")), "term").select(*ids, "weight", "near")
+    authors = catalogue.select("gutenberg_id", "has_text", F.explode(F.array_distinct("author_keys")).alias("q_key")).join(q.sent(raw.where("q_key <> ''").select("query_nr", "q_key")), "q_key")
+    titles = catalogue.select("gutenberg_id", "has_text", "title_form").join(q.sent(raw.select("query_nr", "q_form")), F.col("title_form").contains(F.col("q_form")))
+    rows = by_term.unionByName(authors.select(*ids, F.lit(5).alias("weight"), F.lit(False).alias("near"))).unionByName(titles.select(*ids, F.lit(10).alias("weight"), F.lit(False).alias("near")))
+    scored = rows.groupBy(*ids).agg(F.sum("weight").cast("double").alias("score"), F.max("near").alias("candidate"))
+    narrow = by_term.where("near").select("query_nr").distinct().withColumn("narrow", F.lit(True))
+    scored = scored.join(q.sent(narrow), "query_nr", "left").where(F.col("candidate") | F.col("narrow").isNull())
     if not include_missing_text:
         scored = scored.where("has_text = 1")
-    return scored.select("query_nr", "gutenberg_id", F.round("score", 6).alias("score"))
+    return scored.select("query_nr", "gutenberg_id", "score")
 
 
 def rank(results: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_nr",)) -> DataFrame:

@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, one for each operator.
 
-The corpus is documents, each an entry of its own with its doc_id as id; the catalogue is metadata
-with its duplicate rows merged. Index and ranked lists are built once a session and input.
+Records are books, in one space of ids: a book's texts are the documents of its number, the catalogue
+is metadata with its duplicate rows merged. Index, catalogue and ranked lists are built once a session
+and state of the tables they are made of.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 from tomeworks.functions import codec, scoring, text
 from tomeworks.operators import evalkit, index, metadata, phrase, rank, snippet
 from tomeworks.operators.skew import live_postings
-from tomeworks.session import materialize, table
+from tomeworks.session import materialize, table, version
+from tomeworks.sources import sinks
 
 EVALUATED = {
     1: "the that his our",
-    2: "lantern observatory",
+    2: "dark cellar ledger",
     3: "Förster grüßte das Schloß",
-    4: "jealous wolf une lanterne",
+    4: "a brief history of une lanterne",
     5: '"the mill pond"',
     6: '"antern"',
 }
@@ -35,18 +37,24 @@ CATALOGUE = {
 }
 MODELS = ("structured", "vsm", "bm25")
 TOP = 100
-_CACHE: dict[tuple[str, str, str], object] = {}
+_CACHE: dict[tuple, object] = {}
 
 
 def cached(name: str, spark: SparkSession, sf_dir: str, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What make gives, kept for as long as the tables are not written anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(version(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "metadata")))
     if key not in _CACHE:
         _CACHE[key] = make()
     return _CACHE[key]
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("gutenberg_id"), "text")
+    """gutenberg_id, text, doc_id: the texts of each book."""
+    return table(spark, sf_dir, "documents").select("gutenberg_id", "text", "doc_id").where("gutenberg_id is not null")
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> index.Index:
@@ -57,9 +65,13 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached("catalogue", spark, sf_dir, lambda: materialize(metadata_flagged(spark, sf_dir), "catalogue"))
 
 
+def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cached("searchable", spark, sf_dir, lambda: materialize(rank.searchable(catalogue(spark, sf_dir)), "searchable"))
+
+
 def preprocess_tokens(spark, sf_dir):
-    d = index.document_lengths(corpus(spark, sf_dir))
-    return d.select("gutenberg_id", "doc_len", F.array_join("toks", " ").alias("tokens"))
+    d = index.tokenised(texts(spark, sf_dir), "doc_id")
+    return d.select("doc_id", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
 
 
 def query_tokens(spark, sf_dir):
@@ -69,16 +81,15 @@ def query_tokens(spark, sf_dir):
 
 def accent_alias(spark, sf_dir):
     terms = corpus_index(spark, sf_dir).lexicon
-    alias = text.strip_accents(F.col("term"))
-    return terms.where(alias != F.col("term")).select("term", alias.alias("alias"))
+    return terms.withColumn("alias", text.strip_accents(F.col("term"))).where("alias <> term").select("term", "alias")
 
 
 def boilerplate_strip(spark, sf_dir):
-    return corpus(spark, sf_dir).select("gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
+    return texts(spark, sf_dir).select("doc_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
 
 
 def phrase_normalize(spark, sf_dir):
-    return corpus(spark, sf_dir).select("gutenberg_id", text.phrase_form(text.newlines(F.col("text"))).alias("phrase"))
+    return texts(spark, sf_dir).select("doc_id", text.phrase_form(text.newlines(F.col("text"))).alias("phrase"))
 
 
 def metadata_normalize(spark, sf_dir):
@@ -92,11 +103,11 @@ def sorted_token_key(spark, sf_dir):
 
 
 def term_freq(spark, sf_dir):
-    return index.term_frequencies(corpus(spark, sf_dir)).select("gutenberg_id", "term", "tf")
+    return index.term_frequencies(index.counted(corpus(spark, sf_dir))).select("gutenberg_id", "term", "tf")
 
 
 def alias_postings(spark, sf_dir):
-    return index.alias_postings(index.term_frequencies(corpus(spark, sf_dir))).select("gutenberg_id", "term", "tf")
+    return index.alias_postings(term_freq(spark, sf_dir)).select("gutenberg_id", "term", "tf")
 
 
 def lexicon_df(spark, sf_dir):
@@ -137,8 +148,8 @@ def index_validate(spark, sf_dir):
     return index.validate(corpus_index(spark, sf_dir))
 
 
-def queries_of(spark: SparkSession, wanted: dict[int, str]) -> DataFrame:
-    return rank.query_frame(spark, wanted)
+def queries_of(spark: SparkSession, wanted: dict[int, str]) -> rank.Asked:
+    return rank.asked(rank.query_frame(spark, wanted))
 
 
 def bm25_batch(spark, sf_dir, numbers=tuple(EVALUATED)):
@@ -153,7 +164,7 @@ def vsm_batch(spark, sf_dir, numbers=tuple(EVALUATED)):
 
 def structured_batch(spark, sf_dir, numbers=tuple(CATALOGUE)):
     q = queries_of(spark, {n: CATALOGUE[n] for n in numbers})
-    return rank.rank(rank.structured(catalogue(spark, sf_dir), q), TOP)
+    return rank.rank(rank.structured(searchable(spark, sf_dir), q), TOP)
 
 
 def phrase_trigger(spark, sf_dir):
@@ -165,47 +176,39 @@ def bm25_fallback(spark, sf_dir, numbers=tuple(EVALUATED)):
     return rank.rank(phrase.bm25_with_fallback(corpus_index(spark, sf_dir), corpus(spark, sf_dir), q), TOP)
 
 
-def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_lists(spark: SparkSession, sf_dir: str, i: index.Index) -> DataFrame:
     """query_nr, model, rank, gutenberg_id, score of all queries and models."""
+    q = queries_of(spark, EVALUATED)
+    parts = (rank.structured(searchable(spark, sf_dir), q), rank.cosine(i, q), phrase.bm25_with_fallback(i, corpus(spark, sf_dir), q))
+    out = None
+    for model, df in zip(MODELS, parts, strict=True):
+        df = rank.rank(df, TOP).select("query_nr", F.lit(model).alias("model"), "rank", "gutenberg_id", "score")
+        out = df if out is None else out.unionByName(df)
+    return materialize(out, "ranked")
 
-    def make() -> DataFrame:
-        parts = (structured_evaluated(spark, sf_dir), vsm_batch(spark, sf_dir), bm25_fallback(spark, sf_dir))
-        out = None
-        for model, df in zip(MODELS, parts, strict=True):
-            df = df.select("query_nr", F.lit(model).alias("model"), "rank", "gutenberg_id", "score")
-            out = df if out is None else out.unionByName(df)
-        return materialize(out, "ranked")
 
-    return cached("ranked", spark, sf_dir, make)
-
-
-def structured_evaluated(spark, sf_dir):
-    return rank.rank(rank.structured(catalogue(spark, sf_dir), queries_of(spark, EVALUATED)), TOP)
+def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cached("ranked", spark, sf_dir, lambda: make_lists(spark, sf_dir, corpus_index(spark, sf_dir)))
 
 
 def results_topk(spark, sf_dir):
     return ranked_lists(spark, sf_dir).where("rank <= 10")
 
 
-def text_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_lists(spark, sf_dir).where("model <> 'structured'")
-
-
 def best_token(spark, sf_dir):
     i = corpus_index(spark, sf_dir)
-    return snippet.best_tokens(i, queries_of(spark, EVALUATED), text_results(spark, sf_dir))
+    return snippet.best_tokens(i, queries_of(spark, EVALUATED), ranked_lists(spark, sf_dir))
 
 
 def snippets(spark, sf_dir):
     i = corpus_index(spark, sf_dir)
-    return snippet.snippets(i, corpus(spark, sf_dir), queries_of(spark, EVALUATED), text_results(spark, sf_dir)).select("query_nr", "model", "rank", "gutenberg_id", "snippet", "start_line")
+    lists = ranked_lists(spark, sf_dir).drop("score")
+    return snippet.snippets(i, corpus(spark, sf_dir), queries_of(spark, EVALUATED), lists, catalogue(spark, sf_dir), "doc_id").select("query_nr", "model", "rank", "gutenberg_id", "snippet", "start_line")
 
 
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = snippets(spark, sf_dir).join(text_results(spark, sf_dir).select("query_nr", "model", "rank", "score"), ["query_nr", "model", "rank"])
-    clean = F.translate("snippet", "\t\r\n", "   ")
-    line = F.concat_ws("\t", F.col("rank").cast("string"), "gutenberg_id", F.format_string("%.6f", "score"), clean, "start_line")
-    return s.select("query_nr", "model", F.col("rank").alias("line"), line.alias("value"))
+    s = snippets(spark, sf_dir).join(ranked_lists(spark, sf_dir).select("query_nr", "model", "rank", "score"), ["query_nr", "model", "rank"])
+    return sinks.list_lines(s).withColumnRenamed("rank", "line")
 
 
 def tsv_rows(spark, sf_dir):
@@ -213,19 +216,20 @@ def tsv_rows(spark, sf_dir):
 
 
 def tsv_validate(spark, sf_dir):
-    """One injected fault of each kind in otherwise sound lists, and one list that is missing."""
+    """The lists of all queries and models, with one injected fault of each kind; lists without rows are missing."""
     lines = tsv_lines(spark, sf_dir)
     broken = F.when((F.col("line") == 2) & (F.col("query_nr") == 2) & (F.col("model") == "bm25"), F.lit("two\tcolumns"))
     broken = broken.when((F.col("line") == 3) & (F.col("query_nr") == 2) & (F.col("model") == "vsm"), F.lit("x\t1\t0.5\t\t"))
     broken = broken.when((F.col("line") == 2) & (F.col("query_nr") == 4) & (F.col("model") == "bm25"), F.lit("2\t1\t99999.0\t\t"))
     broken = broken.when((F.col("line") == 3) & (F.col("query_nr") == 4) & (F.col("model") == "vsm"), F.lit("7\t1\tnone\t\t"))
-    expected = spark.createDataFrame([(q, m) for q in EVALUATED for m in ("vsm", "bm25")], "query_nr int, model string")
+    expected = spark.createDataFrame([(q, m) for q in EVALUATED for m in MODELS], "query_nr int, model string")
     return evalkit.validate_lists(lines.withColumn("value", F.coalesce(broken, "value")), expected)
 
 
 def determinism_diff(spark, sf_dir):
-    """Two runs of the same search; no row is expected."""
-    return evalkit.differences(bm25_batch(spark, sf_dir), bm25_batch(spark, sf_dir)).select("query_nr", "gutenberg_id", "score", "rank", "only_in")
+    """All lists of two runs, each with an index of its own; no row is expected."""
+    again = make_lists(spark, sf_dir, index.build(corpus(spark, sf_dir)))
+    return evalkit.differences(ranked_lists(spark, sf_dir), again).select("query_nr", "model", "gutenberg_id", "score", "rank", "only_in")
 
 
 def metadata_dedup(spark, sf_dir):
@@ -249,9 +253,9 @@ def dataset_report(spark, sf_dir):
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in labels of the first ten results: long texts count as relevant, middling ones as partly."""
-    size = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("gutenberg_id"), F.col("n_chars"))
-    label = F.when(F.col("n_chars") >= 1500, 1).when(F.col("n_chars") >= 800, 2).otherwise(0)
+    """Stand-in labels of the first ten results: books of much text count as relevant, of a middling amount as partly."""
+    size = table(spark, sf_dir, "documents").groupBy("gutenberg_id").agg(F.sum("n_chars").alias("n_chars"))
+    label = F.when(F.col("n_chars") >= 6000, 1).when(F.col("n_chars") >= 3000, 2).otherwise(0)
     return results_topk(spark, sf_dir).join(size, "gutenberg_id", "left").select("query_nr", "model", "rank", "gutenberg_id", label.alias("label"))
 
 
@@ -284,11 +288,11 @@ def metrics_summary(spark, sf_dir):
 
 
 def overlap_jaccard(spark, sf_dir):
-    return evalkit.overlap(ranked_lists(spark, sf_dir), queries_of(spark, EVALUATED))
+    return evalkit.overlap(ranked_lists(spark, sf_dir), queries_of(spark, EVALUATED).queries)
 
 
 def score_quantiles(spark, sf_dir):
-    return evalkit.score_quantiles(ranked_lists(spark, sf_dir), queries_of(spark, EVALUATED))
+    return evalkit.score_quantiles(ranked_lists(spark, sf_dir), queries_of(spark, EVALUATED).queries)
 
 
 QUERIES = {

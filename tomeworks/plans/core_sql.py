@@ -48,17 +48,17 @@ def values(wanted: dict[int, str]) -> str:
     return "(VALUES " + ", ".join(f"({n}::INTEGER, {lit(t)})" for n, t in sorted(wanted.items())) + ") v(query_nr, raw)"
 
 
-DOCS = "docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS gutenberg_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents)"
-LINES = """lines AS (SELECT gutenberg_id, text, string_split(text, chr(10)) AS l FROM docs),
+DOCS = "docs AS MATERIALIZED (SELECT doc_id, gutenberg_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents)"
+LINES = """lines AS (SELECT doc_id, gutenberg_id, text, string_split(text, chr(10)) AS l FROM docs),
 marks AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)\\*\\*\\* START OF')), true), 0) AS s,
   coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)\\*\\*\\* END OF')), true), 0) AS e FROM lines),
-bodies AS MATERIALIZED (SELECT gutenberg_id, CASE WHEN s > 0 AND e > 0 THEN array_to_string(l[s + 1:e - 1], chr(10)) WHEN s > 0 THEN array_to_string(l[s + 1:], chr(10))
+bodies AS MATERIALIZED (SELECT doc_id, gutenberg_id, CASE WHEN s > 0 AND e > 0 THEN array_to_string(l[s + 1:e - 1], chr(10)) WHEN s > 0 THEN array_to_string(l[s + 1:], chr(10))
   WHEN e > 0 THEN array_to_string(l[:e - 1], chr(10)) ELSE text END AS content FROM marks)"""
-TOKS = f"tk AS MATERIALIZED (SELECT gutenberg_id, {tokens('content')} AS toks FROM bodies)"
-TF = "tfs AS MATERIALIZED (SELECT gutenberg_id, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT gutenberg_id, unnest(toks) AS term FROM tk) GROUP BY 1, 2)"
+TOKS = f"tk AS MATERIALIZED (SELECT doc_id, gutenberg_id, coalesce({tokens('content')}, []) AS toks FROM bodies)"
+TF = "tfs AS MATERIALIZED (SELECT gutenberg_id, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT gutenberg_id, unnest(toks) AS term FROM tk WHERE gutenberg_id IS NOT NULL) GROUP BY 1, 2)"
 POST = """post AS MATERIALIZED (SELECT gutenberg_id, term, tf FROM tfs UNION ALL SELECT gutenberg_id, strip_accents(term), tf FROM tfs WHERE strip_accents(term) <> term),
 lex AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY 1),
-dl AS (SELECT gutenberg_id, CAST(len(toks) AS BIGINT) AS doc_len FROM tk),
+dl AS (SELECT gutenberg_id, CAST(sum(len(toks)) AS BIGINT) AS doc_len FROM tk WHERE gutenberg_id IS NOT NULL GROUP BY 1),
 g AS (SELECT count(*) AS n, avg(doc_len) AS avgdl FROM dl)"""
 NORMS = """norms AS (SELECT p.gutenberg_id, sqrt(sum(pow((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 2))) AS doc_norm
   FROM post p JOIN lex USING (term) CROSS JOIN g GROUP BY 1)"""
@@ -91,12 +91,13 @@ vs AS MATERIALIZED (SELECT query_nr, gutenberg_id, round(any_value(dot) / (any_v
   (SELECT query_nr, gutenberg_id, sum(w * (1 + ln(tf)) * idf) AS dot FROM vt JOIN post USING (term) GROUP BY 1, 2)
   JOIN (SELECT query_nr, sqrt(sum(w * w)) AS nq FROM vt GROUP BY 1) USING (query_nr) JOIN norms USING (gutenberg_id) GROUP BY 1, 2)"""
 PHRASE = f"""ph AS MATERIALIZED (SELECT query_nr, fallback, coalesce(nullif({phrase_form("array_to_string(list_filter(list_transform(regexp_extract_all(raw, '" + chr(34) + "(.*?)" + chr(34) + "', 1), lambda x: trim(x)), lambda x: x <> ''), ' ')")}, ''), {phrase_form("raw")}) AS phrase FROM trig),
-forms AS MATERIALIZED (SELECT gutenberg_id, {phrase_form("text")} AS form FROM docs),
+forms AS MATERIALIZED (SELECT gutenberg_id, {phrase_form("text")} AS form FROM docs WHERE gutenberg_id IS NOT NULL),
+holds AS MATERIALIZED (SELECT DISTINCT query_nr, gutenberg_id FROM ph JOIN forms ON contains(form, phrase) WHERE fallback AND phrase <> ''),
 fb AS MATERIALIZED (SELECT query_nr, gutenberg_id, score, false AS fallback_used FROM bm JOIN ph USING (query_nr) WHERE NOT (fallback AND phrase <> '')
- UNION ALL SELECT query_nr, gutenberg_id, CASE WHEN contains(form, phrase) THEN score + 5.0 ELSE score END, true FROM
-   (SELECT *, row_number() OVER (PARTITION BY query_nr ORDER BY score DESC, gutenberg_id) AS r FROM bm) JOIN ph USING (query_nr) JOIN forms USING (gutenberg_id) WHERE fallback AND phrase <> '' AND r <= 5000
- UNION ALL SELECT query_nr, gutenberg_id, 5.0, true FROM (SELECT query_nr, gutenberg_id, row_number() OVER (PARTITION BY query_nr ORDER BY gutenberg_id) AS r FROM ph JOIN forms ON contains(form, phrase)
-   WHERE fallback AND phrase <> '' AND query_nr NOT IN (SELECT query_nr FROM bm)) WHERE r <= 200)"""
+ UNION ALL SELECT query_nr, gutenberg_id, CASE WHEN (query_nr, gutenberg_id) IN (SELECT query_nr, gutenberg_id FROM holds) THEN score + 5.0 ELSE score END, true FROM
+   (SELECT *, row_number() OVER (PARTITION BY query_nr ORDER BY score DESC, gutenberg_id) AS r FROM bm) JOIN ph USING (query_nr) WHERE fallback AND phrase <> '' AND r <= 5000
+ UNION ALL SELECT query_nr, gutenberg_id, 5.0, true FROM (SELECT query_nr, gutenberg_id, row_number() OVER (PARTITION BY query_nr ORDER BY gutenberg_id) AS r FROM holds
+   WHERE query_nr NOT IN (SELECT query_nr FROM bm)) WHERE r <= 200)"""
 
 
 def structured(wanted: dict[int, str]) -> str:
@@ -137,14 +138,15 @@ lists AS MATERIALIZED (SELECT query_nr, 'structured' AS model, rank, gutenberg_i
  SELECT query_nr, 'vsm', rank, gutenberg_id, score FROM ({ranked("vs")}) UNION ALL SELECT query_nr, 'bm25', rank, gutenberg_id, score FROM ({ranked("fb")}))"""
 BEST = LISTS + """,
 best AS MATERIALIZED (SELECT query_nr, gutenberg_id, term AS token FROM (SELECT query_nr, gutenberg_id, term, row_number() OVER (PARTITION BY query_nr, gutenberg_id ORDER BY ln((n + 1) / (df + 1)) + 1 DESC, first_pos) AS r
-  FROM qt JOIN lex USING (term) JOIN post USING (term) CROSS JOIN g WHERE (query_nr, gutenberg_id) IN (SELECT query_nr, gutenberg_id FROM lists WHERE model <> 'structured')) WHERE r = 1)"""
+  FROM qt JOIN lex USING (term) JOIN post USING (term) CROSS JOIN g WHERE (query_nr, gutenberg_id) IN (SELECT query_nr, gutenberg_id FROM lists)) WHERE r = 1)"""
 SNIPPETS = BEST + f""",
-sp AS (SELECT query_nr, gutenberg_id, token, text, instr({fold("text")}, token) - 1 AS p0, length(text) AS n FROM best JOIN docs USING (gutenberg_id)),
+sa AS (SELECT query_nr, gutenberg_id, token, doc_id, text, instr({fold("text")}, token) - 1 AS p0, length(text) AS n FROM best JOIN docs USING (gutenberg_id)),
+sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_nr, gutenberg_id ORDER BY p0 < 0, doc_id) AS first FROM sa) WHERE first = 1),
 s0 AS (SELECT *, greatest(0, p0 + length(token) // 2 - 125) AS a FROM sp),
 s1 AS (SELECT *, CASE WHEN p0 < 0 THEN 0 WHEN least(n, a + 250) - a < 250 THEN greatest(0, least(n, a + 250) - 250) ELSE a END AS lo, CASE WHEN p0 < 0 THEN least(n, 250) ELSE least(n, a + 250) END AS hi FROM s0),
 cut AS (SELECT query_nr, gutenberg_id, {squeeze("substr(text, lo + 1, hi - lo)")} AS snippet, CASE WHEN p0 < 0 THEN '1' ELSE CAST(1 + lo - length(replace(substr(text, 1, lo), chr(10), '')) AS VARCHAR) END AS start_line FROM s1),
 sn AS MATERIALIZED (SELECT l.query_nr, l.model, l.rank, l.gutenberg_id, l.score, coalesce(snippet, '') AS snippet, coalesce(start_line, '') AS start_line
-  FROM lists l LEFT JOIN cut c ON l.query_nr = c.query_nr AND l.gutenberg_id = c.gutenberg_id WHERE model <> 'structured')"""
+  FROM lists l LEFT JOIN cut c ON l.query_nr = c.query_nr AND l.gutenberg_id = c.gutenberg_id)"""
 TSV = SNIPPETS + """,
 tsv AS MATERIALIZED (SELECT query_nr, model, rank AS line, concat_ws(chr(9), CAST(rank AS VARCHAR), gutenberg_id, printf('%.6f', score), translate(snippet, chr(9) || chr(10) || chr(13), '   '), start_line) AS value FROM sn)"""
 BROKEN = TSV + """,
@@ -156,8 +158,8 @@ bc AS (SELECT *, string_split(value, chr(9)) AS c FROM bt),
 bw AS (SELECT query_nr, model, line, TRY_CAST(c[1] AS BIGINT) AS rk, TRY_CAST(c[3] AS DOUBLE) AS sc, c[2] AS id FROM bc WHERE len(c) = 5),
 bg AS (SELECT *, lag(sc) OVER w AS b, lag(id) OVER w AS ib FROM bw WHERE rk IS NOT NULL AND sc IS NOT NULL WINDOW w AS (PARTITION BY query_nr, model ORDER BY line))"""
 JUDGED = LISTS + """,
-j AS MATERIALIZED (SELECT l.query_nr, l.model, l.rank, l.gutenberg_id, CASE WHEN n_chars >= 1500 THEN 1 WHEN n_chars >= 800 THEN 2 ELSE 0 END AS label
-  FROM lists l LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = l.gutenberg_id WHERE l.rank <= 10),
+j AS MATERIALIZED (SELECT l.query_nr, l.model, l.rank, l.gutenberg_id, CASE WHEN n_chars >= 6000 THEN 1 WHEN n_chars >= 3000 THEN 2 ELSE 0 END AS label
+  FROM lists l LEFT JOIN (SELECT gutenberg_id, sum(n_chars) AS n_chars FROM documents GROUP BY 1) d USING (gutenberg_id) WHERE l.rank <= 10),
 jr AS (SELECT *, row_number() OVER o AS i, count(*) FILTER (WHERE label = 1) OVER (o ROWS UNBOUNDED PRECEDING) AS rel, CASE label WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS gain FROM j WINDOW o AS (PARTITION BY query_nr, model ORDER BY rank)),
 jg AS (SELECT *, row_number() OVER (PARTITION BY query_nr, model ORDER BY gain DESC, rank) AS k FROM jr),
 m AS MATERIALIZED (SELECT query_nr, model, sum(CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 10 AS p_at_k, sum(gain) / 10 AS p_at_k_partial, sum(CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / count(*) AS p, sum(gain) / count(*) AS p_partial,
@@ -172,11 +174,11 @@ def one(wanted: dict[int, str], n: int) -> dict[int, str]:
 
 GAPS = "WITH p AS (SELECT DISTINCT term, docid FROM postings WHERE term IS NOT NULL AND docid IS NOT NULL AND tf >= 1), gp AS (SELECT term, docid, docid - lag(docid, 1, 0) OVER (PARTITION BY term ORDER BY docid) AS gap FROM p) "
 SQL = {
-    "preprocess_tokens": f"WITH {DOCS}, {LINES}, {TOKS} SELECT gutenberg_id, CAST(len(toks) AS INTEGER) AS doc_len, array_to_string(toks, ' ') AS tokens FROM tk",
+    "preprocess_tokens": f"WITH {DOCS}, {LINES}, {TOKS} SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM tk",
     "query_tokens": f"WITH t AS (SELECT rec_id, {tokens("coalesce(title, '')")} AS toks FROM metadata) SELECT rec_id, array_to_string(list_sort(list_concat(toks, list_filter(list_distinct(list_transform(toks, lambda x: strip_accents(x))), lambda x: NOT list_contains(toks, x)))), ' ') AS tokens FROM t",
     "accent_alias": f"WITH {INDEX} SELECT term, strip_accents(term) AS alias FROM lex WHERE strip_accents(term) <> term",
-    "boilerplate_strip": f"WITH {DOCS}, {LINES} SELECT gutenberg_id, content FROM bodies",
-    "phrase_normalize": f"WITH {DOCS} SELECT gutenberg_id, {phrase_form('text')} AS phrase FROM docs",
+    "boilerplate_strip": f"WITH {DOCS}, {LINES} SELECT doc_id, content FROM bodies",
+    "phrase_normalize": f"WITH {DOCS} SELECT doc_id, {phrase_form('text')} AS phrase FROM docs",
     "metadata_normalize": f"SELECT rec_id, {metadata_form('title')} AS title, {metadata_form('authors')} AS authors FROM metadata",
     "sorted_token_key": f"SELECT rec_id, {key(tokens("coalesce(authors, '')"))} AS author_key FROM metadata",
     "term_freq": f"WITH {DOCS}, {LINES}, {TOKS}, {TF} SELECT * FROM tfs",
@@ -186,7 +188,7 @@ SQL = {
     "corpus_globals": f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl, 1.2::DOUBLE AS k1, 0.75::DOUBLE AS b FROM g",
     "idf_both": f"WITH {INDEX} SELECT term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf_cosine, round(CASE WHEN n - df + 0.5 > 0 THEN greatest(ln((n - df + 0.5) / (df + 0.5)), 0) ELSE 0 END, 6) AS idf_bm25 FROM lex CROSS JOIN g",
     "doc_norm": f"WITH {INDEX}, {NORMS} SELECT gutenberg_id, round(coalesce(doc_norm, 0), 6) AS doc_norm FROM dl LEFT JOIN norms USING (gutenberg_id)",
-    "dense_docid": "SELECT CAST(doc_id AS VARCHAR) AS gutenberg_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS docid FROM documents",
+    "dense_docid": "SELECT gutenberg_id, row_number() OVER (ORDER BY gutenberg_id) - 1 AS docid FROM (SELECT DISTINCT gutenberg_id FROM documents WHERE gutenberg_id IS NOT NULL)",
     "postings_gaps": GAPS + "SELECT * FROM gp",
     "gap_roundtrip": GAPS + "SELECT term, docid, docid AS restored FROM gp",
     "index_validate": "SELECT 'df' AS failure, 'x' AS of WHERE false",
@@ -213,8 +215,8 @@ SQL = {
  UNION ALL SELECT query_nr, model, line, 'rank not in sequence' FROM bw WHERE rk <> line UNION ALL SELECT query_nr, model, line, 'score not a number' FROM bw WHERE rk IS NOT NULL AND sc IS NULL
  UNION ALL SELECT query_nr, model, line, 'score rises' FROM bg WHERE sc > b UNION ALL SELECT query_nr, model, line, 'ids of a tie descend' FROM bg WHERE sc = b AND id < ib
  UNION ALL SELECT query_nr, model, count(*), 'too many rows' FROM bt GROUP BY 1, 2 HAVING count(*) > 100
- UNION ALL SELECT query_nr, model, 0, 'missing' FROM {GRID} WHERE model <> 'structured' AND (query_nr, model) NOT IN (SELECT query_nr, model FROM bt)""",
-    "determinism_diff": "SELECT 1::INTEGER AS query_nr, '' AS gutenberg_id, 0.0::DOUBLE AS score, 1::INTEGER AS rank, '' AS only_in WHERE false",
+ UNION ALL SELECT query_nr, model, 0, 'missing' FROM {GRID} WHERE (query_nr, model) NOT IN (SELECT query_nr, model FROM bt)""",
+    "determinism_diff": "SELECT 1::INTEGER AS query_nr, '' AS model, '' AS gutenberg_id, 0.0::DOUBLE AS score, 1::INTEGER AS rank, '' AS only_in WHERE false",
     "metadata_dedup": f"WITH {MERGED} SELECT * FROM merged",
     "has_text_flag": f"WITH {MERGED} SELECT gutenberg_id, has_text FROM flagged",
     "missing_ids": f"WITH {MERGED} SELECT gutenberg_id FROM flagged WHERE has_text = 0",

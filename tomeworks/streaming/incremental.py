@@ -3,39 +3,27 @@
 The tokenising part of the index needs no state, so it runs on a stream as it does on a table; each
 batch is appended under its number, and a batch that is tried again replaces what it wrote. Counts
 over all documents (df, norms, mean length) change with every batch and are taken from the appended
-postings when an index is finished.
+rows when an index is finished.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tomeworks.functions import scoring
 from tomeworks.operators import index
-from tomeworks.session import materialize
 
 
 def start(docs: DataFrame, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Append postings and lengths of streamed docs(gutenberg_id, text) below folder."""
+    """Append the counted terms of streamed docs(gutenberg_id, text) below folder."""
 
     def each(batch: DataFrame, number: int) -> None:
-        raw = materialize(index.counted(batch), "stream-tokens")
-        tfs = raw.where("term is not null")
-        postings = tfs.unionByName(index.alias_postings(tfs)).select("term", "gutenberg_id", "tf", "doc_len")
-        postings.write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
-        raw.groupBy("gutenberg_id").agg(F.max("doc_len").cast("long").alias("doc_len")).write.mode("overwrite").parquet(f"{folder}/lengths/batch={number}")
+        index.counted(batch.where("gutenberg_id is not null")).write.mode("overwrite").parquet(f"{folder}/counted/batch={number}")
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def finish(spark, folder: str, k1: float | None = None, b: float | None = None) -> index.Index:
-    """The index of all batches so far."""
-    postings = spark.read.parquet(f"{folder}/postings").drop("batch")
-    lengths = spark.read.parquet(f"{folder}/lengths").drop("batch")
-    lexicon = materialize(index.lexicon_of(postings), "stream-lexicon")
-    one = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl")).first()
-    norms = index.document_norms(postings, lexicon, one["n"])
-    stats = lengths.join(norms, "gutenberg_id", "left").withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0)))
-    extra = {k: v for k, v in (("k1", k1), ("b", b)) if v is not None}
-    return index.Index(postings, lexicon, stats, one["n"], one["avgdl"], **extra)
+def finish(spark: SparkSession, folder: str, k1: float = scoring.K1, b: float = scoring.B) -> index.Index:
+    """The index of all batches so far; texts of one record may have come in several."""
+    return index.of_counts(spark.read.parquet(f"{folder}/counted").drop("batch"), k1, b)
