@@ -80,4 +80,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return shares.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in shares.columns[2:]))
+    return shares.select("doc_id", "n_words", *(F.round(c, 9).alias(c) for c in shares.columns[2:]))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tomeworks.llm.codepoints import slices
 from tomeworks.session import materialize, table
 
 RANGE_ROWS = 20_000  # documents of one hash range
@@ -59,10 +60,11 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(key).alias("row_key"), clean_source(F.col(source)).alias("source"), F.make_valid_utf8(F.col(text)).alias("row_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path).encode_ordinary_batch
         for batch in batches:
-            tokens = pa.array([len(encode(x.as_py())) if x.is_valid else 0 for x in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], ["row_key", "source", "tokens"])
+            for part in slices(batch, "row_text"):
+                sizes = [len(x) for x in encode(part.column(2).fill_null("").to_pylist(), num_threads=1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64())], ["row_key", "source", "tokens"])
 
     return rows.mapInArrow(run, f"row_key {documents.schema[key].dataType.simpleString()}, source string, tokens long")
 
@@ -92,8 +94,9 @@ def mixture(tokens: DataFrame, planned: DataFrame, seed: int = 1) -> DataFrame:
     p = planned.select("source", "available", "max_repeats", "demand", "tilt")
     n_docs = tokens.count()
     ranges = max(16, n_docs // RANGE_ROWS)
-    h = F.xxhash64("row_key", F.lit(seed))
-    at = tokens.withColumn("_h", h).withColumn("_range", F.least(F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1)))
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("row_key").cast("string"), F.lit(str(seed)))), 1, 15)
+    at = tokens.withColumn("_h", F.conv(digits, 16, 10).cast("long"))
+    at = at.withColumn("_range", F.least(F.floor(F.col("_h") / F.lit(2.0**60) * ranges), F.lit(ranges - 1)))
     sums = at.where("source is not null").groupBy("source", "_range").agg(F.sum("tokens").alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("source", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -116,7 +119,7 @@ def shares(mixed: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("mixed_docs"), (F.max("epoch") + 1).alias("repeats"))
     want = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     want = want.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    out = want.join(have, "source", "full").join(got, "source", "left").fillna(0, ["available_tokens", "n_docs", "mixed_tokens", "mixed_docs", "repeats"]).fillna(0.0, ["target_share"])
+    out = want.join(have, "source", "full").join(got, "source", "left").fillna(0, ["max_repeats", "available_tokens", "n_docs", "mixed_tokens", "mixed_docs", "repeats"]).fillna(0.0, ["target_share"])
     whole = got.agg(F.sum("mixed_tokens").alias("whole"))
     share = F.round(F.col("mixed_tokens") / F.nullif(F.coalesce("whole", F.lit(0)), F.lit(0)), 6)
     return out.join(F.broadcast(whole), F.lit(True)).select("source", "target_share", "max_repeats", "n_docs", "available_tokens", "mixed_docs", "mixed_tokens", "repeats", F.coalesce(share, F.lit(0.0)).alias("share"))
@@ -139,5 +142,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mixed, tokens, targets)
 
 
+def _by_characters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("row_key"), clean_source(F.col("source")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("tokens")), table(spark, sf_dir, "mix_targets")
+
+
+def p9_mixture_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with sizes in characters, which SQL can count too."""
+    sizes, targets = _by_characters(spark, sf_dir)
+    mixed = mixture(sizes, plan(sizes, targets)).withColumn("position", F.round("position", 9))
+    return mixed.withColumnsRenamed({"row_key": "doc_id", "tokens": "n_chars"})
+
+
+def p9_shares_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _by_characters(spark, sf_dir)
+    return shares(mixture(sizes, plan(sizes, targets)), sizes, targets)
+
+
 def p9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("row_key", "doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tomeworks.llm import p1_distinctive, p3_lookalikes, p4_language, p5_survivor, p7_names, p8_contamination, p9_mixture, p10_repetition
+from tomeworks.llm import p1_distinctive, p3_lookalikes, p4_language, p5_survivor, p7_names, p8_contamination, p9_mixture, p10_repetition, sql
 
 QUERIES = {
     "p1_found": p1_distinctive.p1_found,
@@ -23,7 +23,9 @@ QUERIES = {
     "p9_mixture": p9_mixture.p9_mixture,
     "p9_shares": p9_mixture.p9_shares,
     "p9_tokens": p9_mixture.p9_tokens,
+    "p9_mixture_chars": p9_mixture.p9_mixture_chars,
+    "p9_shares_chars": p9_mixture.p9_shares_chars,
     "p10_found": p10_repetition.p10_found,
     "p10_repetition": p10_repetition.p10_repetition,
 }
-SQL = p1_distinctive.SQL | p5_survivor.SQL
+SQL = p1_distinctive.SQL | p5_survivor.SQL | sql.SQL
