@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeworks import reports
 from tomeworks.functions import codec, scoring, text
 from tomeworks.operators import evalkit, index, metadata, phrase, rank, snippet
 from tomeworks.operators.skew import live_postings
@@ -295,13 +296,42 @@ def score_quantiles(spark, sf_dir):
     return evalkit.score_quantiles(ranked_lists(spark, sf_dir), queries_of(spark, EVALUATED).queries)
 
 
+def build_report(spark, sf_dir):
+    """The build report's table of what does not depend on the clock or the store."""
+    i = corpus_index(spark, sf_dir)
+    size = corpus(spark, sf_dir).agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
+    values = {"N": i.n, "total_text_bytes_read": size, "final_vocab_size": i.lexicon.count(), "avgdl": i.avgdl}
+    return sinks.performance_rows(spark.createDataFrame([tuple(values.values())], "N long, total_text_bytes_read long, final_vocab_size long, avgdl double"))
+
+
+def latency_report(spark, sf_dir):
+    """The log's table, from stand-in log rows: a list's times are its greatest score."""
+    n = F.count("*")
+    log = ranked_lists(spark, sf_dir).groupBy("query_nr", "model").agg(n.alias("topk"), n.alias("candidates_scored"), (F.max("score") / 8).alias("elapsed_ms"))
+    log = log.join(F.broadcast(queries_of(spark, EVALUATED).queries.withColumnRenamed("raw", "query")), "query_nr").withColumn("phrase_fallback_used", F.col("query").contains('"'))
+    return sinks.latency_rows(log)
+
+
+def report_metrics(spark, sf_dir):
+    return reports.metrics_by_list(judgments(spark, sf_dir), queries_of(spark, EVALUATED).queries)
+
+
+def report_overlap(spark, sf_dir):
+    return reports.pair_overlap(ranked_lists(spark, sf_dir), queries_of(spark, EVALUATED).queries)
+
+
+def report_scores(spark, sf_dir):
+    ranked = ranked_lists(spark, sf_dir).withColumn("query_nr", F.col("query_nr").cast("string"))
+    return reports.score_spread(ranked, queries_of(spark, EVALUATED).queries, MODELS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         preprocess_tokens, query_tokens, accent_alias, boilerplate_strip, phrase_normalize, metadata_normalize, sorted_token_key, term_freq, alias_postings, lexicon_df, doc_len, corpus_globals,
         idf_both, doc_norm, dense_docid, postings_gaps, gap_roundtrip, index_validate, bm25_batch, vsm_batch, structured_batch, phrase_trigger, bm25_fallback, best_token, snippets, results_topk,
         tsv_rows, tsv_validate, determinism_diff, metadata_dedup, has_text_flag, missing_ids, dataset_report, precision_at_k, judge_precision, average_precision, ndcg, metrics_report, metrics_summary,
-        overlap_jaccard, score_quantiles,
+        overlap_jaccard, score_quantiles, build_report, latency_report, report_metrics, report_overlap, report_scores,
     )
 } | {
     "bm25_single": partial(bm25_batch, numbers=(2,)),

@@ -168,6 +168,22 @@ mr AS (SELECT query_nr, model, round(p_at_k, 4) AS p_at_k, round(p_at_k_partial,
 GRID = "(SELECT query_nr, unnest(['structured', 'vsm', 'bm25']) AS model FROM q)"
 
 
+OVERLAP = (
+    LISTS
+    + """, ls AS (SELECT query_nr, model, list(gutenberg_id) FILTER (WHERE rank <= 10) AS ids, count(*) AS n FROM lists GROUP BY 1, 2),
+pg AS (SELECT query_nr, p[1] AS model_1, p[2] AS model_2 FROM (SELECT query_nr, unnest([['structured', 'vsm'], ['structured', 'bm25'], ['vsm', 'bm25']]) AS p FROM q)),
+pj AS (SELECT pg.*, coalesce(a.n, 0) AS result_count_1, coalesce(b.n, 0) AS result_count_2, coalesce(a.ids, []) AS x, coalesce(b.ids, []) AS y FROM pg
+  LEFT JOIN ls a ON a.query_nr = pg.query_nr AND a.model = model_1 LEFT JOIN ls b ON b.query_nr = pg.query_nr AND b.model = model_2),
+oj AS (SELECT query_nr, model_1, model_2, result_count_1, result_count_2, CAST(len(list_intersect(x, y)) AS INTEGER) AS overlap,
+  CASE WHEN len(x) + len(y) > 0 THEN round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) ELSE 0.0::DOUBLE END AS jaccard FROM pj)"""
+)
+SPREAD = (
+    LISTS
+    + f""", qs AS (SELECT query_nr, model, count(*) AS c, min(score) AS a, quantile_cont(score, 0.25) AS b, quantile_cont(score, 0.5) AS d, quantile_cont(score, 0.75) AS e, max(score) AS f FROM lists GROUP BY 1, 2),
+sq2 AS (SELECT query_nr, model, coalesce(c, 0) AS result_count, round(a, 8) AS min_score, round(b, 8) AS p25, round(d, 8) AS median, round(e, 8) AS p75, round(f, 8) AS max_score FROM {GRID} LEFT JOIN qs USING (query_nr, model))"""
+)
+
+
 def one(wanted: dict[int, str], n: int) -> dict[int, str]:
     return {n: wanted[n]}
 
@@ -227,12 +243,20 @@ SQL = {
     "ndcg": JUDGED + " SELECT query_nr, model, round(ndcg, 6) AS ndcg FROM m",
     "metrics_report": JUDGED + " SELECT * FROM mr",
     "metrics_summary": JUDGED + " SELECT model, round(avg(p_at_k), 4) AS mean_p_at_k, round(avg(p_at_k_partial), 4) AS mean_p_at_k_partial, round(avg(ap), 4) AS mean_ap, round(avg(ndcg), 4) AS mean_ndcg, count(*) AS queries_judged FROM mr GROUP BY 1",
-    "overlap_jaccard": LISTS
-    + """, ls AS (SELECT query_nr, model, list(gutenberg_id) FILTER (WHERE rank <= 10) AS ids, count(*) AS n FROM lists GROUP BY 1, 2),
-pg AS (SELECT query_nr, p[1] AS model_1, p[2] AS model_2 FROM (SELECT query_nr, unnest([['structured', 'vsm'], ['structured', 'bm25'], ['vsm', 'bm25']]) AS p FROM q)),
-pj AS (SELECT pg.*, coalesce(a.n, 0) AS result_count_1, coalesce(b.n, 0) AS result_count_2, coalesce(a.ids, []) AS x, coalesce(b.ids, []) AS y FROM pg LEFT JOIN ls a ON a.query_nr = pg.query_nr AND a.model = model_1 LEFT JOIN ls b ON b.query_nr = pg.query_nr AND b.model = model_2)
-SELECT query_nr, model_1, model_2, result_count_1, result_count_2, CAST(len(list_intersect(x, y)) AS INTEGER) AS overlap, CASE WHEN len(x) + len(y) > 0 THEN round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) ELSE 0.0::DOUBLE END AS jaccard FROM pj""",
-    "score_quantiles": LISTS
-    + f""", qs AS (SELECT query_nr, model, count(*) AS c, min(score) AS a, quantile_cont(score, 0.25) AS b, quantile_cont(score, 0.5) AS d, quantile_cont(score, 0.75) AS e, max(score) AS f FROM lists GROUP BY 1, 2)
-SELECT query_nr, model, coalesce(c, 0) AS result_count, round(a, 8) AS min_score, round(b, 8) AS p25, round(d, 8) AS median, round(e, 8) AS p75, round(f, 8) AS max_score FROM {GRID} LEFT JOIN qs USING (query_nr, model)""",
+    "overlap_jaccard": OVERLAP + " SELECT * FROM oj",
+    "score_quantiles": SPREAD + " SELECT * FROM sq2",
+    "build_report": f"""WITH {INDEX}, t AS (SELECT sum(strlen(text)) AS b FROM documents WHERE gutenberg_id IS NOT NULL)
+SELECT 'N' AS metric, CAST(n AS VARCHAR) AS value, '' AS unit FROM g UNION ALL SELECT 'avgdl', printf('%.2f', avgdl), '' FROM g
+UNION ALL SELECT 'final_vocab_size', CAST(count(*) AS VARCHAR), '' FROM lex UNION ALL SELECT 'total_text_bytes_read', printf('%.2f', b / 1e6), 'MB' FROM t""",
+    "latency_report": LISTS
+    + """ SELECT raw AS query, model, CAST(CAST(CAST(max(score) / 8 AS DECIMAL(20, 9)) AS DECIMAL(20, 2)) AS VARCHAR) AS elapsed_ms, count(*) AS topk, count(*) AS candidates_scored, contains(raw, '"') AS phrase_fallback
+FROM lists JOIN q USING (query_nr) GROUP BY raw, model""",
+    "report_metrics": JUDGED
+    + """ SELECT CAST(query_nr AS VARCHAR) AS query_nr, raw AS query_text, model, printf('%.4f', p_at_k) AS "P@10", printf('%.4f', p_at_k_partial) AS "P@10_partial",
+printf('%.4f', ap) AS "AP@10", printf('%.4f', ndcg) AS "NDCG@10", result_count FROM mr JOIN q USING (query_nr)""",
+    "report_overlap": OVERLAP + " SELECT CAST(query_nr AS VARCHAR) AS query_nr, model_1 || '_vs_' || model_2 AS pair, overlap AS overlap_top10, printf('%.4f', jaccard) AS jaccard_top10 FROM oj",
+    "report_scores": SPREAD
+    + " SELECT CAST(query_nr AS VARCHAR) AS query_nr, model, result_count, "
+    + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN CAST(CAST(CAST({c} AS DECIMAL(20, 9)) AS DECIMAL(20, 6)) AS VARCHAR) END AS {c}" for c in ("min_score", "p25", "median", "p75", "max_score"))
+    + " FROM sq2",
 }
