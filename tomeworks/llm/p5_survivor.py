@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tomeworks.functions.text import plain_number
-from tomeworks.session import blank, table
+from tomeworks.session import blank, materialize, table
 
 # What stands for "not known".
 STAND_INS = ("n/a", "unknown", "none", "null", "-", "?", "[not known]")
@@ -82,7 +82,8 @@ def p5_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors that are best in every respect, of books with two or more different rows."""
-    scored = ranked(distinct_rows(table(spark, sf_dir, "metadata")), table(spark, sf_dir, "feeds"))
+    # Written, as the survivors and the facts they are held against both come from it.
+    scored = materialize(ranked(distinct_rows(table(spark, sf_dir, "metadata")), table(spark, sf_dir, "feeds")).drop("feed", *FIELDS), "p5-rows")
     best = survivors(scored).join(group_facts(scored), "_book")
     whole = F.lit(True)
     for c in FIELDS:
