@@ -187,6 +187,20 @@ def test_slips_in_first_letters_against_brute_force(spark):
     assert ("tavekex, frederick", "tavekex, rfederick") in found and ("tavekex, katherine", "tavekex, kitty") in found
 
 
+def test_clusters_do_not_depend_on_where_they_are_made(spark):
+    rng = random.Random(12)
+    names = [f"{rng.choice('abc')}{i:03d}, {rng.choice(('ann', 'a.', 'ann b.'))}" for i in range(150)]
+    pairs = {tuple(sorted(rng.sample(names[k : k + 9], 2))) for k in range(0, 140) for _ in range(2)}
+    edges = spark.createDataFrame([(a, b, rng.choice((0.85, 0.9, 0.95))) for a, b in sorted(pairs)], "a string, b string, sim double").cache()
+    whole = {r["name"]: r["center"] for r in p7.star_clusters(edges).collect()}
+    for few in (0, 40):
+        assert {r["name"]: r["center"] for r in p7.star_clusters(edges, few).collect()} == whole
+    # A name that is left out has lost all its neighbours to other centers.
+    assert all(a in whole or b in whole for a, b in pairs) and all(whole[c] == c for c in whole.values())
+    assert all(n == c or tuple(sorted((n, c))) in pairs for n, c in whole.items())
+    assert p7.star_clusters(edges.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("a,b,like", [("abcd", "abcd", True), ("abcd", "abd", True), ("abcd", "acbd", True), ("abcd", "abxd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("abcd", "ab", False), ("frank", "frnka", False)])
 def test_slips(a, b, like):
     assert p7.slip(a, b) == p7.slip(b, a) == like
