@@ -74,7 +74,9 @@ PLAIN = {
 
 def test_plain_form(spark):
     rows = [(i, t, None) for i, t in enumerate(PLAIN)] + [(50, None, "x"), (50, None, "x")]
-    got = p3.level_columns(spark.createDataFrame(rows, "rec_id long, title string, authors string").withColumn("title_odd", F.lit(3)), "rec_id", ["title", "authors"]).collect()
+    got = p3.level_columns(
+        spark.createDataFrame(rows, "rec_id long, title string, authors string").withColumn("title_odd", F.lit(3)), "rec_id", ["title", "authors"]
+    ).collect()
     for r in got:
         wanted = (None, False) if r["rec_id"] == 50 else list(PLAIN.values())[r["rec_id"]]
         assert (r["title"], r["title_odd"]) == wanted, r

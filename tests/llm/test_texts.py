@@ -46,7 +46,14 @@ def test_languages(spark, corpus):
     rng = random.Random(8)
     tests = [(i, sentences(rng, lang, 8), lang) for i, lang in enumerate(p4.LANGS * 10)]
     mixed = "Head\n*** START OF IT ***\nCHAPTER 1\n\n" + sentences(rng, "en", 6) + " " + sentences(rng, "fr", 6) + "\n\n" + sentences(rng, "fr", 2) + "\n*** END OF IT ***\n" + sentences(rng, "nl", 9)
-    extra = [(900, mixed, None), (901, None, None), (902, "", None), (903, "!!! 12", None), (904, sentences(rng, "it", 4000), None), (904, sentences(rng, "it", 3), None)]
+    extra = [
+        (900, mixed, None),
+        (901, None, None),
+        (902, "", None),
+        (903, "!!! 12", None),
+        (904, sentences(rng, "it", 4000), None),
+        (904, sentences(rng, "it", 3), None)
+    ]
     frame = spark.createDataFrame([r[:2] for r in tests + extra], "doc_id long, text string")
     got = defaultdict(list)
     for r in p4.stretches(frame, "doc_id", "text", model).orderBy("row_key", "seg_no").collect():
@@ -72,12 +79,20 @@ def test_short_sentences_count_to_their_stretch(spark, corpus):
 
 
 def test_none_of_the_languages(spark, corpus):
-    model = p4.fit_sample(spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_language=20)
+    model = p4.fit_sample(
+        spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_language=20
+    )
     assert model.langs == p4.LANGS
     rng = random.Random(4)
-    foreign = ["Wieczorem stary rybak wrócił do portu i opowiadał dzieciom o burzy.", "Старый рыбак вечером вернулся в гавань и рассказал детям о буре.", "Vanha kalastaja palasi illalla satamaan ja kertoi lapsille myrskystä."]
+    foreign = [
+        "Wieczorem stary rybak wrócił do portu i opowiadał dzieciom o burzy.",
+        "Старый рыбак вечером вернулся в гавань и рассказал детям о буре.",
+        "Vanha kalastaja palasi illalla satamaan ja kertoi lapsille myrskystä."
+    ]
     texts = [*(" ".join([x] * 4) for x in foreign), f"{sentences(rng, 'nl', 6)} {' '.join([foreign[0]] * 6)} {sentences(rng, 'nl', 6)}"]
-    got = p4.stretches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", model).orderBy("row_key", "seg_no").collect()
+    got = p4.stretches(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", model
+    ).orderBy("row_key", "seg_no").collect()
     assert [r["lang"] for r in got] == ["und", "und", "und", "nl", "und", "nl"] and all(r["confidence"] > 0.5 for r in got)
 
 
@@ -102,10 +117,14 @@ def test_sample_is_bounded_and_repeatable(spark, corpus):
 
 
 def test_start_line_of_any_length(spark, corpus):
-    model = p4.fit_sample(spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_language=20)
+    model = p4.fit_sample(
+        spark.createDataFrame([r[:3] for r in corpus], "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_language=20
+    )
     rng = random.Random(9)
     text = f"*** START OF {'x y ' * 20}{sentences(rng, 'de', 30)} ***\r\n{sentences(rng, 'es', 5)}\r*** END OF IT ***\n{sentences(rng, 'fr', 5)}"
-    got = p4.stretches(spark.createDataFrame([(1, text), (2, "*** START OF " + "x" * 900)], "doc_id long, text string"), "doc_id", "text", model).collect()
+    got = p4.stretches(
+        spark.createDataFrame([(1, text), (2, "*** START OF " + "x" * 900)], "doc_id long, text string"), "doc_id", "text", model
+    ).collect()
     assert [(r["row_key"], r["lang"]) for r in got] == [(1, "es")]
 
 
@@ -116,7 +135,15 @@ def test_no_labels_no_model(spark):
 
 
 def test_named_languages(spark):
-    cells = {"en": ["en"], "EN-gb;ger": ["en", "de"], "['fr_CA', 'Dutch']": ["fr", "nl"], "English and por": ["en", "pt"], "ru": [], None: [], "es-MX|Spanish": ["es"]}
+    cells = {
+        "en": ["en"],
+        "EN-gb;ger": ["en", "de"],
+        "['fr_CA', 'Dutch']": ["fr", "nl"],
+        "English and por": ["en", "pt"],
+        "ru": [],
+        None: [],
+        "es-MX|Spanish": ["es"]
+    }
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
     assert [r["l"] for r in df.select("i", p4.named_languages(F.col("c")).alias("l")).orderBy("i").collect()] == list(cells.values())
 
@@ -132,8 +159,32 @@ def test_best_path_prefers_few_changes():
 
 
 META = "rec_id long, feed string, authors string"
-NAMES = ["Tavekex, Frederick Hale", "F. Tavekex", "TAVKEEX, F.", "Fred Tavekex", "Tavekex Frederick Hale", "Dr. Frederick Tavekex", "Tavekex, Fredk. H.", "Tavekex, Fredreick Hale", "Tavékex, Frederick Hale", "Ｔａｖｅｋｅｘ, Frederick Hale"]
-OTHERS = ["Tavekex, Louisa", "Tavekex Missionary Society", "Missionary Society of Tavekex", "Tavekex Miss. Soc.", "Tavekex & Sons", "Zopakuth, Edmund", "Ned Zopakuth", "n/a", None, "", "Zopakuth", "Zopakuth, Edmund; Tavekex, Louisa"]
+NAMES = [
+    "Tavekex, Frederick Hale",
+    "F. Tavekex",
+    "TAVKEEX, F.",
+    "Fred Tavekex",
+    "Tavekex Frederick Hale",
+    "Dr. Frederick Tavekex",
+    "Tavekex, Fredk. H.",
+    "Tavekex, Fredreick Hale",
+    "Tavékex, Frederick Hale",
+    "Ｔａｖｅｋｅｘ, Frederick Hale"
+]
+OTHERS = [
+    "Tavekex, Louisa",
+    "Tavekex Missionary Society",
+    "Missionary Society of Tavekex",
+    "Tavekex Miss. Soc.",
+    "Tavekex & Sons",
+    "Zopakuth, Edmund",
+    "Ned Zopakuth",
+    "n/a",
+    None,
+    "",
+    "Zopakuth",
+    "Zopakuth, Edmund; Tavekex, Louisa"
+]
 
 
 def test_names(spark, tmp_path):
@@ -160,7 +211,9 @@ def test_bands_meet_the_curve():
 
 def slipped(rng, word):
     k, c = rng.randrange(len(word) - 1), rng.choice("aeklnrst")
-    return rng.choice((word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + word[k + 1 :], word[:k] + c + word[k:], word[:k] + c + word[k + 1 :]))
+    return rng.choice(
+        (word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + word[k + 1 :], word[:k] + c + word[k:], word[:k] + c + word[k + 1 :])
+    )
 
 
 def test_short_family_names_against_brute_force(spark):
@@ -201,7 +254,19 @@ def test_clusters_do_not_depend_on_where_they_are_made(spark):
     assert p7.star_clusters(edges.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("a,b,like", [("abcd", "abcd", True), ("abcd", "abd", True), ("abcd", "acbd", True), ("abcd", "abxd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("abcd", "ab", False), ("frank", "frnka", False)])
+@pytest.mark.parametrize(
+    "a,b,like",
+    [
+        ("abcd", "abcd", True),
+        ("abcd", "abd", True),
+        ("abcd", "acbd", True),
+        ("abcd", "abxd", True),
+        ("abcd", "abcde", True),
+        ("abcd", "badc", False),
+        ("abcd", "ab", False),
+        ("frank", "frnka", False)
+    ]
+)
 def test_slips(a, b, like):
     assert p7.slip(a, b) == p7.slip(b, a) == like
 
@@ -237,7 +302,9 @@ def test_leaks(spark):
         for k in range(len(w) - 11):
             index[tuple(w[k : k + 12])].add(i)
     wanted = {(d, i) for d, t in docs for w in [plain_words(t)] for k in range(len(w) - 11) for i in index.get(tuple(w[k : k + 12]), ())}
-    frame, queries = spark.createDataFrame(docs, "doc_id long, text string").withColumn("seeds", F.lit(1)), spark.createDataFrame(items, "item_id long, passage string")
+    frame, queries = spark.createDataFrame(docs, "doc_id long, text string").withColumn("seeds", F.lit(1)), spark.createDataFrame(
+        items, "item_id long, passage string"
+    )
     for block, run in ((20_000, None), (17, None), (20_000, 12), (17, 12)):
         pairs = p8.leaks(frame, queries, block=block, run=run)
         assert {(r["doc_id"], r["item_id"]) for r in pairs.where("longest >= 12").collect()} == wanted
@@ -261,7 +328,11 @@ def test_alignment_against_the_plain_recurrence():
     best, longest = p8.smith_waterman(a, b)
     for i in range(30):
         assert best[i] == simple_alignment(a[i], b[i])
-        runs = [k for x in range(len(a[i])) for y in range(len(b[i])) for k in range(1, 41) if x + k <= len(a[i]) and y + k <= len(b[i]) and (a[i][x : x + k] == b[i][y : y + k]).all()]
+        runs = [
+            k for x in range(len(a[i])) for y in range(len(b[i])) for k in range(1, 41) if x + k <= len(a[i]) and y + k <= len(b[i]) and (
+                a[i][x : x + k] == b[i][y : y + k]
+            ).all()
+        ]
         assert longest[i] == max(runs, default=0)
 
 
@@ -276,9 +347,15 @@ def test_edited_copies_against_brute_force(spark, tmp_path):
         return words(rng.randint(0, 25)) + out + words(rng.randint(0, 25))
 
     docs = [edited(p, every, edit) for p in items for every, edit in ((8, lambda w: ["zzz"]), (6, lambda w: []), (7, lambda w: [w, "zzz", "yyy"]))]
-    docs += [p[:9] + ["zzz"] * 16 + p[9:] for p in items] + [p[:6] + [x for w in p[6:] for x in (w, "zzz")] for p in items] + [words(60) for _ in range(8)]
-    spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, passage string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    docs += [p[:9] + ["zzz"] * 16 + p[9:] for p in items] + [
+        p[:6] + [x for w in p[6:] for x in (w, "zzz")] for p in items
+    ] + [words(60) for _ in range(8)]
+    spark.createDataFrame(
+        [(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(
+        [(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, passage string"
+    ).write.parquet(str(tmp_path / "eval_items.parquet"))
     scores = {(d, i): simple_alignment(w, p) for d, w in enumerate(docs) for i, p in enumerate(items)}
     found = {(r["doc_id"], r["item_id"]): r["score"] for r in p8.p8_alignments(spark, str(tmp_path)).collect()}
     assert found == {k: s for k, s in scores.items() if s >= 10 * p8.MATCH} and len(found) >= 3 * len(items)
@@ -286,9 +363,15 @@ def test_edited_copies_against_brute_force(spark, tmp_path):
 
 def test_mixture(spark):
     rng = random.Random(1)
-    docs = [(i, "word " * rng.randint(1, 60), [" Big", "big", "MID", "tiny ", None, "other"][i % 6 if i % 6 != 3 or i % 5 == 0 else 0]) for i in range(1500)] + [(2000, None, "mid"), (2001, "", "mid")]
+    docs = [
+        (
+            i, "word " * rng.randint(1, 60), [" Big", "big", "MID", "tiny ", None, "other"][i % 6 if i % 6 != 3 or i % 5 == 0 else 0]
+        ) for i in range(1500)
+    ] + [(2000, None, "mid"), (2001, "", "mid")]
     tokens = p9.token_counts(spark.createDataFrame(docs, "doc_id long, text string, source string")).cache()
-    targets = spark.createDataFrame([("big", 0.5, 1), ("Mid ", 0.3, 2), ("tiny", 0.15, 3), ("void", 0.05, 9)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame(
+        [("big", 0.5, 1), ("Mid ", 0.3, 2), ("tiny", 0.15, 3), ("void", 0.05, 9)], "source string, target_share double, max_repeats int"
+    )
     planned = p9.plan(tokens, targets)
     mixed = p9.mixture(tokens, planned).cache()
     rows = mixed.collect()
@@ -339,7 +422,9 @@ def test_repetition(spark):
         texts.append(" ".join(base + base[: rng.randint(0, 30)]).replace("cde", "CDE,\n", 1))
     texts.append(" ".join(f"w{i % 4000}" for i in range(60_000)))
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4])]
-    got = p10.repetition(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("clash")), "doc_id", "text", (3, 6)).collect()
+    got = p10.repetition(
+        spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("clash")), "doc_id", "text", (3, 6)
+    ).collect()
     assert len(got) == len(rows)
     for r in got:
         for n in (3, 6):

@@ -67,7 +67,9 @@ def repetition(documents: DataFrame, key: str, text: str, lengths: tuple[int, ..
                 marks = [repeated_words(w, n) for n in lengths]
                 by_word = [np.bincount(w.row[m], minlength=rows) / np.maximum(n_words, 1) for m in marks]
                 by_char = [np.bincount(w.row[m], w.chars[m], minlength=rows) / np.maximum(chars, 1) for m in [*marks, repeated_lines(w, t)]]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words.astype(np.int64)), *map(pa.array, by_word + by_char)], ["row_key", "n_words", *names])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n_words.astype(np.int64)), *map(pa.array, by_word + by_char)], ["row_key", "n_words", *names]
+                )
 
     return source.mapInArrow(run, schema).withColumnRenamed("row_key", key)
 

@@ -333,7 +333,9 @@ def fit_sample(documents: DataFrame, key: str, text: str, label: str, per_langua
                 packed = np.concatenate(bits) if bits else np.zeros((0, DIMS // 8), np.uint8)
                 ends = np.cumsum([0, *map(len, pick)]).astype(np.int32)
                 values = pa.array([p.tobytes() for p in packed], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "l", "units"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), values)], ["k", "l", "units"]
+                )
 
     cut = rows.mapInArrow(run, f"k {kind}, l string, units array<binary>").groupBy("k", "l").agg(F.min("units").alias("units")).collect()
     enough = {x for x in {r["l"] for r in cut} if x in SPELLINGS or sum(r["l"] == x for r in cut) >= MIN_LABELLED}
@@ -399,7 +401,13 @@ def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_lang = found.groupBy("row_key", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("confidence") * F.col("n_words")).alias("c"))
     best = by_lang.groupBy("row_key").agg(F.max(F.struct("n", "c", "lang")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("n_langs"))
     labelled = docs.select("doc_id", label_code(F.col("lang")).alias("label"))
-    best = best.select(F.col("row_key").alias("doc_id"), F.col("m.lang").alias("lang"), F.round(F.col("m.c") / F.col("m.n"), 4).alias("confidence"), F.round(F.col("m.n") / F.col("all"), 4).alias("share"), "n_langs")
+    best = best.select(
+        F.col("row_key").alias("doc_id"),
+        F.col("m.lang").alias("lang"),
+        F.round(F.col("m.c") / F.col("m.n"), 4).alias("confidence"),
+        F.round(F.col("m.n") / F.col("all"), 4).alias("share"),
+        "n_langs"
+    )
     return labelled.join(best, "doc_id", "left").fillna(0.0, ["confidence"])
 
 
@@ -408,6 +416,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_sample(docs, "doc_id", "text", "lang")
     keyed = docs.where(F.col("gutenberg_id").isNotNull()).select("gutenberg_id", "text")
-    held = stretches(keyed, "gutenberg_id", "text", model).where((F.col("n_words") >= STRETCH) & F.col("lang").isin(*LANGS)).select(F.col("row_key").alias("gutenberg_id"), "lang").distinct()
-    named = table(spark, sf_dir, "metadata").select(plain_number(F.col("gutenberg_id")).alias("gutenberg_id"), F.explode(named_languages(F.col("language"))).alias("lang")).distinct()
+    held = stretches(keyed, "gutenberg_id", "text", model).where(
+        (F.col("n_words") >= STRETCH) & F.col("lang").isin(*LANGS)
+    ).select(F.col("row_key").alias("gutenberg_id"), "lang").distinct()
+    named = table(spark, sf_dir, "metadata").select(
+        plain_number(F.col("gutenberg_id")).alias("gutenberg_id"), F.explode(named_languages(F.col("language"))).alias("lang")
+    ).distinct()
     return held.join(named, ["gutenberg_id", "lang"], "left_anti")

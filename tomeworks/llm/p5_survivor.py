@@ -98,7 +98,8 @@ WITH u AS (SELECT min(rec_id) AS rec_id, gutenberg_id AS gid, title, authors, la
            FROM metadata GROUP BY gutenberg_id, title, authors, language, bookshelf, rights, has_text, feed, updated_at, loaded_at),
 f AS (SELECT u.*, CAST(CAST(regexp_extract(gid, '\\d+') AS BIGINT) AS VARCHAR) AS book, coalesce(t.trust, -2147483648) AS trust,
    {filled} FROM u LEFT JOIN feeds t ON u.feed = t.feed WHERE regexp_matches(gid, '\\d')),
-r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY (ht::INT + ha::INT + hr::INT) DESC, trust DESC, updated_at DESC NULLS LAST, rec_id) AS rk FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY (ht::INT + ha::INT + hr::INT) DESC, trust DESC, updated_at DESC NULLS LAST,
+  rec_id) AS rk FROM f)
 """.replace(
     "{filled}",
     ", ".join(

@@ -129,7 +129,10 @@ def around_seeds(documents: DataFrame, key: str, text: str, seeds: np.ndarray, r
                 row = w.row[at]
                 row, low, high, joined = merged(row, np.maximum(at - (run - SEED), bounds[row]), np.minimum(at + run, bounds[row + 1]))
                 pair = np.unique(joined * len(seeds) + number)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // len(seeds), np.arange(len(row) + 1)).astype(np.int32)), pa.array((pair % len(seeds)).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(pair // len(seeds), np.arange(len(row) + 1)).astype(np.int32)),
+                    pa.array((pair % len(seeds)).astype(np.int32))
+                )
                 kept = C.to_arrow(C.spans(t, w.first[low], w.end[high - 1]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), lists, kept], ["row_key", "seeds", "part"])
 
@@ -165,7 +168,9 @@ def smith_waterman(windows: list[np.ndarray], passages: list[np.ndarray]) -> tup
     return best, longest
 
 
-def alignments(w: C.Words, rows: int, items: Items, seeds: np.ndarray, place: np.ndarray, screen: np.ndarray, reach: int | None) -> tuple[np.ndarray, ...]:
+def alignments(
+    w: C.Words, rows: int, items: Items, seeds: np.ndarray, place: np.ndarray, screen: np.ndarray, reach: int | None
+) -> tuple[np.ndarray, ...]:
     """row, item, score, longest of each row and item that one of the seeds joins.
 
     reach: words to both sides of a seed's first one that count; by default all that an alignment can need.
@@ -204,12 +209,24 @@ def align(source: DataFrame, column: str, is_folded: bool, items: Items, seeds:
                 w = C.words(t if is_folded else folded(t), markup=True)
                 row, item, score, longest = alignments(w, part.num_rows, items, seeds, place, screen, reach)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(item.astype(np.int32)), pa.array(score), pa.array(longest)], ["row_key", "item", "score", "longest"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(row)), pa.array(item.astype(np.int32)), pa.array(score), pa.array(longest)],
+                        ["row_key", "item", "score", "longest"]
+                    )
 
     return source.select("row_key", column).mapInArrow(run, schema)
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", block: int = BLOCK, run: int | None = None) -> DataFrame:
+def leaks(
+    documents: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    passage: str = "passage",
+    block: int = BLOCK,
+    run: int | None = None
+) -> DataFrame:
     """key, item_key, item_words, score, share, longest of each pair of document and item joined by a seed.
 
     share: the score against that of a whole copy. longest: equal consecutive words.
@@ -235,12 +252,20 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 counts[r["s"]] = r["count"]
             found = align(held, "part", True, mine, *mine.chosen(counts, run), run)
         size = np.diff(mine.start)
-        names = spark.createDataFrame([(i, q, int(size[i])) for i, q in enumerate(mine.ids)], f"item int, {item_key} {items.schema[item_key].dataType.simpleString()}, item_words int")
+        names = spark.createDataFrame(
+            [(i, q, int(size[i])) for i, q in enumerate(mine.ids)],
+            f"item int, {item_key} {items.schema[item_key].dataType.simpleString()}, item_words int"
+        )
         found = found.join(F.broadcast(names), "item").drop("item")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], f"{key} {documents.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}, item_words int, score int, share double, longest int")
-    best = out.groupBy(F.col("row_key").alias(key), item_key).agg(F.max("item_words").alias("item_words"), F.max("score").alias("score"), F.max("longest").alias("longest"))
+        return spark.createDataFrame(
+            [],
+            f"{key} {documents.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}, item_words int, score int, share double, longest int"
+        )
+    best = out.groupBy(F.col("row_key").alias(key), item_key).agg(
+        F.max("item_words").alias("item_words"), F.max("score").alias("score"), F.max("longest").alias("longest")
+    )
     return best.select(key, item_key, "item_words", "score", (F.col("score") / (MATCH * F.col("item_words"))).alias("share"), "longest")
 
 

@@ -57,7 +57,9 @@ def clean_source(col):
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str | None = None) -> DataFrame:
     """row_key, source, tokens of each document."""
     path = str(vocabulary or default_vocabulary())
-    rows = documents.select(F.col(key).alias("row_key"), clean_source(F.col(source)).alias("source"), F.make_valid_utf8(F.col(text)).alias("row_text"))
+    rows = documents.select(
+        F.col(key).alias("row_key"), clean_source(F.col(source)).alias("source"), F.make_valid_utf8(F.col(text)).alias("row_text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary_batch
@@ -76,8 +78,14 @@ def plan(tokens: DataFrame, targets: DataFrame, total: float | None = None, tilt
     """
     spark = tokens.sparkSession
     have = tokens.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("n_docs"))
-    want = targets.select(clean_source(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-    want = want.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    want = targets.select(
+        clean_source(F.col("source")).alias("source"),
+        F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")
+    )
+    want = want.where("source is not null").groupBy("source").agg(
+        F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+    )
     both = want.join(have, "source").where("available > 0 and target_share > 0 and max_repeats > 0")
     one = both.agg(F.sum("target_share").alias("s"), F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).alias("m")).first()
     reach = one["s"] or 1.0
@@ -110,19 +118,35 @@ def mixture(tokens: DataFrame, planned: DataFrame, seed: int = 1) -> DataFrame:
     at = at.withColumn("_u", offset / F.col("demand")).where("_u < 1")
     steep = 1 + F.col("tilt")
     position = 2 * F.col("_u") / (steep + F.sqrt(F.greatest(steep * steep - 4 * F.col("tilt") * F.col("_u"), F.lit(0.0))))
-    return at.select(position.alias("position"), "source", "row_key", F.col("epoch").cast("int").alias("epoch"), "tokens").orderBy("position", "source", "row_key", "epoch")
+    return at.select(
+        position.alias("position"), "source", "row_key", F.col("epoch").cast("int").alias("epoch"), "tokens"
+    ).orderBy("position", "source", "row_key", "epoch")
 
 
 def shares(mixed: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: target and reached share, tokens and documents at hand and mixed, and repeats."""
-    have = tokens.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(F.sum("tokens").alias("available_tokens"), F.count("*").alias("n_docs"))
+    have = tokens.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(
+        F.sum("tokens").alias("available_tokens"), F.count("*").alias("n_docs")
+    )
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("mixed_docs"), (F.max("epoch") + 1).alias("repeats"))
     want = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     want = want.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    out = want.join(have, "source", "full").join(got, "source", "left").fillna(0, ["max_repeats", "available_tokens", "n_docs", "mixed_tokens", "mixed_docs", "repeats"]).fillna(0.0, ["target_share"])
+    out = want.join(have, "source", "full").join(got, "source", "left").fillna(
+        0, ["max_repeats", "available_tokens", "n_docs", "mixed_tokens", "mixed_docs", "repeats"]
+    ).fillna(0.0, ["target_share"])
     whole = got.agg(F.sum("mixed_tokens").alias("whole"))
     share = F.round(F.col("mixed_tokens") / F.nullif(F.coalesce("whole", F.lit(0)), F.lit(0)), 6)
-    return out.join(F.broadcast(whole), F.lit(True)).select("source", "target_share", "max_repeats", "n_docs", "available_tokens", "mixed_docs", "mixed_tokens", "repeats", F.coalesce(share, F.lit(0.0)).alias("share"))
+    return out.join(F.broadcast(whole), F.lit(True)).select(
+        "source",
+        "target_share",
+        "max_repeats",
+        "n_docs",
+        "available_tokens",
+        "mixed_docs",
+        "mixed_tokens",
+        "repeats",
+        F.coalesce(share, F.lit(0.0)).alias("share")
+    )
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,7 +168,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_characters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("row_key"), clean_source(F.col("source")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("tokens")), table(spark, sf_dir, "mix_targets")
+    return docs.select(
+        F.col("doc_id").alias("row_key"), clean_source(F.col("source")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("tokens")
+    ), table(spark, sf_dir, "mix_targets")
 
 
 def p9_mixture_chars(spark: SparkSession, sf_dir: str) -> DataFrame:

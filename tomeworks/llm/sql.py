@@ -70,10 +70,13 @@ def count(x: str, kind: str) -> str:
 
 
 P3_FOUND = f"""WITH c AS (SELECT rec_id, unnest(['title', 'authors']) AS field_name, unnest([title, authors]) AS x FROM metadata),
-s AS (SELECT rec_id, field_name, x, {count("x", "\\p{Latin}")} AS lat, {count("x", "\\p{Cyrillic}")} AS cyr, {count("x", "\\p{Greek}")} AS gre FROM c WHERE x IS NOT NULL)
+s AS (SELECT rec_id, field_name, x, {count("x", "\\p{Latin}")} AS lat, {count("x", "\\p{Cyrillic}")} AS cyr, {count("x", "\\p{Greek}")} AS gre
+  FROM c WHERE x IS NOT NULL)
 SELECT DISTINCT rec_id, field_name FROM s WHERE regexp_matches(x, '{ODD}') OR regexp_matches(x, '{MIXED}')
- OR (lat > cyr + gre AND len(list_filter(regexp_extract_all(x, '\\p{{L}}+'), lambda w: regexp_full_match(w, '[{"".join(CYRILLIC_AS_LATIN)}]+') OR regexp_full_match(w, '[{"".join(GREEK_AS_LATIN)}]+'))) > 0)
- OR (cyr > lat AND len(list_filter(regexp_extract_all(x, '\\p{{L}}+'), lambda w: regexp_full_match(w, '[{"".join(CYRILLIC_AS_LATIN.values())}]+') AND NOT regexp_full_match(w, '[IVXLCDM]+'))) > 0)
+ OR (lat > cyr + gre AND len(list_filter(regexp_extract_all(x, '\\p{{L}}+'), lambda w: regexp_full_match(w, '[{"".join(CYRILLIC_AS_LATIN)}]+')
+  OR regexp_full_match(w, '[{"".join(GREEK_AS_LATIN)}]+'))) > 0)
+ OR (cyr > lat AND len(list_filter(regexp_extract_all(x, '\\p{{L}}+'), lambda w: regexp_full_match(w, '[{"".join(CYRILLIC_AS_LATIN.values())}]+')
+  AND NOT regexp_full_match(w, '[IVXLCDM]+'))) > 0)
  OR (gre > lat AND len(list_filter(regexp_extract_all(x, '\\p{{L}}+'), lambda w: regexp_full_match(w, '[{"".join(GREEK_AS_LATIN.values())}]+') AND NOT regexp_full_match(w, '[IVXLCDM]+'))) > 0)"""
 
 
@@ -87,7 +90,11 @@ def reverse(table: dict[str, str]) -> dict[str, str]:
 
 # Letters of each script that look like one of another, by the script they are to be written in.
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
-TWINS = {"Latin": CYRILLIC_AS_LATIN | GREEK_AS_LATIN, "Cyrillic": reverse(CYRILLIC_AS_LATIN) | GREEK_AS_CYRILLIC, "Greek": reverse(GREEK_AS_LATIN) | reverse(GREEK_AS_CYRILLIC)}
+TWINS = {
+    "Latin": CYRILLIC_AS_LATIN | GREEK_AS_LATIN,
+    "Cyrillic": reverse(CYRILLIC_AS_LATIN) | GREEK_AS_CYRILLIC,
+    "Greek": reverse(GREEK_AS_LATIN) | reverse(GREEK_AS_CYRILLIC)
+}
 DOUBTFUL = "".join(sorted(set("".join(c for t in TWINS.values() for c in t))))
 
 
@@ -107,20 +114,25 @@ def largest(of: dict[str, str]) -> str:
 
 
 def written(w: str, script: str) -> str:
-    return "CASE " + script + " " + " ".join(f"WHEN '{s}' THEN translate({w}, {lit(''.join(TWINS[s]))}, {lit(''.join(TWINS[s].values()))})" for s in SCRIPTS) + " END"
+    return "CASE " + script + " " + " ".join(
+        f"WHEN '{s}' THEN translate({w}, {lit(''.join(TWINS[s]))}, {lit(''.join(TWINS[s].values()))})" for s in SCRIPTS
+    ) + " END"
 
 
 def one_script(x: str, home: str) -> str:
     """Words of several scripts in the one that tells most, words that only look like another script in that of the text."""
     kinds = " + ".join(f"regexp_matches(w, '\\p{{{s}}}')::INT" for s in SCRIPTS)
-    target = largest({s: f"({weight('w', s, 1_000_000)} + CASE WHEN {home} = '{s}' AND regexp_matches(w, '\\p{{{s}}}') THEN 500000 ELSE 0 END)" for s in SCRIPTS})
+    target = largest(
+        {s: f"({weight('w', s, 1_000_000)} + CASE WHEN {home} = '{s}' AND regexp_matches(w, '\\p{{{s}}}') THEN 500000 ELSE 0 END)" for s in SCRIPTS}
+    )
     stray = f"NOT regexp_matches(w, '[^{DOUBTFUL}]') AND NOT regexp_full_match(w, '[IVXLCDM]+')"
     word = f"CASE WHEN NOT regexp_matches(w, '^\\p{{L}}') THEN w WHEN {kinds} > 1 THEN {written('w', f'({target})')} WHEN {stray} THEN {written('w', home)} ELSE w END"
     return f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: {word}), '')"
 
 
 P3_PLAIN = f"""WITH p AS (SELECT rec_id, {plain("title")} AS t, {plain("authors")} AS a FROM metadata),
-h AS MATERIALIZED (SELECT *, {largest({s: weight("t", s, 1000) for s in SCRIPTS})} AS ht, {largest({s: weight("a", s, 1000) for s in SCRIPTS})} AS ha FROM p),
+h AS MATERIALIZED (SELECT *, {largest({s: weight("t", s, 1000) for s in SCRIPTS})} AS ht,
+  {largest({s: weight("a", s, 1000) for s in SCRIPTS})} AS ha FROM p),
 f AS MATERIALIZED ({P3_FOUND})
 SELECT rec_id, {one_script("t", "ht")} AS title, {one_script("a", "ha")} AS authors, (rec_id, 'title') IN (SELECT rec_id, field_name FROM f) AS title_odd, (rec_id, 'authors') IN (SELECT rec_id, field_name FROM f) AS authors_odd FROM h"""
 
@@ -150,34 +162,44 @@ def shares(n: int) -> str:
     return f"round(sum(length(word)) FILTER (WHERE r{n}.hit = 1) / sum(length(word)), 9)"
 
 
-P10_SHARES = ", ".join([f"coalesce(round(avg(r{n}.hit), 9), 0) AS rep_words_{n}" for n in (4, 6, 10)] + [f"coalesce({shares(n)}, 0) AS rep_chars_{n}" for n in (4, 6, 10)])
+P10_SHARES = ", ".join(
+    [
+        f"coalesce(round(avg(r{n}.hit), 9), 0) AS rep_words_{n}" for n in (4, 6, 10)
+    ] + [f"coalesce({shares(n)}, 0) AS rep_chars_{n}" for n in (4, 6, 10)]
+)
 P10_JOINS = " ".join(f"JOIN r{n} USING (doc_id, pos)" for n in (4, 6, 10))
 P10_REPETITION = f"""{P10_WORDS}, {", ".join(map(repeated, (4, 6, 10)))},
 ls AS (SELECT doc_id, line_no, string_agg(word, ' ' ORDER BY pos) AS line, sum(length(word)) AS chars FROM w GROUP BY 1, 2),
 lr AS (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) > 1 AS again FROM ls),
 lt AS (SELECT doc_id, round(coalesce(sum(chars) FILTER (WHERE again), 0) / sum(chars), 9) AS rep_lines FROM lr GROUP BY 1),
 wt AS (SELECT doc_id, count(*) AS n_words, {P10_SHARES} FROM w {P10_JOINS} GROUP BY 1)
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, {", ".join(f"coalesce(rep_{k}_{n}, 0) AS rep_{k}_{n}" for k in ("words", "chars") for n in (4, 6, 10))}, coalesce(rep_lines, 0) AS rep_lines
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words,
+  {", ".join(f"coalesce(rep_{k}_{n}, 0) AS rep_{k}_{n}" for k in ("words", "chars") for n in (4, 6, 10))}, coalesce(rep_lines, 0) AS rep_lines
 FROM documents d LEFT JOIN wt USING (doc_id) LEFT JOIN lt USING (doc_id)"""
 
 # Problem 9, sized in characters.
 P9_PLAN = """WITH sized AS MATERIALIZED (SELECT doc_id, nullif(lower(trim(source)), '') AS source, coalesce(n_chars, 0) AS tokens,
   ('0x' || substr(md5(doc_id::VARCHAR || ':1'), 1, 15))::BIGINT AS h FROM documents),
 have AS (SELECT source, sum(tokens) AS available, count(*) AS n_docs FROM sized WHERE source IS NOT NULL GROUP BY 1),
-want AS (SELECT lower(trim(source)) AS source, sum(coalesce(target_share, 0)) AS target_share, max(coalesce(max_repeats, 1)) AS max_repeats FROM mix_targets GROUP BY 1),
+want AS (SELECT lower(trim(source)) AS source, sum(coalesce(target_share, 0)) AS target_share, max(coalesce(max_repeats, 1)) AS max_repeats
+  FROM mix_targets GROUP BY 1),
 b AS (SELECT * FROM want JOIN have USING (source) WHERE available > 0 AND target_share > 0 AND max_repeats > 0),
 o AS (SELECT sum(target_share) AS s, min(max_repeats * available / target_share) AS m FROM b),
 pl AS (SELECT source, available, max_repeats, target_share / s AS share, target_share / s * (m * s) AS demand FROM b CROSS JOIN o),
 me AS (SELECT max(demand / available) AS e, sum(share * (demand / available)) AS mean FROM pl),
 p AS MATERIALIZED (SELECT pl.*, 0.8::DOUBLE * (mean - demand / available) / e AS tilt FROM pl CROSS JOIN me),
-st AS (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY h, doc_id) - tokens AS start FROM sized WHERE source IS NOT NULL),
-ep AS (SELECT st.*, p.*, unnest(range(0, greatest(least(ceil(demand / available)::BIGINT, max_repeats), 1))) AS epoch FROM st JOIN p ON st.source = p.source),
+st AS (SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY h, doc_id) - tokens AS start FROM sized
+  WHERE source IS NOT NULL),
+ep AS (SELECT st.*, p.*, unnest(range(0, greatest(least(ceil(demand / available)::BIGINT, max_repeats), 1))) AS epoch FROM st
+  JOIN p ON st.source = p.source),
 u AS (SELECT *, (start + epoch * available) / demand AS u FROM ep),
 mx AS MATERIALIZED (SELECT round(2 * u / (1 + tilt + sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * u, 0))), 9) AS position, source, doc_id, epoch::INTEGER AS epoch, tokens FROM u WHERE u < 1)"""
 P9_SHARES = f"""{P9_PLAN}, got AS (SELECT source, sum(tokens) AS mixed_tokens, count(*) AS mixed_docs, max(epoch) + 1 AS repeats FROM mx GROUP BY 1),
 all_docs AS (SELECT coalesce(source, '(none)') AS source, sum(tokens) AS available_tokens, count(*) AS n_docs FROM sized GROUP BY 1)
-SELECT coalesce(w.source, a.source) AS source, coalesce(target_share, 0) AS target_share, coalesce(max_repeats, 0) AS max_repeats, coalesce(n_docs, 0) AS n_docs, coalesce(available_tokens, 0)::BIGINT AS available_tokens,
-  coalesce(mixed_docs, 0) AS mixed_docs, coalesce(mixed_tokens, 0)::BIGINT AS mixed_tokens, coalesce(repeats, 0)::INTEGER AS repeats, coalesce(round(mixed_tokens / (SELECT sum(mixed_tokens) FROM got), 6), 0) AS share
+SELECT coalesce(w.source, a.source) AS source, coalesce(target_share, 0) AS target_share, coalesce(max_repeats, 0) AS max_repeats,
+  coalesce(n_docs, 0) AS n_docs, coalesce(available_tokens, 0)::BIGINT AS available_tokens,
+  coalesce(mixed_docs, 0) AS mixed_docs, coalesce(mixed_tokens, 0)::BIGINT AS mixed_tokens, coalesce(repeats, 0)::INTEGER AS repeats,
+  coalesce(round(mixed_tokens / (SELECT sum(mixed_tokens) FROM got), 6), 0) AS share
 FROM want w FULL JOIN all_docs a ON w.source = a.source LEFT JOIN got g ON g.source = coalesce(w.source, a.source)"""
 
 SQL = {
