@@ -8,7 +8,11 @@ from tomeworks.operators import index
 from tomeworks.sources import readers, sinks
 from tomeworks.streaming import incremental
 
-TEXTS = {"1": "An English grammar of Gutenberg.\r\nDornröschen and the wood.", "2": "Philip K Dick wrote; to be, or not to be, that is it.", "3": "Jabberwocky " * 3}
+TEXTS = {
+    "1": "An English grammar of Gutenberg.\r\nDornröschen and the wood.",
+    "2": "Philip K Dick wrote; to be, or not to be, that is it.",
+    "3": "Jabberwocky " * 3
+}
 CSV = 'gutenberg_id,title,author,gutenberg_author_id,language,gutenberg_bookshelf,rights,has_text\n1,Book Alpha,"Smith, John",9,en,Science,,1\n1,Book Alpha,"Doe, Jane",8,en,Science,,1\n2,Book Beta,"Dick, Philip K.",7,en,,,1\n4,Lost,,,,fr,,0\n'
 
 
@@ -29,7 +33,9 @@ def test_texts(spark, folder):
 
 def test_catalogue(spark, folder):
     rows = readers.catalogue_csv(spark, str(folder / "catalogue.csv")).collect()
-    assert rows[0].asDict() == {"gutenberg_id": "1", "title": "Book Alpha", "authors": "Smith, John", "language": "en", "bookshelf": "Science", "rights": None}
+    assert rows[0].asDict() == {
+        "gutenberg_id": "1", "title": "Book Alpha", "authors": "Smith, John", "language": "en", "bookshelf": "Science", "rights": None
+    }
 
 
 def test_lists(spark, tmp_path):
@@ -55,7 +61,15 @@ def test_logs_and_judgments(spark, tmp_path):
 
 
 def test_performance_table(spark, tmp_path):
-    values = {"N": 812, "total_text_bytes_read": 31_400_000, "elapsed_seconds": 12.345, "docs_per_second": 65.775, "final_vocab_size": 90210, "avgdl": 377.04, "postings_bytes": 1_250_000}
+    values = {
+        "N": 812,
+        "total_text_bytes_read": 31_400_000,
+        "elapsed_seconds": 12.345,
+        "docs_per_second": 65.775,
+        "final_vocab_size": 90210,
+        "avgdl": 377.04,
+        "postings_bytes": 1_250_000
+    }
     sinks.write_report(spark, str(tmp_path / "b.json"), values)
     rows = {r["metric"]: (r["value"], r["unit"]) for r in sinks.performance_rows(readers.build_metrics(spark, str(tmp_path / "b.json"))).collect()}
     assert rows == {
@@ -114,7 +128,9 @@ def test_commands(spark, folder, capsys, monkeypatch):
         assert run(name) == 0
     made = {p.name: p.read_text() for p in (folder / "analysis").iterdir() if p.suffix in (".csv", ".json", ".tex")}
     assert len(made) == 12 and all(made.values())
-    assert made["metrics_by_query_model.csv"].splitlines() == ["query_nr,query_text,model,P@10,P@10_partial,AP@10,NDCG@10,result_count", "4,Jabberwocky,bm25,0.1000,0.1000,1.0000,1.0000,1"]
+    assert made["metrics_by_query_model.csv"].splitlines() == [
+        "query_nr,query_text,model,P@10,P@10_partial,AP@10,NDCG@10,result_count", "4,Jabberwocky,bm25,0.1000,0.1000,1.0000,1.0000,1"
+    ]
     assert made["metrics_summary.csv"].splitlines()[1] == "bm25,0.1000,0.1000,1.0000,1.0000,1"
     overlap = made["top10_overlap.csv"].splitlines()
     assert len(overlap) == 19 and overlap[0] == "query_nr,pair,overlap_top10,jaccard_top10" and "4,vsm_vs_bm25,1,1.0000" in overlap

@@ -37,9 +37,16 @@ def values(spark, request):
     if request.param == "by joins":
         packed.DICTIONARY, packed.SOURCES = (0, 0), 0
     rows = [(i, "f" if i % 2 else None, a, s) for i, (a, s) in enumerate(zip(list(CELLS) * 6, SHELVES * 20, strict=True))]
-    extra = [("Travel, Northern, Law", ["Travel, Northern", "Law"]), ("Poetry/Folk Tales & Legends", ["Poetry", "Folk Tales & Legends"]), ("'Children's Reading', 'Law'", ["Children's Reading", "Law"]), ("Arts and Crafts and Law", ["Arts and Crafts", "Law"])]
+    extra = [
+        ("Travel, Northern, Law", ["Travel, Northern", "Law"]),
+        ("Poetry/Folk Tales & Legends", ["Poetry", "Folk Tales & Legends"]),
+        ("'Children's Reading', 'Law'", ["Children's Reading", "Law"]),
+        ("Arts and Crafts and Law", ["Arts and Crafts", "Law"])
+    ]
     rows += [(1000 + i, "f", None, s) for i, (s, _) in enumerate(extra)]
-    df = spark.createDataFrame(rows, "rec_id long, feed string, authors string, bookshelf string").withColumns({"k": F.lit(1), "value": F.lit("x"), "pos": F.lit(0)})
+    df = spark.createDataFrame(
+        rows, "rec_id long, feed string, authors string, bookshelf string"
+    ).withColumns({"k": F.lit(1), "value": F.lit("x"), "pos": F.lit(0)})
     out = defaultdict(dict)
     for r in packed.split_packed(df, "rec_id", "feed", {"authors": "name", "bookshelf": "label"}).collect():
         out[r["rec_id"], r["field_name"]][r["pos"]] = r["value"]
@@ -76,7 +83,9 @@ def test_labels_of_many_atoms(spark):
 
 def test_words_that_close_a_name_are_learned(spark):
     cells = ["Roe & Gebrüder"] * 20 + ["Smith, John, Freiherr"] * 20 + ["Hale, Ann"] * 40
-    asked = {"Smith, John, Freiherr, Doe, Ann": ["Smith, John, Freiherr", "Doe, Ann"], "Ann Roe & Gebrüder, Hale, Ann": ["Ann Roe & Gebrüder", "Hale, Ann"]}
+    asked = {
+        "Smith, John, Freiherr, Doe, Ann": ["Smith, John, Freiherr", "Doe, Ann"], "Ann Roe & Gebrüder, Hale, Ann": ["Ann Roe & Gebrüder", "Hale, Ann"]
+    }
     df = spark.createDataFrame([(i, "f", c) for i, c in enumerate([*cells, *asked])], "rec_id long, feed string, authors string")
     out = defaultdict(list)
     for r in packed.split_packed(df, "rec_id", "feed", {"authors": "name"}).orderBy("pos").collect():
@@ -117,8 +126,20 @@ def brute(postings, lexicon):
 def test_counts_against_brute_force(spark):
     postings = [("hot", d, p, 1 + p, 1) for d in range(400) for p in range(3)] + [(f"t{d % 37}", d, 0, d % 3, 1 + d % 2) for d in range(200)]
     postings += postings[:50] + [(None, 1, 1, 1, 1), ("x", None, 1, 1, 1), ("y", 1, 1, None, 1), ("z", 1, 1, 2, None)]
-    lexicon = [("hot", 400, 0, 9, 1), ("hot", 400, 0, 9, 1), ("gone", 0, 0, 1, 1), ("dead", 3, 0, 1, 1), ("t5", None, 0, 1, 1), (None, 2, 0, 1, 1), ("z", 1, 0, 1, None)] + [(f"t{i}", 2, 0, 1, 1) for i in range(37)]
-    counts = skew.term_counts(spark.createDataFrame(postings, POSTINGS).withColumn("_slot", F.lit(7)), spark.createDataFrame(lexicon, LEXICON).withColumn("n_records", F.lit(0)), tasks=6).cache()
+    lexicon = [
+        ("hot", 400, 0, 9, 1),
+        ("hot", 400, 0, 9, 1),
+        ("gone", 0, 0, 1, 1),
+        ("dead", 3, 0, 1, 1),
+        ("t5", None, 0, 1, 1),
+        (None, 2, 0, 1, 1),
+        ("z", 1, 0, 1, None)
+    ] + [(f"t{i}", 2, 0, 1, 1) for i in range(37)]
+    counts = skew.term_counts(
+        spark.createDataFrame(postings, POSTINGS).withColumn("_slot", F.lit(7)),
+        spark.createDataFrame(lexicon, LEXICON).withColumn("n_records", F.lit(0)),
+        tasks=6
+    ).cache()
     expected, wrong = brute(postings, lexicon)
     assert {(r["term"], r["block_no"]): (r["n_records"], r["total_tf"]) for r in counts.collect() if r["n_records"]} == expected
     assert {tuple(r) for r in skew.wrong_df(counts).collect()} == wrong
@@ -145,7 +166,9 @@ def test_rows_reach_their_task(spark):
 
 
 def test_shard_join_is_a_join(spark):
-    big = spark.range(2000).select(F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("k"), "id")
+    big = spark.range(2000).select(
+        F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("k"), "id"
+    )
     small = big.groupBy("k").agg(F.count("*").alias("n"))
     got = skew.shard_join(big, small, ["k"], ["id"], "n")
     assert got.count() == 2000 and got.exceptAll(big.join(small, "k").select(*got.columns)).count() == 0

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 from tomeworks.operators import evalkit, index, metadata, phrase, rank, snippet
 
 
-DOCS = [("a1", "otter heron otter otter"), ("b2", "heron newt"), ("c3", "newt, newt and OTTER"), ("d4", "marsh"), ("a1", "heron again"), ("e5", None), ("f6", "")]
+DOCS = [
+    ("a1", "otter heron otter otter"),
+    ("b2", "heron newt"),
+    ("c3", "newt, newt and OTTER"),
+    ("d4", "marsh"),
+    ("a1", "heron again"),
+    ("e5", None),
+    ("f6", "")
+]
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +66,10 @@ def test_save_and_load(spark, small, tmp_path):
 
 
 def hand_made(spark):
-    p = spark.createDataFrame([("reed", "x", 4), ("reed", "y", 1), ("wren", "x", 1), ("wren", "z", 2), ("teal", "z", 3), ("void", "x", 0)], "term string, gutenberg_id string, tf int")
+    p = spark.createDataFrame(
+        [("reed", "x", 4), ("reed", "y", 1), ("wren", "x", 1), ("wren", "z", 2), ("teal", "z", 3), ("void", "x", 0)],
+        "term string, gutenberg_id string, tf int"
+    )
     stats = spark.createDataFrame([("x", 5, 2.5), ("y", 1, 1.25), ("z", 6, 3.5)], "gutenberg_id string, doc_len long, doc_norm double")
     return index.Index(p, index.lexicon_of(p), stats, 3, 4.0)
 
@@ -77,7 +88,12 @@ def test_models(spark, few, monkeypatch):
 
 
 def shelves(spark):
-    rows = [("10", "The Heron's Winter", "Roe, Ada M.", 1), ("20", "Winter Roads", "Nobody Known", 0), ("30", "Marsh Songs", "Ash, Tom;Roe, Ben", 1), ("70", None, None, 1)]
+    rows = [
+        ("10", "The Heron's Winter", "Roe, Ada M.", 1),
+        ("20", "Winter Roads", "Nobody Known", 0),
+        ("30", "Marsh Songs", "Ash, Tom;Roe, Ben", 1),
+        ("70", None, None, 1)
+    ]
     m = spark.createDataFrame(rows, "gutenberg_id string, title string, authors string, has_text int")
     return rank.searchable(m.select("*", F.lit("en").alias("language"), F.lit(None).cast("string").alias("bookshelf"), F.lit("").alias("rights")))
 
@@ -87,7 +103,17 @@ def test_structured(spark, few, monkeypatch):
     monkeypatch.setattr(rank, "FEW", few)
     q = rank.asked(rank.query_frame(spark, {1: "Ada M Roe", 2: "roads", 3: "en", 4: "herons winter", 5: "Ben Roe", 6: "   ", 7: "arsh son"}))
     got = sorted((r["query_nr"], r["gutenberg_id"], r["score"]) for r in rank.structured(shelves(spark), q).collect())
-    assert got == [(1, "10", 8.0), (1, "30", 1.0), (3, "10", 1.0), (3, "30", 1.0), (3, "70", 1.0), (4, "10", 14.0), (5, "10", 1.0), (5, "30", 7.0), (7, "30", 10.0)]
+    assert got == [
+        (1, "10", 8.0),
+        (1, "30", 1.0),
+        (3, "10", 1.0),
+        (3, "30", 1.0),
+        (3, "70", 1.0),
+        (4, "10", 14.0),
+        (5, "10", 1.0),
+        (5, "30", 7.0),
+        (7, "30", 10.0)
+    ]
     assert [r["gutenberg_id"] for r in rank.structured(shelves(spark), q, include_missing_text=True).where("query_nr = 2").collect()] == ["20"]
 
 
@@ -97,14 +123,19 @@ def test_rank_ties_are_by_string(spark):
 
 
 def test_trigger(spark):
-    p = spark.createDataFrame([(t, str(d), 1) for t in ("to", "be", "or", "not") for d in range(9)] + [("rare", "9", 1)], "term string, gutenberg_id string, tf int")
+    p = spark.createDataFrame(
+        [(t, str(d), 1) for t in ("to", "be", "or", "not") for d in range(9)] + [("rare", "9", 1)], "term string, gutenberg_id string, tf int"
+    )
     i = index.Index(p, index.lexicon_of(p), spark.createDataFrame([("0", 1, 1.0)], "gutenberg_id string, doc_len long, doc_norm double"), 10, 4.0)
     q = rank.asked(rank.query_frame(spark, {1: "to be, or not to be", 2: "to be", 3: 'one "', 4: "to be rare thing"}))
     assert {r["query_nr"]: r["fallback"] for r in rank.triggered(i, q).collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_phrase_fallback(spark):
-    docs = spark.createDataFrame([("77", "Far out, or far in: that is not asked."), ("2", "nothing"), ("3", "a start here"), ("4", "art"), ("4", "Grüße; tart")], "gutenberg_id string, text string")
+    docs = spark.createDataFrame(
+        [("77", "Far out, or far in: that is not asked."), ("2", "nothing"), ("3", "a start here"), ("4", "art"), ("4", "Grüße; tart")],
+        "gutenberg_id string, text string"
+    )
     i = index.build(docs)
     q = rank.asked(rank.query_frame(spark, {1: '"far in that"', 2: '"tar"', 3: '"art"', 4: '"', 5: "nothing"}))
     got = {(r["query_nr"], r["gutenberg_id"]): (r["score"], r["fallback_used"]) for r in phrase.bm25_with_fallback(i, docs, q).collect()}
@@ -115,18 +146,33 @@ def test_phrase_fallback(spark):
 
 
 def test_caps_of_the_fallback(spark):
-    docs = spark.createDataFrame([(str(k), "owl " * (k % 5 + 1) + "swan") for k in range(30)] + [(str(k), "filler text") for k in range(30, 90)], "gutenberg_id string, text string")
+    docs = spark.createDataFrame(
+        [(str(k), "owl " * (k % 5 + 1) + "swan") for k in range(30)] + [(str(k), "filler text") for k in range(30, 90)],
+        "gutenberg_id string, text string"
+    )
     i = index.build(docs)
     q = rank.asked(rank.query_frame(spark, {1: '"owl swan"', 2: '"wl swa"'}))
     plain = rank.rank(rank.bm25(i, q), 7).where("query_nr = 1").collect()
     rows = phrase.bm25_with_fallback(i, docs, q, reranked=7, scanned=4).collect()
-    assert {(r["gutenberg_id"], r["score"]) for r in rows if r["query_nr"] == 1} == {(r["gutenberg_id"], r["score"] + 5.0) for r in plain} and len(plain) == 7
+    assert {
+        (r["gutenberg_id"], r["score"]) for r in rows if r["query_nr"] == 1
+    } == {(r["gutenberg_id"], r["score"] + 5.0) for r in plain} and len(plain) == 7
     assert sorted(r["gutenberg_id"] for r in rows if r["query_nr"] == 2) == sorted(map(str, range(30)))[:4]
 
 
 def test_snippets(spark):
     body = "first line\nsecond line\n" + "x " * 200 + "\nhere is a needle in the text\n" + "y " * 200
-    docs = spark.createDataFrame([("1", body, 1), ("2", "needle  \n short", 1), ("3", "it's", 1), ("4", "no such word", 1), ("4", "a Ñandú needle", 2), ("4", "needle too", 3)], "gutenberg_id string, text string, part int")
+    docs = spark.createDataFrame(
+        [
+            ("1", body, 1),
+            ("2", "needle  \n short", 1),
+            ("3", "it's", 1),
+            ("4", "no such word", 1),
+            ("4", "a Ñandú needle", 2),
+            ("4", "needle too", 3)
+        ],
+        "gutenberg_id string, text string, part int"
+    )
     i = index.build(docs)
     q = rank.asked(rank.query_frame(spark, {1: "needle its", 2: "needle"}))
     results = spark.createDataFrame([(1, "1"), (1, "2"), (1, "3"), (1, "9"), (2, "4")], "query_nr int, gutenberg_id string")
@@ -145,8 +191,16 @@ def test_best_token_tie_goes_to_query_order(spark):
 
 
 def test_merge(spark):
-    rows = [("1", "Book Alpha", "Smith, John", "en"), ("01", "Book Alpha", "Doe, Jane", "en"), ("2.0", " ", None, "en"), ("x", "lost", None, None), (None, None, None, None)]
-    m = spark.createDataFrame(rows, "gutenberg_id string, title string, authors string, language string").withColumns({"bookshelf": F.lit("Science"), "rights": F.lit(None).cast("string"), "has_text": F.lit(5)})
+    rows = [
+        ("1", "Book Alpha", "Smith, John", "en"),
+        ("01", "Book Alpha", "Doe, Jane", "en"),
+        ("2.0", " ", None, "en"),
+        ("x", "lost", None, None),
+        (None, None, None, None)
+    ]
+    m = spark.createDataFrame(rows, "gutenberg_id string, title string, authors string, language string").withColumns(
+        {"bookshelf": F.lit("Science"), "rights": F.lit(None).cast("string"), "has_text": F.lit(5)}
+    )
     docs = spark.createDataFrame([("1",), (None,)], "gutenberg_id string")
     flagged = metadata.flag_text(metadata.merge(m), docs)
     got = {r["gutenberg_id"]: r for r in flagged.collect()}
@@ -159,7 +213,10 @@ LABELS = [1, 0, 2, 1, 0]
 
 
 def test_metrics(spark):
-    j = spark.createDataFrame([("1", "bm25", i + 1, str(i), x) for i, x in enumerate(LABELS)] + [("2", "bm25", 1, "a", 0)], "query_nr string, model string, rank int, gutenberg_id string, label int")
+    j = spark.createDataFrame(
+        [("1", "bm25", i + 1, str(i), x) for i, x in enumerate(LABELS)] + [("2", "bm25", 1, "a", 0)],
+        "query_nr string, model string, rank int, gutenberg_id string, label int"
+    )
     m = {r["query_nr"]: r for r in evalkit.metrics(j).collect()}
     assert (m["1"]["p_at_k"], m["1"]["p_at_k_partial"], m["1"]["ap"]) == (0.2, 0.25, 0.75)
     gain = [1, 0, 0.5, 1, 0]
@@ -172,7 +229,10 @@ def test_metrics(spark):
 
 def test_overlap_and_quantiles(spark):
     q = rank.query_frame(spark, {1: "x"})
-    r = spark.createDataFrame([(1, "vsm", k, str(k), 5.0 - k) for k in (1, 2, 3)] + [(1, "bm25", 1, "2", 9.0)], "query_nr int, model string, rank int, gutenberg_id string, score double")
+    r = spark.createDataFrame(
+        [(1, "vsm", k, str(k), 5.0 - k) for k in (1, 2, 3)] + [(1, "bm25", 1, "2", 9.0)],
+        "query_nr int, model string, rank int, gutenberg_id string, score double"
+    )
     o = {(x["model_1"], x["model_2"]): (x["overlap"], x["jaccard"]) for x in evalkit.overlap(r, q).collect()}
     assert o == {("structured", "vsm"): (0, 0.0), ("structured", "bm25"): (0, 0.0), ("vsm", "bm25"): (1, 0.3333)}
     s = {x["model"]: x for x in evalkit.score_quantiles(r, q).collect()}
@@ -181,11 +241,22 @@ def test_overlap_and_quantiles(spark):
 
 def test_validation_finds_each_fault(spark):
     good = ["1\t42\t2.0\t\t", "2\t100\t1.5\t\t", "3\t7\t1.5\t\t"]
-    lists = {"a": good, "b": ["1\t2\t3"], "c": ["1\t1\t2.0\t\t", "3\t2\t1.0\t\t"], "d": ["1\t1\t1.0\t\t", "2\t2\t2.0\t\t"], "e": ["1\tB\t1.0\t\t", "2\tA\t1.0\t\t"], "f": [f"{i + 1}\t{i}\t1.0\t\t" for i in range(101)]}
-    lines = spark.createDataFrame([(k, "m", i + 1, v) for k, vs in lists.items() for i, v in enumerate(vs)], "query_nr string, model string, line int, value string")
+    lists = {
+        "a": good,
+        "b": ["1\t2\t3"],
+        "c": ["1\t1\t2.0\t\t", "3\t2\t1.0\t\t"],
+        "d": ["1\t1\t1.0\t\t", "2\t2\t2.0\t\t"],
+        "e": ["1\tB\t1.0\t\t", "2\tA\t1.0\t\t"],
+        "f": [f"{i + 1}\t{i}\t1.0\t\t" for i in range(101)]
+    }
+    lines = spark.createDataFrame(
+        [(k, "m", i + 1, v) for k, vs in lists.items() for i, v in enumerate(vs)], "query_nr string, model string, line int, value string"
+    )
     expected = spark.createDataFrame([(k, "m") for k in "abcdefg"], "query_nr string, model string")
     got = {(r["query_nr"], r["failure"]) for r in evalkit.validate_lists(lines, expected).collect()}
-    assert {x for x in got if x[0] != "f"} == {("b", "columns"), ("c", "rank not in sequence"), ("d", "score rises"), ("e", "ids of a tie descend"), ("g", "missing")}
+    assert {x for x in got if x[0] != "f"} == {
+        ("b", "columns"), ("c", "rank not in sequence"), ("d", "score rises"), ("e", "ids of a tie descend"), ("g", "missing")
+    }
     assert ("f", "too many rows") in got
 
 

@@ -40,7 +40,14 @@ def test_query_tokens(spark):
 
 
 def test_boilerplate(spark):
-    cases = ["Header\n*** START OF X\nContent\n*** end of X\nFooter", "a\n*** START OF\nb", "a\n*** END OF\nb", "none", "x\n*** END OF\ny\n*** START OF\nz", ""]
+    cases = [
+        "Header\n*** START OF X\nContent\n*** end of X\nFooter",
+        "a\n*** START OF\nb",
+        "a\n*** END OF\nb",
+        "none",
+        "x\n*** END OF\ny\n*** START OF\nz",
+        ""
+    ]
     assert column(spark, cases, text.strip_boilerplate) == ["Content", "b", "a", "none", "", ""]
 
 

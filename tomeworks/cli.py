@@ -278,7 +278,11 @@ def compare_models(w: Workspace, _: argparse.Namespace) -> int:
 def topk_overlap(w: Workspace, _: argparse.Namespace) -> int:
     table = reports.pair_overlap(w.ranked(), w.queries())
     rows = sinks.write_table(table, f"{w.analysis}/top10_overlap.csv")
-    write_text(w.spark, f"{w.analysis}/latex_overlap_table.tex", sinks.latex_table(table.columns, rows, "Results shared by two models", "tab:shared", group_by=0))
+    write_text(
+        w.spark,
+        f"{w.analysis}/latex_overlap_table.tex",
+        sinks.latex_table(table.columns, rows, "Results shared by two models", "tab:shared", group_by=0)
+    )
     return 0
 
 

@@ -122,4 +122,6 @@ def gap_sums(gapped: DataFrame, spread: int = SPREAD) -> DataFrame:
     before = F.sum("_sum").over(W.partitionBy("term").orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.withColumn("_before", before).drop("_sum")
     within = F.sum("gap").over(W.partitionBy("term", "_r").orderBy("docid").rowsBetween(W.unboundedPreceding, 0))
-    return ranged.withColumn("_own", within).join(sums, ["term", "_r"]).select("term", "docid", (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("restored"))
+    return ranged.withColumn("_own", within).join(sums, ["term", "_r"]).select(
+        "term", "docid", (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("restored")
+    )

@@ -36,7 +36,9 @@ def average_precision(judgments: DataFrame, k: int = K) -> DataFrame:
     """Mean precision at the relevant places of the first k, over those found."""
     order = W.partitionBy(*KEYS).orderBy("rank")
     relevant = F.when(F.col("label") == 1, 1).otherwise(0)
-    top = judgments.where(F.col("rank") <= k).withColumns({"i": F.row_number().over(order), "rel": F.sum(relevant).over(order.rowsBetween(W.unboundedPreceding, 0))})
+    top = judgments.where(F.col("rank") <= k).withColumns(
+        {"i": F.row_number().over(order), "rel": F.sum(relevant).over(order.rowsBetween(W.unboundedPreceding, 0))}
+    )
     return top.groupBy(*KEYS).agg(F.coalesce(F.avg(F.when(F.col("label") == 1, F.col("rel") / F.col("i"))), F.lit(0.0)).alias("ap"))
 
 
@@ -44,8 +46,15 @@ def ndcg(judgments: DataFrame, k: int = K) -> DataFrame:
     """Against the best order of the same k labels; gain 1 for relevant, 0.5 for partly."""
     gain = F.when(F.col("label") == 1, 1.0).when(F.col("label") == 2, 0.5).otherwise(0.0)
     top = judgments.where(F.col("rank") <= k).withColumn("gain", gain)
-    top = top.withColumns({"i": F.row_number().over(W.partitionBy(*KEYS).orderBy("rank")), "j": F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("gain").desc(), "rank"))})
-    sums = top.groupBy(*KEYS).agg(F.sum(F.col("gain") / F.log2(F.col("i") + 1)).alias("dcg"), F.sum(F.col("gain") / F.log2(F.col("j") + 1)).alias("ideal"))
+    top = top.withColumns(
+        {
+            "i": F.row_number().over(W.partitionBy(*KEYS).orderBy("rank")),
+            "j": F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("gain").desc(), "rank"))
+        }
+    )
+    sums = top.groupBy(*KEYS).agg(
+        F.sum(F.col("gain") / F.log2(F.col("i") + 1)).alias("dcg"), F.sum(F.col("gain") / F.log2(F.col("j") + 1)).alias("ideal")
+    )
     return sums.select(*KEYS, F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"))
 
 
@@ -65,7 +74,9 @@ def summary(per_query: DataFrame) -> DataFrame:
 
 def overlap(ranked: DataFrame, queries: DataFrame, k: int = K, pairs: tuple[tuple[str, str], ...] = PAIRS) -> DataFrame:
     """For each query and pair of models: result counts, shared ids in the first k, Jaccard (0 if both are empty)."""
-    grid = queries.select("query_nr", F.explode(F.array(*(F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2")) for a, b in pairs))).alias("p")).select("query_nr", "p.*")
+    grid = queries.select(
+        "query_nr", F.explode(F.array(*(F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2")) for a, b in pairs))).alias("p")
+    ).select("query_nr", "p.*")
     ids = ranked.groupBy(*KEYS).agg(F.collect_set(F.when(F.col("rank") <= k, F.col("gutenberg_id"))).alias("ids"), F.count("*").alias("n"))
     for i in (1, 2):
         one = ids.select("query_nr", F.col("model").alias(f"model_{i}"), F.col("ids").alias(f"ids_{i}"), F.col("n").alias(f"result_count_{i}"))
@@ -83,9 +94,24 @@ def score_quantiles(ranked: DataFrame, queries: DataFrame, models: tuple[str, ..
     """Least, quartiles and greatest score by linear interpolation, to eight places (a quartile of six-place scores has no more); lists without rows are kept, with nulls."""
     grid = queries.select("query_nr", F.explode(F.array(*map(F.lit, models))).alias("model"))
     q = F.percentile("score", [0.25, 0.5, 0.75])
-    stats = ranked.groupBy(*KEYS).agg(F.count("*").alias("result_count"), F.min("score").alias("min_score"), q.alias("q"), F.max("score").alias("max_score"))
+    stats = ranked.groupBy(*KEYS).agg(
+        F.count("*").alias("result_count"), F.min("score").alias("min_score"), q.alias("q"), F.max("score").alias("max_score")
+    )
     out = grid.join(stats, [*KEYS], "left").fillna(0, ["result_count"])
-    return out.select(*KEYS, "result_count", *(F.round(c, 8).alias(n) for c, n in ((F.col("min_score"), "min_score"), (F.col("q")[0], "p25"), (F.col("q")[1], "median"), (F.col("q")[2], "p75"), (F.col("max_score"), "max_score"))))
+    return out.select(
+        *KEYS,
+        "result_count",
+        *(
+            F.round(c, 8).alias(n) for c,
+            n in (
+                (F.col("min_score"), "min_score"),
+                (F.col("q")[0], "p25"),
+                (F.col("q")[1], "median"),
+                (F.col("q")[2], "p75"),
+                (F.col("max_score"), "max_score")
+            )
+        )
+    )
 
 
 def validate_lists(lines: DataFrame, expected: DataFrame | None = None, most: int = 100) -> DataFrame:
@@ -95,11 +121,20 @@ def validate_lists(lines: DataFrame, expected: DataFrame | None = None, most: in
     rise, and equal scores have ascending ids.
     """
     cols = F.split("value", "\t", -1)
-    rows = lines.select(*KEYS, "line", F.size(cols).alias("n"), F.try_element_at(cols, F.lit(1)).alias("r"), F.try_element_at(cols, F.lit(2)).alias("id"), F.try_element_at(cols, F.lit(3)).alias("s"))
+    rows = lines.select(
+        *KEYS,
+        "line",
+        F.size(cols).alias("n"),
+        F.try_element_at(cols, F.lit(1)).alias("r"),
+        F.try_element_at(cols, F.lit(2)).alias("id"),
+        F.try_element_at(cols, F.lit(3)).alias("s")
+    )
     rows = rows.withColumns({"rank": F.when(F.trim("r").rlike(r"^[+-]?\d+$"), F.trim("r").try_cast("long")), "score": F.col("s").try_cast("double")})
     whole = rows.where(F.col("n") == 5)
     order = W.partitionBy(*KEYS).orderBy("line")
-    good = whole.where(F.col("rank").isNotNull() & F.col("score").isNotNull()).withColumns({"before": F.lag("score").over(order), "id_before": F.lag("id").over(order)})
+    good = whole.where(F.col("rank").isNotNull() & F.col("score").isNotNull()).withColumns(
+        {"before": F.lag("score").over(order), "id_before": F.lag("id").over(order)}
+    )
 
     def failing(df: DataFrame, condition: Column, name: str) -> DataFrame:
         return df.where(condition).select(*KEYS, F.col("line").cast("long").alias("line"), F.lit(name).alias("failure"))

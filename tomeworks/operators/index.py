@@ -40,7 +40,9 @@ def counted(docs: DataFrame) -> DataFrame:
 
     A text is in one row, so its terms are counted where it is read and no shuffle is needed.
     """
-    source = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select("gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
+    source = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select(
+        "gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +55,10 @@ def counted(docs: DataFrame) -> DataFrame:
                     terms += [None, *counts]
                     tfs += [counts.total(), *counts.values()]
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["gutenberg_id", "term", "tf"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())],
+                    ["gutenberg_id", "term", "tf"]
+                )
 
     return source.mapInArrow(run, "gutenberg_id string, term string, tf long")
 
@@ -64,7 +69,9 @@ def tokenised(docs: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), text.in_slices(batch.column(1), text.python_tokens, pa.list_(pa.string())).fill_null([])], ["row_key", "toks"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), text.in_slices(batch.column(1), text.python_tokens, pa.list_(pa.string())).fill_null([])], ["row_key", "toks"]
+            )
 
     return source.mapInArrow(run, f"row_key {docs.schema[key].dataType.simpleString()}, toks array<string>").withColumnRenamed("row_key", key)
 
@@ -102,8 +109,13 @@ def of_counts(raw: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> I
     columns = ("term", "gutenberg_id", "tf")
     # Ranges of term and record keep a record's rows of a term together, so summing them needs no other exchange, and a term of many records lies in many ranges.
     ranged = raw.where("term is not null").repartitionByRange("term", "gutenberg_id")
-    base = materialize(ranged.groupBy("term", "gutenberg_id").agg(F.sum("tf").cast("int").alias("tf")).select(*columns).sortWithinPartitions("term", "gutenberg_id"), "index-base")
-    alias = materialize(alias_postings(base).repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id").select(*columns), "index-alias")
+    base = materialize(
+        ranged.groupBy("term", "gutenberg_id").agg(F.sum("tf").cast("int").alias("tf")).select(*columns).sortWithinPartitions("term", "gutenberg_id"),
+        "index-base"
+    )
+    alias = materialize(
+        alias_postings(base).repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id").select(*columns), "index-alias"
+    )
     postings = base.unionByName(alias)
     lexicon = materialize(lexicon_of(postings), "index-lexicon")
     lengths = lengths_of(raw)
@@ -148,7 +160,9 @@ def validate(index: Index) -> DataFrame:
     joined = counted.join(index.lexicon, "term", "full")
     bad_df = joined.where(~F.col("n").eqNullSafe(F.col("df"))).select(F.lit("df").alias("failure"), F.col("term").alias("of"))
     bad_tf = counted.where("least < 1").select(F.lit("tf").alias("failure"), F.col("term").alias("of"))
-    orphans = p.select("gutenberg_id").distinct().join(index.docstats, "gutenberg_id", "left_anti").select(F.lit("document").alias("failure"), F.col("gutenberg_id").alias("of"))
+    orphans = p.select("gutenberg_id").distinct().join(index.docstats, "gutenberg_id", "left_anti").select(
+        F.lit("document").alias("failure"), F.col("gutenberg_id").alias("of")
+    )
     return reduce(DataFrame.unionByName, (bad_df, bad_tf, orphans))
 
 

@@ -308,7 +308,9 @@ def _with_known(todo: DataFrame, alone: DataFrame, key_type: str) -> DataFrame:
                 n = limits.get(f, 0)
                 rows += [(i, s) for t in _hard_parts(c) for s in spans_of(soft_atoms(t, ",&"), n) | spans_of(soft_atoms(t, ",& "), n)]
             at = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array([s for _, s in rows], pa.string())], ["k", "f", "span"])
+            yield pa.RecordBatch.from_arrays(
+                [x.column(0).take(at), x.column(1).take(at), pa.array([s for _, s in rows], pa.string())], ["k", "f", "span"]
+            )
 
     wanted = todo.where("kind = 'label'").select("k", "f", "t").mapInArrow(spans, f"k {key_type}, f string, span string").distinct()
     known = wanted.join(alone, ["f", "span"], "left_semi").groupBy("k", "f").agg(F.collect_set("span").alias("known"))
@@ -327,8 +329,12 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
     """key, field_name, pos, value, n_values: every value of the given fields ("name" or "label" each)."""
     key_type = df.schema[key].dataType.simpleString()
     kinds = F.create_map(*(F.lit(x) for f, k in fields.items() for x in (f, k)))
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.lit(k).alias("kind"), F.col(f).cast("string").alias("c")) for f, k in fields.items())))
-    cells = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), pairs.alias("p")).select("k", "s", "p.f", "p.kind", F.btrim(F.make_valid_utf8("p.c"), F.lit(WHITE)).alias("t"))
+    pairs = F.explode(
+        F.array(*(F.struct(F.lit(f).alias("f"), F.lit(k).alias("kind"), F.col(f).cast("string").alias("c")) for f, k in fields.items()))
+    )
+    cells = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), pairs.alias("p")).select(
+        "k", "s", "p.f", "p.kind", F.btrim(F.make_valid_utf8("p.c"), F.lit(WHITE)).alias("t")
+    )
     cells = cells.where((F.col("t") != "") & ~F.lower("t").isin(*STAND_INS))
     told = _told_by_form(F.col("kind"))
     todo = cells.where(~told)
@@ -357,7 +363,9 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
             )
 
     names = ("cells", "r", "n", "nn")
-    by_source = todo.select(*columns).mapInArrow(stats, "s string, f string, d string, cells double, r double, n double, nn double").groupBy("s", "f", "d").agg(*(F.sum(c).alias(c) for c in names))
+    by_source = todo.select(*columns).mapInArrow(
+        stats, "s string, f string, d string, cells double, r double, n double, nn double"
+    ).groupBy("s", "f", "d").agg(*(F.sum(c).alias(c) for c in names))
     by_source = materialize(by_source, "packed-scores")
     is_tail = F.col("d").startswith("tail ")
     ends = by_source.where(is_tail).select("f", F.substring("d", 6, 1 << 30).alias("w"), "cells")
@@ -372,9 +380,13 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
     size = F.col("cells") + F.lit(PRIOR)
     mean, square = mixed["n"] / size, mixed["nn"] / size
     consistency = 1 / (1 + F.greatest(square - mean * mean, F.lit(0.0)) / (mean * mean))
-    limit = F.when(kinds[F.col("f")] == "name", MIN_SCORE["name"]).when(F.col("d").isin(",", "&"), MIN_SCORE["label-sign"]).otherwise(MIN_SCORE["label"])
+    limit = F.when(kinds[F.col("f")] == "name", MIN_SCORE["name"]).when(
+        F.col("d").isin(",", "&"), MIN_SCORE["label-sign"]
+    ).otherwise(MIN_SCORE["label"])
     chosen = scored.withColumn("score", mixed["r"] / size * consistency).where(F.col("score") >= limit)
-    chosen = chosen.groupBy(F.col("s").alias("cs"), F.col("f").alias("cf")).agg(F.array_join(F.array_sort(F.collect_set("d")), "").alias("delimiters"))
+    chosen = chosen.groupBy(F.col("s").alias("cs"), F.col("f").alias("cf")).agg(
+        F.array_join(F.array_sort(F.collect_set("d")), "").alias("delimiters")
+    )
     few = small_or_none(chosen, SOURCES)
     of_source = None if few is None else {(r["cs"], r["cf"]): r["delimiters"] for r in few}
     if few is None:
@@ -387,7 +399,9 @@ def split_packed(df: DataFrame, key: str, source: str, fields: dict[str, str]) -
             s, f, kind, t = (x.column(c).to_pylist() for c in ("s", "f", "kind", "t"))
             cut_at = x.column("delimiters").to_pylist() if of_source is None else [of_source.get(p) for p in zip(s, f, strict=True)]
             use = once if known is not None else values_of
-            lists = [use(c, k, d or "", own, tails.get(g, frozenset())) for c, k, d, own, g in zip(t, kind, cut_at, _known_of(x, known), f, strict=True)]
+            lists = [
+                use(c, k, d or "", own, tails.get(g, frozenset())) for c, k, d, own, g in zip(t, kind, cut_at, _known_of(x, known), f, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([x.column("k"), x.column("f"), pa.array(lists, pa.list_(pa.string()))], ["k", "f", "v"])
 
     split = todo.select("k", *columns).mapInArrow(values, f"k {key_type}, f string, v array<string>")

@@ -43,10 +43,16 @@ class Asked:
 def asked(queries: DataFrame) -> Asked:
     """The terms of each query: its tokens and aliases."""
     rows = small_or_none(queries.select("query_nr", "raw"), FEW)
-    cut = None if rows is None or sum(len(r["raw"] or "") for r in rows) > TOKENS else [(r["query_nr"], text.python_query_tokens(r["raw"] or "")) for r in rows]
+    cut = None if rows is None or sum(len(r["raw"] or "") for r in rows) > TOKENS else [
+        (r["query_nr"], text.python_query_tokens(r["raw"] or "")) for r in rows
+    ]
     if cut is None:
         toks = queries.select("query_nr", F.posexplode(text.query_tokens(F.col("raw"))).alias("pos", "term"))
-        return Asked(queries, materialize(toks.groupBy("query_nr", "term").agg(F.count("*").alias("tf_q"), F.min("pos").alias("first_pos")), "query-terms"), False)
+        return Asked(
+            queries,
+            materialize(toks.groupBy("query_nr", "term").agg(F.count("*").alias("tf_q"), F.min("pos").alias("first_pos")), "query-terms"),
+            False
+        )
     terms = [(nr, t, n, toks.index(t)) for nr, toks in cut for t, n in Counter(toks).items()]
     kind = queries.schema["query_nr"].dataType.simpleString()
     return Asked(queries, queries.sparkSession.createDataFrame(terms, f"query_nr {kind}, term string, tf_q long, first_pos int"), True)
@@ -59,7 +65,9 @@ def terms_in_lexicon(index: Index, q: Asked) -> DataFrame:
 
 def triggered(index: Index, q: Asked) -> DataFrame:
     """query_nr, raw, fallback: a quote sign, or four terms and more of which over 0.6 are in over 0.8 of the documents."""
-    high = index.lexicon.where(F.col("df") / F.lit(max(index.n, 1)) > scoring.HIGH_DF).join(q.sent(q.terms), "term").groupBy("query_nr").agg(F.count("*").alias("n_high"))
+    high = index.lexicon.where(
+        F.col("df") / F.lit(max(index.n, 1)) > scoring.HIGH_DF
+    ).join(q.sent(q.terms), "term").groupBy("query_nr").agg(F.count("*").alias("n_high"))
     sizes = q.terms.groupBy("query_nr").agg(F.count("*").alias("n_terms"))
     out = q.queries.join(sizes, "query_nr", "left").join(high, "query_nr", "left").fillna(0, ["n_terms", "n_high"])
     many = (F.lit(index.n) > 0) & (F.col("n_terms") >= TRIGGER_TERMS) & (F.col("n_high") / F.greatest(F.col("n_terms"), F.lit(1)) > TRIGGER_SHARE)
@@ -93,10 +101,18 @@ def searchable(metadata: DataFrame) -> DataFrame:
     other = F.concat_ws(" ", own["language"], own["bookshelf"], own["rights"])
 
     def weighed(col: Column, weight: int, near: bool) -> Column:
-        return F.transform(F.array_distinct(text.tokens(col)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(near).alias("near")))
+        return F.transform(
+            F.array_distinct(text.tokens(col)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(near).alias("near"))
+        )
 
     weights = F.concat(weighed(own["title"], 2, True), weighed(own["authors"], 1, True), weighed(other, 1, False))
-    return metadata.select("gutenberg_id", F.coalesce("has_text", F.lit(0)).alias("has_text"), text.metadata_form(own["title"]).alias("title_form"), text.author_keys(own["authors"]).alias("author_keys"), weights.alias("terms"))
+    return metadata.select(
+        "gutenberg_id",
+        F.coalesce("has_text", F.lit(0)).alias("has_text"),
+        text.metadata_form(own["title"]).alias("title_form"),
+        text.author_keys(own["authors"]).alias("author_keys"),
+        weights.alias("terms")
+    )
 
 
 def structured(catalogue: DataFrame, q: Asked, include_missing_text: bool = False) -> DataFrame:
@@ -106,14 +122,24 @@ def structured(catalogue: DataFrame, q: Asked, include_missing_text: bool = Fals
     titles and queries. Candidates of a query are the rows that share a token with it in title or
     authors; a query with no candidate at all (or without tokens) takes all rows.
     """
-    raw = q.queries.select("query_nr", text.metadata_form(F.col("raw")).alias("q_form"), text.sorted_key(F.col("raw")).alias("q_key")).where("q_form <> ''")
+    raw = q.queries.select(
+        "query_nr", text.metadata_form(F.col("raw")).alias("q_form"), text.sorted_key(F.col("raw")).alias("q_key")
+    ).where("q_form <> ''")
     # Written, as folding would be repeated in each of the joins.
     raw = q.queries.sparkSession.createDataFrame(raw.collect(), raw.schema) if q.few else materialize(raw, "query-forms")
     ids = ("query_nr", "gutenberg_id", "has_text")
-    by_term = catalogue.select("gutenberg_id", "has_text", F.inline("terms")).join(q.sent(q.terms.select("query_nr", "term")), "term").select(*ids, "weight", "near")
-    authors = catalogue.select("gutenberg_id", "has_text", F.explode(F.array_distinct("author_keys")).alias("q_key")).join(q.sent(raw.where("q_key <> ''").select("query_nr", "q_key")), "q_key")
-    titles = catalogue.select("gutenberg_id", "has_text", "title_form").join(q.sent(raw.select("query_nr", "q_form")), F.col("title_form").contains(F.col("q_form")))
-    rows = by_term.unionByName(authors.select(*ids, F.lit(5).alias("weight"), F.lit(False).alias("near"))).unionByName(titles.select(*ids, F.lit(10).alias("weight"), F.lit(False).alias("near")))
+    by_term = catalogue.select("gutenberg_id", "has_text", F.inline("terms")).join(
+        q.sent(q.terms.select("query_nr", "term")), "term"
+    ).select(*ids, "weight", "near")
+    authors = catalogue.select(
+        "gutenberg_id", "has_text", F.explode(F.array_distinct("author_keys")).alias("q_key")
+    ).join(q.sent(raw.where("q_key <> ''").select("query_nr", "q_key")), "q_key")
+    titles = catalogue.select("gutenberg_id", "has_text", "title_form").join(
+        q.sent(raw.select("query_nr", "q_form")), F.col("title_form").contains(F.col("q_form"))
+    )
+    rows = by_term.unionByName(
+        authors.select(*ids, F.lit(5).alias("weight"), F.lit(False).alias("near"))
+    ).unionByName(titles.select(*ids, F.lit(10).alias("weight"), F.lit(False).alias("near")))
     scored = rows.groupBy(*ids).agg(F.sum("weight").cast("double").alias("score"), F.max("near").alias("candidate"))
     narrow = by_term.where("near").select("query_nr").distinct().withColumn("narrow", F.lit(True))
     scored = scored.join(q.sent(narrow), "query_nr", "left").where(F.col("candidate") | F.col("narrow").isNull())

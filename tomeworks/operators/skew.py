@@ -137,12 +137,27 @@ def term_counts(postings: DataFrame, lexicon: DataFrame, tasks: int | None = Non
     loads = materialize(live.groupBy(*keys).agg(F.count("*").alias("_n")), "p6-loads")
     plan = plan_fragments(loads, keys, "_n", tasks)
     rows = plan.fragment(live, ["docid"]).withColumns({"_lex": F.lit(False), "df": F.lit(None).cast("long")})
-    terms = lexicon.select("term", F.col("df").cast("long").alias("df"), F.col("block_no").cast(live.schema["block_no"].dataType).alias("block_no")).distinct()
-    terms = plan.replicate(terms).withColumns({"_lex": F.lit(True), "docid": F.lit(None).cast(live.schema["docid"].dataType), "passage_no": F.lit(None).cast(live.schema["passage_no"].dataType), "tf": F.lit(None).cast(live.schema["tf"].dataType)})
+    terms = lexicon.select(
+        "term", F.col("df").cast("long").alias("df"), F.col("block_no").cast(live.schema["block_no"].dataType).alias("block_no")
+    ).distinct()
+    terms = plan.replicate(terms).withColumns(
+        {
+            "_lex": F.lit(True),
+            "docid": F.lit(None).cast(live.schema["docid"].dataType),
+            "passage_no": F.lit(None).cast(live.schema["passage_no"].dataType),
+            "tf": F.lit(None).cast(live.schema["tf"].dataType)
+        }
+    )
     one = to_tasks(rows.unionByName(terms), plan.tasks)
     shard = ["_slot", "_shard", *keys]
     in_record = one.groupBy(*shard, "_lex", "docid", "passage_no", "tf", "df").agg(F.lit(1).alias("_one")).groupBy(*shard, "_lex", "docid")
-    in_record = in_record.agg(F.count("tf").alias("_p"), F.sum("tf").alias("_tf"), F.min("df").alias("_min"), F.max("df").alias("_max"), F.count(F.when(F.col("df").isNull(), 1)).alias("_null"))
+    in_record = in_record.agg(
+        F.count("tf").alias("_p"),
+        F.sum("tf").alias("_tf"),
+        F.min("df").alias("_min"),
+        F.max("df").alias("_max"),
+        F.count(F.when(F.col("df").isNull(), 1)).alias("_null")
+    )
     counted = in_record.groupBy(*shard).agg(
         F.count("docid").alias("_docs"), F.sum("_p").alias("_p"), F.sum("_tf").alias("_tf"), F.min("_min").alias("_min"), F.max("_max").alias("_max"),
         F.max(F.when(F.col("_lex"), F.col("_null"))).alias("_null"), F.max("_lex").alias("_lex"),

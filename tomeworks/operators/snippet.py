@@ -16,7 +16,9 @@ WINDOW = 250
 def best_tokens(index: Index, q: Asked, results: DataFrame) -> DataFrame:
     """query_nr, gutenberg_id, token: of the query's tokens in the record the one of highest idf, the earliest in the query on a tie."""
     terms = terms_in_lexicon(index, q).select("query_nr", "term", "first_pos", scoring.cosine_idf(F.col("df"), F.lit(index.n)).alias("idf"))
-    held = index.postings.join(q.sent(terms), "term").join(results.select("query_nr", "gutenberg_id").distinct(), ["query_nr", "gutenberg_id"], "left_semi")
+    held = index.postings.join(q.sent(terms), "term").join(
+        results.select("query_nr", "gutenberg_id").distinct(), ["query_nr", "gutenberg_id"], "left_semi"
+    )
     best = W.partitionBy("query_nr", "gutenberg_id").orderBy(F.col("idf").desc(), "first_pos")
     return held.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("query_nr", "gutenberg_id", F.col("term").alias("token"))
 
@@ -32,7 +34,12 @@ def windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     spans = placed.select(*keys, "raw", "at", start.cast("int").alias("start"))
     before = F.substring(F.col("raw"), F.lit(1), F.col("start"))
     line = F.when(F.col("at") < 0, 1).otherwise(1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
-    return spans.select(*keys, text.squeeze(F.substring(F.col("raw"), F.col("start") + 1, F.lit(size))).alias("snippet"), line.cast("string").alias("start_line"), (F.col("at") < 0).alias("absent"))
+    return spans.select(
+        *keys,
+        text.squeeze(F.substring(F.col("raw"), F.col("start") + 1, F.lit(size))).alias("snippet"),
+        line.cast("string").alias("start_line"),
+        (F.col("at") < 0).alias("absent")
+    )
 
 
 def snippets(index: Index, docs: DataFrame, q: Asked, results: DataFrame, metadata: DataFrame | None = None, order: str | None = None) -> DataFrame:
@@ -49,5 +56,7 @@ def snippets(index: Index, docs: DataFrame, q: Asked, results: DataFrame, metada
     texts = docs.select("gutenberg_id", text.newlines(F.col("text")).alias("raw"), (F.col(order) if order else F.lit(0)).alias("_order"))
     texts = texts.join(asked, "gutenberg_id").withColumn("folded", text.fold(F.col("raw")))
     cut = windows(texts.select("gutenberg_id", "_order", "raw", "folded", F.inline("asked")))
-    cut = cut.groupBy("query_nr", "gutenberg_id").agg(F.min_by(F.struct("snippet", "start_line"), F.struct("absent", "_order")).alias("s")).select("query_nr", "gutenberg_id", "s.*")
+    cut = cut.groupBy("query_nr", "gutenberg_id").agg(
+        F.min_by(F.struct("snippet", "start_line"), F.struct("absent", "_order")).alias("s")
+    ).select("query_nr", "gutenberg_id", "s.*")
     return results.join(cut, ["query_nr", "gutenberg_id"], "left").fillna("", ["snippet", "start_line"])

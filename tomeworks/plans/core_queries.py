@@ -126,7 +126,12 @@ def corpus_globals(spark, sf_dir):
 def idf_both(spark, sf_dir):
     i = corpus_index(spark, sf_dir)
     n = F.lit(i.n)
-    return i.lexicon.select("term", "df", F.round(scoring.cosine_idf(F.col("df"), n), 6).alias("idf_cosine"), F.round(scoring.bm25_idf(F.col("df"), n), 6).alias("idf_bm25"))
+    return i.lexicon.select(
+        "term",
+        "df",
+        F.round(scoring.cosine_idf(F.col("df"), n), 6).alias("idf_cosine"),
+        F.round(scoring.bm25_idf(F.col("df"), n), 6).alias("idf_bm25")
+    )
 
 
 def doc_norm(spark, sf_dir):
@@ -204,7 +209,9 @@ def best_token(spark, sf_dir):
 def snippets(spark, sf_dir):
     i = corpus_index(spark, sf_dir)
     lists = ranked_lists(spark, sf_dir).drop("score")
-    return snippet.snippets(i, corpus(spark, sf_dir), queries_of(spark, EVALUATED), lists, catalogue(spark, sf_dir), "doc_id").select("query_nr", "model", "rank", "gutenberg_id", "snippet", "start_line")
+    return snippet.snippets(
+        i, corpus(spark, sf_dir), queries_of(spark, EVALUATED), lists, catalogue(spark, sf_dir), "doc_id"
+    ).select("query_nr", "model", "rank", "gutenberg_id", "snippet", "start_line")
 
 
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,14 +308,20 @@ def build_report(spark, sf_dir):
     i = corpus_index(spark, sf_dir)
     size = corpus(spark, sf_dir).agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
     values = {"N": i.n, "total_text_bytes_read": size, "final_vocab_size": i.lexicon.count(), "avgdl": i.avgdl}
-    return sinks.performance_rows(spark.createDataFrame([tuple(values.values())], "N long, total_text_bytes_read long, final_vocab_size long, avgdl double"))
+    return sinks.performance_rows(
+        spark.createDataFrame([tuple(values.values())], "N long, total_text_bytes_read long, final_vocab_size long, avgdl double")
+    )
 
 
 def latency_report(spark, sf_dir):
     """The log's table, from stand-in log rows: a list's times are its greatest score."""
     n = F.count("*")
-    log = ranked_lists(spark, sf_dir).groupBy("query_nr", "model").agg(n.alias("topk"), n.alias("candidates_scored"), (F.max("score") / 8).alias("elapsed_ms"))
-    log = log.join(F.broadcast(queries_of(spark, EVALUATED).queries.withColumnRenamed("raw", "query")), "query_nr").withColumn("phrase_fallback_used", F.col("query").contains('"'))
+    log = ranked_lists(spark, sf_dir).groupBy("query_nr", "model").agg(
+        n.alias("topk"), n.alias("candidates_scored"), (F.max("score") / 8).alias("elapsed_ms")
+    )
+    log = log.join(
+        F.broadcast(queries_of(spark, EVALUATED).queries.withColumnRenamed("raw", "query")), "query_nr"
+    ).withColumn("phrase_fallback_used", F.col("query").contains('"'))
     return sinks.latency_rows(log)
 
 

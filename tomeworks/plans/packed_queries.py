@@ -31,10 +31,12 @@ def p6_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COUNTS = """
 WITH p AS (SELECT DISTINCT term, docid, passage_no, tf, block_no FROM postings WHERE term IS NOT NULL AND docid IS NOT NULL AND tf >= 1),
-n AS (SELECT term, block_no, count(DISTINCT docid) AS n_records, count(*) AS n_passages, CAST(sum(tf) AS BIGINT) AS total_tf FROM p GROUP BY term, block_no),
+n AS (SELECT term, block_no, count(DISTINCT docid) AS n_records, count(*) AS n_passages, CAST(sum(tf) AS BIGINT) AS total_tf FROM p
+  GROUP BY term, block_no),
 l AS (SELECT term, block_no, min(df) AS min_df, max(df) AS max_df, count(*) > count(df) AS null_df FROM lexicon GROUP BY term, block_no),
 j AS (SELECT coalesce(n.term, l.term) AS term, coalesce(n.block_no, l.block_no) AS block_no, coalesce(n_records, 0) AS n_records,
-      coalesce(n_passages, 0) AS n_passages, coalesce(total_tf, 0) AS total_tf, min_df, max_df, coalesce(null_df, false) AS null_df, null_df IS NOT NULL AS in_lexicon
+      coalesce(n_passages, 0) AS n_passages, coalesce(total_tf, 0) AS total_tf, min_df, max_df, coalesce(null_df, false) AS null_df,
+  null_df IS NOT NULL AS in_lexicon
       FROM n FULL JOIN l ON n.term IS NOT DISTINCT FROM l.term AND n.block_no IS NOT DISTINCT FROM l.block_no)
 """
 QUERIES = {"p2_found": p2_found, "p2_values": p2_values, "p6_found": p6_found, "p6_term_counts": p6_term_counts}

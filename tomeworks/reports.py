@@ -26,14 +26,18 @@ def with_text(rows: DataFrame, queries: DataFrame) -> DataFrame:
 def metrics_by_list(judgments: DataFrame, queries: DataFrame, k: int = evalkit.K) -> DataFrame:
     """query_nr, query_text, model, P@k, P@k_partial, AP@k, NDCG@k, result_count."""
     rows = with_text(evalkit.metrics(judgments, k), queries)
-    return rows.select("query_nr", "query_text", "model", *(four(c).alias(n.format(k=k)) for c, n in MEASURES.items()), "result_count").orderBy(F.col("query_nr").try_cast("int"), "query_nr", "model")
+    return rows.select(
+        "query_nr", "query_text", "model", *(four(c).alias(n.format(k=k)) for c, n in MEASURES.items()), "result_count"
+    ).orderBy(F.col("query_nr").try_cast("int"), "query_nr", "model")
 
 
 def metrics_by_model(judgments: DataFrame, models: tuple[str, ...], k: int = evalkit.K) -> DataFrame:
     """model, the means of the measures, queries_judged, in the order of models."""
     rows = evalkit.summary(evalkit.metrics(judgments, k))
     place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
-    return rows.orderBy(place, "model").select("model", *(four(f"mean_{c}").alias("mean_" + n.format(k=k)) for c, n in MEASURES.items()), "queries_judged")
+    return rows.orderBy(place, "model").select(
+        "model", *(four(f"mean_{c}").alias("mean_" + n.format(k=k)) for c, n in MEASURES.items()), "queries_judged"
+    )
 
 
 def comparison(ranked: DataFrame, queries: DataFrame, k: int = evalkit.K) -> DataFrame:
@@ -41,12 +45,23 @@ def comparison(ranked: DataFrame, queries: DataFrame, k: int = evalkit.K) -> Dat
     rows = with_text(evalkit.overlap(ranked, queries.select(F.col("query_nr").cast("string").alias("query_nr")), k), queries)
     place = F.array_position(F.array(*(F.lit(f"{a} {b}") for a, b in evalkit.PAIRS)), F.concat_ws(" ", "model_1", "model_2"))
     rows = rows.orderBy(F.col("query_nr").cast("int"), place)
-    return rows.select("query_nr", "query_text", "model_1", "model_2", "result_count_1", "result_count_2", F.col("overlap").alias(f"overlap_top{k}"), four("jaccard").alias(f"jaccard_top{k}"))
+    return rows.select(
+        "query_nr",
+        "query_text",
+        "model_1",
+        "model_2",
+        "result_count_1",
+        "result_count_2",
+        F.col("overlap").alias(f"overlap_top{k}"),
+        four("jaccard").alias(f"jaccard_top{k}")
+    )
 
 
 def pair_overlap(ranked: DataFrame, queries: DataFrame, k: int = evalkit.K) -> DataFrame:
     """query_nr, pair, overlap and Jaccard of the first k."""
-    return comparison(ranked, queries, k).select("query_nr", F.concat_ws("_vs_", "model_1", "model_2").alias("pair"), f"overlap_top{k}", f"jaccard_top{k}")
+    return comparison(ranked, queries, k).select(
+        "query_nr", F.concat_ws("_vs_", "model_1", "model_2").alias("pair"), f"overlap_top{k}", f"jaccard_top{k}"
+    )
 
 
 def first_ids(ranked: DataFrame, k: int = evalkit.K) -> dict[str, dict[str, dict[str, object]]]:
@@ -63,4 +78,6 @@ def score_spread(ranked: DataFrame, queries: DataFrame, models: tuple[str, ...])
     stats = evalkit.score_quantiles(ranked, queries.select(F.col("query_nr").cast("string").alias("query_nr")), models)
     place = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
     numbers = ("min_score", "p25", "median", "p75", "max_score")
-    return stats.orderBy(F.col("query_nr").cast("int"), place).select("query_nr", "model", "result_count", *(F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c))).alias(c) for c in numbers))
+    return stats.orderBy(F.col("query_nr").cast("int"), place).select(
+        "query_nr", "model", "result_count", *(F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c))).alias(c) for c in numbers)
+    )

@@ -92,7 +92,9 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
     fs, target = hadoop_path(spark, path)
     if not fs.exists(target):
         return 0, 0
-    return fs.getContentSummary(target).getLength(), max([fs.getFileStatus(target).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(target))])
+    return fs.getContentSummary(target).getLength(), max(
+        [fs.getFileStatus(target).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(target))]
+    )
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

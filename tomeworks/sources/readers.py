@@ -10,7 +10,14 @@ from pyspark.sql import types as T
 from tomeworks.functions.text import newlines
 
 # Column names and keys of the files.
-CATALOGUE_COLUMNS = {"gutenberg_id": "gutenberg_id", "title": "title", "author": "authors", "language": "language", "gutenberg_bookshelf": "bookshelf", "rights": "rights"}
+CATALOGUE_COLUMNS = {
+    "gutenberg_id": "gutenberg_id",
+    "title": "title",
+    "author": "authors",
+    "language": "language",
+    "gutenberg_bookshelf": "bookshelf",
+    "rights": "rights"
+}
 LOG_DEFAULTS = {"query": "", "model": "", "elapsed_ms": 0.0, "topk": 0, "candidates_scored": 0, "phrase_fallback_used": False}
 LOG_SCHEMA = "timestamp string, model string, query string, topk long, elapsed_ms double, postings_accessed long, candidates_scored long, phrase_fallback_used boolean"
 BUILD_SCHEMA = "N long, total_text_bytes_read long, elapsed_seconds double, docs_per_second double, mb_per_second double, peak_tracemalloc_mb double, blocks_written long, final_vocab_size long, avgdl double, postings_bytes long, sqlite_bytes long"
@@ -38,7 +45,9 @@ def file_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def list_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """query_nr, model, line, value of TSV lists named <query>_<model>.tsv; any other name is a query of its own with the model unknown."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")
+    )
     stem = F.regexp_replace("f", r"\.[^.]*$", "")
     named = stem.rlike(r"^\d+_.+$")
     query = F.when(named, F.regexp_extract(stem, r"^(\d+)_", 1)).otherwise(stem)
@@ -52,13 +61,23 @@ def ranked_lists(lines: DataFrame, k: int | None = None) -> DataFrame:
     """Rows of lists; the first k lines of each, of which lines with fewer than five fields are left out. No quoting is known."""
     c = F.split("value", "\t", -1)
     rows = lines.where(F.col("line") <= k) if k else lines
-    return rows.where(F.size(c) >= 5).select("query_nr", "model", c[0].try_cast("int").alias("rank"), c[1].alias("gutenberg_id"), c[2].try_cast("double").alias("score"), c[3].alias("snippet"), c[4].alias("start_line"))
+    return rows.where(F.size(c) >= 5).select(
+        "query_nr",
+        "model",
+        c[0].try_cast("int").alias("rank"),
+        c[1].alias("gutenberg_id"),
+        c[2].try_cast("double").alias("score"),
+        c[3].alias("snippet"),
+        c[4].alias("start_line")
+    )
 
 
 def judgments_csv(spark: SparkSession, path: str) -> DataFrame:
     """Columns are taken by the header's names, in whatever order they stand; labels other than 0, 1, 2 are left out."""
     raw = spark.read.option("header", True).csv(path)
-    return raw.select("query_nr", "model", F.col("rank").cast("int").alias("rank"), "gutenberg_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1, 2))
+    return raw.select(
+        "query_nr", "model", F.col("rank").cast("int").alias("rank"), "gutenberg_id", F.col("label").cast("int").alias("label")
+    ).where(F.col("label").isin(0, 1, 2))
 
 
 def query_log(spark: SparkSession, path: str) -> DataFrame:

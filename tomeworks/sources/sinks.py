@@ -94,7 +94,14 @@ def performance_rows(build: DataFrame) -> DataFrame:
 
 
 def latency_rows(log: DataFrame) -> DataFrame:
-    return log.select("query", "model", F.format_string("%.2f", "elapsed_ms").alias("elapsed_ms"), "topk", "candidates_scored", F.col("phrase_fallback_used").alias("phrase_fallback"))
+    return log.select(
+        "query",
+        "model",
+        F.format_string("%.2f", "elapsed_ms").alias("elapsed_ms"),
+        "topk",
+        "candidates_scored",
+        F.col("phrase_fallback_used").alias("phrase_fallback")
+    )
 
 
 # Signs with a meaning of their own in print, and accents by their combining mark.
@@ -121,6 +128,13 @@ def latex_table(header: Sequence[str], rows: Iterable[Sequence[object]], caption
             body.append(r"\midrule")
         before = group
         body.append(" & ".join("" if v is None else latex_escape(str(v)) for v in row) + r" \\")
-    lines = [r"\begin{table}[h]", r"\centering", rf"\caption{{{latex_escape(caption)}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * len(header)}}}", r"\toprule"]
+    lines = [
+        r"\begin{table}[h]",
+        r"\centering",
+        rf"\caption{{{latex_escape(caption)}}}",
+        rf"\label{{{label}}}",
+        rf"\begin{{tabular}}{{{'l' * len(header)}}}",
+        r"\toprule"
+    ]
     lines += [" & ".join(map(latex_escape, header)) + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"]
     return "\n".join(lines) + "\n"
