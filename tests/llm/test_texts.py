@@ -225,6 +225,40 @@ def test_short_family_names_against_brute_force(spark):
     assert {(a, b) for a in names for b in names if a < b and p7.family_like(a, b)} == found
 
 
+def test_planted_slips_are_linked(spark):
+    """Recall of each kind of slip in family names at each length, end to end against brute force."""
+    rng = random.Random(21)
+    letters = "abdefgiklmnoprstuvz"
+    slips = {
+        "put in": lambda w, k: w[:k] + rng.choice(letters) + w[k:], "left out": lambda w, k: w[:k] + w[k + 1 :],
+        "changed": lambda w, k: w[:k] + rng.choice(letters) + w[k + 1 :], "swapped": lambda w, k: w[:k] + w[k + 1] + w[k] + w[k + 2 :],
+    }
+    planted, names = defaultdict(list), set()
+    for length in (4, 5, 6, 7, 8, 9, 13, 15, 18):
+        for kind, make in slips.items():
+            for _ in range(40):
+                word = "".join(rng.choices(letters, k=length))
+                typed = make(word, rng.randrange(length - 1))
+                if typed != word and len(typed) >= p7.SLIP_LETTERS:
+                    pair = tuple(sorted((f"{word}, ann", f"{typed}, ann b.")))
+                    planted[kind, length].append(pair)
+                    names |= set(pair)
+    people = p7.parsed(spark.createDataFrame([(n,) for n in sorted(names)], "name string"))
+    found = {(r["a"], r["b"]) for r in p7.links(people).collect()}
+    rows = [(r["name"], r["family"]) for r in people.collect()]
+    brute = {tuple(sorted((a, b))) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if abs(len(x) - len(y)) < 2 and p7.family_like(x, y)}
+    assert found <= brute and len(found) >= 0.995 * len(brute)
+    for case, pairs in planted.items():
+        assert len(pairs) > 25 and sum(p in found for p in pairs) >= (0.99 if case[1] <= p7.KEYED else 0.95) * len(pairs), case
+
+
+@pytest.mark.parametrize("name", ["van den berg, jan", "jan van den berg", "dr. jan van den berg", "jan van den berg jr.", "berg, dr. jan", "jan berg", "dr. jan berg jr"])
+def test_parsed_names(name):
+    form, family, given = p7.parse(name)
+    words = [family, *given] if form == "c" else given[::-1]
+    assert words == (["van den berg", "jan"] if "den" in name else ["berg", "jan"])
+
+
 def test_slips_in_first_letters_against_brute_force(spark):
     given = "catherine katherine kitty kate atherine acthine frederick rfederick drederick rederick xfrederick freddie f. edward dward ned bred margaret peggy nargaret".split()
     people = p7.parsed(spark.createDataFrame([(f"tavekex, {g}",) for g in given] + [(f"tavekxe, {g} hale",) for g in given], "name string"))
@@ -399,7 +433,7 @@ def test_offsets_do_not_depend_on_ranges(spark, monkeypatch):
     tokens = spark.createDataFrame([(i, "a", 1 + i % 7) for i in range(500)], "row_key long, source string, tokens long")
     planned = p9.plan(tokens, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))
     one = p9.mixture(tokens, planned).collect()
-    monkeypatch.setattr(p9, "RANGE_ROWS", 3)
+    monkeypatch.setattr(p9, "RANGES", 170)
     assert p9.mixture(tokens, planned).collect() == one and len(one) == 500
 
 

@@ -18,6 +18,7 @@ empty tables give no rows.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tomeworks.llm.codepoints import slices
 from tomeworks.session import materialize, table
 
-RANGE_ROWS = 20_000  # documents of one hash range
+RANGES = 16  # hash ranges of the documents, at least; as many as documents in one range, so that neither is one task's burden
 TILT = 0.8
 SMALL = 10_000  # sources up to which the plan is broadcast
 
@@ -101,7 +102,7 @@ def mixture(tokens: DataFrame, planned: DataFrame, seed: int = 1) -> DataFrame:
     rows = planned.count()
     p = planned.select("source", "available", "max_repeats", "demand", "tilt")
     n_docs = tokens.count()
-    ranges = max(16, n_docs // RANGE_ROWS)
+    ranges = max(RANGES, math.isqrt(n_docs))
     digits = F.substring(F.md5(F.concat_ws(":", F.col("row_key").cast("string"), F.lit(str(seed)))), 1, 15)
     at = tokens.withColumn("_h", F.conv(digits, 16, 10).cast("long"))
     at = at.withColumn("_range", F.least(F.floor(F.col("_h") / F.lit(2.0**60) * ranges), F.lit(ranges - 1)))
