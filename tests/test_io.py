@@ -2,9 +2,10 @@ import json
 
 import pytest
 
-from tomeworks import cli
+from tomeworks import cli, session
 from tomeworks.functions import codec
 from tomeworks.operators import index
+from tomeworks.plans import core_queries
 from tomeworks.sources import readers, sinks
 from tomeworks.streaming import incremental
 
@@ -98,6 +99,16 @@ def test_byte_lists(tmp_path):
         codec.PostingsFile(str(tmp_path / "none")).read(0, 1)
 
 
+def test_byte_lists_of_hot_terms_are_split_by_ranges(spark):
+    rows = [("hot", d, 1 + d % 3) for d in range(0, 300_000, 7)] + [("cold", 5, 2), ("cold", 200_000, 1)]
+    df = spark.createDataFrame(rows, "term string, docid long, tf int")
+    lists = codec.encode_lists(df)
+    parts = {(r["term"], r["part"]): r["df"] for r in lists.select("term", "part", "df").collect()}
+    assert parts.keys() == {("hot", k) for k in range(5)} | {("cold", 0), ("cold", 3)} and max(parts.values()) <= codec.SPREAD
+    assert sorted(map(tuple, codec.decode_lists(lists).collect())) == sorted(rows)
+    assert codec.decode_lists(codec.encode_lists(df.limit(0))).count() == 0
+
+
 def test_commands(spark, folder, capsys, monkeypatch):
     run = lambda *a: cli.main(["--data", str(folder), *a])
     assert run("validate_dataset") == 0
@@ -154,3 +165,34 @@ def test_stream_gives_the_same_index(spark, tmp_path):
     for name in ("postings", "lexicon", "docstats"):
         a, b = getattr(streamed, name), getattr(whole, name)
         assert a.select(*b.columns).exceptAll(b).count() == b.exceptAll(a.select(*b.columns)).count() == 0
+
+
+def test_intermediate_tables_need_a_shared_folder_off_one_process(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    monkeypatch.setattr(session, "ship", lambda spark: None)
+    with pytest.raises(ValueError, match="shared|share"):
+        session.shared_dir(Session())
+
+
+def test_rewritten_tables_are_read_anew(spark, tmp_path):
+    def write(texts):
+        docs = [(i, t, "7", len(t)) for i, t in enumerate(texts)]
+        spark.createDataFrame(docs, "doc_id long, text string, gutenberg_id string, n_chars long").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+
+    write(["one two", "three"])
+    first = core_queries.doc_len(spark, str(tmp_path)).collect()
+    assert core_queries.corpus_index(spark, str(tmp_path)) is core_queries.corpus_index(spark, str(tmp_path))
+    write(["one two", "three", "four"])
+    assert (first[0]["doc_len"], core_queries.doc_len(spark, str(tmp_path)).first()["doc_len"]) == (3, 4)

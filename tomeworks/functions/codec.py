@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import accumulate, pairwise
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONGEST = 5
+PAIRS = T.ArrayType(T.StructType([T.StructField("docid", T.LongType()), T.StructField("tf", T.LongType())]))
 SPREAD = 1 << 16  # record ids per window
 
 
@@ -57,6 +60,29 @@ def decode_postings(data: bytes) -> list[tuple[int, int]]:
     return list(zip(ungaps(flat[::2]), flat[1::2], strict=True))
 
 
+@F.arrow_udf(T.BinaryType())
+def _encoded(lists: pa.Array) -> pa.Array:
+    return pa.array([encode_postings([(p["docid"], p["tf"]) for p in x]) for x in lists.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(PAIRS)
+def _decoded(data: pa.Array) -> pa.Array:
+    pairs = [[{"docid": d, "tf": n} for d, n in decode_postings(x)] for x in data.to_pylist()]
+    return pa.array(pairs, pa.list_(pa.struct([("docid", pa.int64()), ("tf", pa.int64())])))
+
+
+def encode_lists(postings: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """term, part, df, data: byte lists of each term, one for each range of record ids, so that no list is larger than a range."""
+    pairs = F.array_sort(F.collect_list(F.struct("docid", F.col("tf").cast("long").alias("tf"))))
+    parts = postings.groupBy("term", F.floor(F.col("docid") / spread).alias("part")).agg(pairs.alias("pairs"))
+    return parts.select("term", "part", F.size("pairs").alias("df"), _encoded("pairs").alias("data"))
+
+
+def decode_lists(lists: DataFrame) -> DataFrame:
+    """term, docid, tf of byte lists."""
+    return lists.select("term", _decoded("data").alias("pairs")).select("term", F.inline("pairs"))
+
+
 def write_postings(path: str, lists: Iterable[tuple[str, list[tuple[int, int]]]]) -> list[tuple[str, int, int, int]]:
     """A file of byte lists one after the other; term, df, byte_offset, length of each."""
     out, at = [], 0

@@ -16,8 +16,8 @@ from tomeworks import reports
 from tomeworks.functions import codec, scoring, text
 from tomeworks.operators import evalkit, index, metadata, phrase, rank, snippet
 from tomeworks.operators.skew import live_postings
-from tomeworks.session import materialize, table, version
-from tomeworks.sources import sinks
+from tomeworks.session import materialize, scratch, table, version
+from tomeworks.sources import readers, sinks
 
 EVALUATED = {
     1: "the that his our",
@@ -36,6 +36,7 @@ CATALOGUE = {
     6: "château devant",
     7: "Tivodover, Matilda Dunmore",
 }
+EMPTY = {1: "", 2: "   ", 3: "zzzz", 4: ":"}
 MODELS = ("structured", "vsm", "bm25")
 TOP = 100
 _CACHE: dict[tuple, object] = {}
@@ -304,25 +305,97 @@ def score_quantiles(spark, sf_dir):
 
 
 def build_report(spark, sf_dir):
-    """The build report's table of what does not depend on the clock or the store."""
+    """The build report, written and read, of what does not depend on the clock or the store."""
     i = corpus_index(spark, sf_dir)
     size = corpus(spark, sf_dir).agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
-    values = {"N": i.n, "total_text_bytes_read": size, "final_vocab_size": i.lexicon.count(), "avgdl": i.avgdl}
-    return sinks.performance_rows(
-        spark.createDataFrame([tuple(values.values())], "N long, total_text_bytes_read long, final_vocab_size long, avgdl double")
-    )
+    path = scratch(spark, "build-report")
+    sinks.write_report(spark, path, {"N": i.n, "total_text_bytes_read": size, "final_vocab_size": i.lexicon.count(), "avgdl": i.avgdl})
+    return sinks.performance_rows(readers.build_metrics(spark, path))
 
 
 def latency_report(spark, sf_dir):
-    """The log's table, from stand-in log rows: a list's times are its greatest score."""
-    n = F.count("*")
-    log = ranked_lists(spark, sf_dir).groupBy("query_nr", "model").agg(
-        n.alias("topk"), n.alias("candidates_scored"), (F.max("score") / 8).alias("elapsed_ms")
-    )
-    log = log.join(
-        F.broadcast(queries_of(spark, EVALUATED).queries.withColumnRenamed("raw", "query")), "query_nr"
-    ).withColumn("phrase_fallback_used", F.col("query").contains('"'))
-    return sinks.latency_rows(log)
+    """The query log, written and read, with stand-in times: a list's greatest score."""
+    lists = ranked_lists(spark, sf_dir).groupBy("query_nr", "model").agg(F.count("*").alias("n"), F.max("score").alias("s")).collect()
+    path = scratch(spark, "log")
+    entries = [
+        {
+            "query": EVALUATED[r["query_nr"]], "model": r["model"], "topk": r["n"], "candidates_scored": r["n"],
+            "elapsed_ms": r["s"] / 8, "phrase_fallback_used": '"' in EVALUATED[r["query_nr"]],
+        }
+        for r in lists
+    ]
+    sinks.append_log(spark, path, entries[:5])
+    sinks.append_log(spark, path, entries[5:])
+    return sinks.latency_rows(readers.query_log(spark, path))
+
+
+def catalogue_csv(spark, sf_dir):
+    """The catalogue written as CSV under the columns' outer names, with one column too many, and read again."""
+    names = {b: a for a, b in readers.CATALOGUE_COLUMNS.items()}
+    path = scratch(spark, "catalogue-csv")
+    rows = table(spark, sf_dir, "metadata").select(F.col("feed").alias("other"), *(F.col(b).alias(a) for b, a in names.items()))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.catalogue_csv(spark, path)
+
+
+def index_reload(spark, sf_dir):
+    """Statistics of the index after it was saved and loaded."""
+    path = scratch(spark, "index-saved")
+    index.save(corpus_index(spark, sf_dir), path)
+    i = index.load(spark, path)
+    one = i.globals().select("n", F.round("avgdl", 6).alias("avgdl"))
+    return i.docstats.select("gutenberg_id", "doc_len", F.round("doc_norm", 6).alias("doc_norm")).join(F.broadcast(one), F.lit(True))
+
+
+def byte_lists(spark, sf_dir):
+    """Live postings by record, encoded to byte lists and decoded again."""
+    live = live_postings(table(spark, sf_dir, "postings")).distinct().groupBy("term", "docid").agg(F.sum("tf").alias("tf"))
+    return codec.decode_lists(codec.encode_lists(live))
+
+
+def lists_reread(spark, sf_dir):
+    """The files of all lists, read again: fields of their lines."""
+    s = snippets(spark, sf_dir).join(ranked_lists(spark, sf_dir).select("query_nr", "model", "rank", "score"), ["query_nr", "model", "rank"])
+    folder = scratch(spark, "lists")
+    sinks.write_list_files(s, folder, [(n, m) for n in EVALUATED for m in MODELS])
+    return readers.ranked_lists(readers.list_lines(spark, folder))
+
+
+def judgments_reread(spark, sf_dir):
+    """Stand-in labels appended in two parts and read again; a label that is none is left out."""
+    rows = [(str(r["query_nr"]), *tuple(r)[1:]) for r in judgments(spark, sf_dir).collect()]
+    path = scratch(spark, "judgments")
+    sinks.append_judgments(spark, path, rows[:70])
+    sinks.append_judgments(spark, path, [*rows[70:], ("1", "bm25", 99, "0", 7)])
+    return readers.judgments_csv(spark, path)
+
+
+def results_titles(spark, sf_dir):
+    return readers.titles(results_topk(spark, sf_dir), catalogue(spark, sf_dir)).select("query_nr", "model", "rank", "gutenberg_id", "title", "authors")
+
+
+def bm25_no_scan(spark, sf_dir):
+    """The fallback without a full scan: a query without BM25 results is refused."""
+    q = queries_of(spark, EVALUATED)
+    return rank.rank(phrase.bm25_with_fallback(corpus_index(spark, sf_dir), corpus(spark, sf_dir), q, allow_full_scan=False), TOP)
+
+
+def phrase_caps(spark, sf_dir):
+    """The fallback with caps that these tables reach."""
+    q = queries_of(spark, EVALUATED)
+    return phrase.bm25_with_fallback(corpus_index(spark, sf_dir), corpus(spark, sf_dir), q, reranked=20, scanned=30)
+
+
+def empty_queries(spark, sf_dir):
+    """Queries without tokens, in all models; the catalogue is searched for their signs as they stand."""
+    q = queries_of(spark, EMPTY)
+    i = corpus_index(spark, sf_dir)
+    parts = {"structured": rank.structured(searchable(spark, sf_dir), q), "vsm": rank.cosine(i, q), "bm25": rank.bm25(i, q)}
+    out = None
+    for model, df in parts.items():
+        df = df.select("query_nr", F.lit(model).alias("model"), "gutenberg_id", "score")
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def report_metrics(spark, sf_dir):
@@ -345,6 +418,7 @@ QUERIES = {
         idf_both, doc_norm, dense_docid, postings_gaps, gap_roundtrip, index_validate, bm25_batch, vsm_batch, structured_batch, phrase_trigger, bm25_fallback, best_token, snippets, results_topk,
         tsv_rows, tsv_validate, determinism_diff, metadata_dedup, has_text_flag, missing_ids, dataset_report, precision_at_k, judge_precision, average_precision, ndcg, metrics_report, metrics_summary,
         overlap_jaccard, score_quantiles, build_report, latency_report, report_metrics, report_overlap, report_scores,
+        catalogue_csv, index_reload, byte_lists, lists_reread, judgments_reread, results_titles, bm25_no_scan, phrase_caps, empty_queries,
     )
 } | {
     "bm25_single": partial(bm25_batch, numbers=(2,)),

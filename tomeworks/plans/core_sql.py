@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tomeworks.plans.core_queries import CATALOGUE, EVALUATED
+from tomeworks.plans.core_queries import CATALOGUE, EMPTY, EVALUATED
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -289,4 +289,22 @@ printf('%.4f', ap) AS "AP@10", printf('%.4f', ndcg) AS "NDCG@10", result_count F
     + " SELECT CAST(query_nr AS VARCHAR) AS query_nr, model, result_count, "
     + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN CAST(CAST(CAST({c} AS DECIMAL(20, 9)) AS DECIMAL(20, 6)) AS VARCHAR) END AS {c}" for c in ("min_score", "p25", "median", "p75", "max_score"))
     + " FROM sq2",
+    "catalogue_csv": "SELECT "
+    + ", ".join(f"nullif({c}, '') AS {c}" for c in ("gutenberg_id", "title", "authors", "language", "bookshelf", "rights"))
+    + " FROM metadata",
+    "index_reload": f"""WITH {INDEX}, {NORMS} SELECT gutenberg_id, doc_len, round(coalesce(doc_norm, 0), 6) AS doc_norm, n, round(avgdl, 6) AS avgdl
+FROM dl LEFT JOIN norms USING (gutenberg_id) CROSS JOIN g""",
+    "byte_lists": """SELECT term, docid, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT DISTINCT term, docid, passage_no, tf, block_no FROM postings
+WHERE term IS NOT NULL AND docid IS NOT NULL AND tf >= 1) GROUP BY 1, 2""",
+    "lists_reread": SNIPPETS
+    + """ SELECT CAST(query_nr AS VARCHAR) AS query_nr, model, rank, gutenberg_id, round(score, 6) AS score, translate(snippet, chr(9) || chr(10) || chr(13), '   ') AS snippet, start_line
+FROM sn""",
+    "judgments_reread": JUDGED + " SELECT CAST(query_nr AS VARCHAR) AS query_nr, model, rank, gutenberg_id, label FROM j",
+    "results_titles": LISTS
+    + """ SELECT query_nr, model, rank, gutenberg_id, coalesce(title, '') AS title, coalesce(authors, '') AS authors
+FROM lists LEFT JOIN merged USING (gutenberg_id) WHERE rank <= 10""",
+    "bm25_no_scan": f"WITH {INDEX}, {asked(EVALUATED)}, {BM25}, {PHRASE}, refused AS (SELECT * FROM fb WHERE query_nr IN (SELECT query_nr FROM bm)) "
+    + ranked("refused", columns="query_nr, gutenberg_id, score, fallback_used"),
+    "phrase_caps": f"WITH {INDEX}, {asked(EVALUATED)}, {BM25}, {PHRASE.replace('r <= 5000', 'r <= 20').replace('r <= 200', 'r <= 30')} SELECT * FROM fb",
+    "empty_queries": f"WITH {MERGED}, {structured(EMPTY)} SELECT query_nr, 'structured' AS model, gutenberg_id, score FROM st",
 }

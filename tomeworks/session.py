@@ -25,7 +25,8 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
-    found = str(root) in (os.environ.get("PYTHONPATH", "") + os.pathsep + os.getcwd()).split(os.pathsep)
+    searched = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), sc._jvm.System.getProperty("user.dir")]
+    found = str(root) in searched
     if sc.master.startswith("local[") and found:
         return
     target = Path(tempfile.mkdtemp(prefix="tomeworks-"), "tomeworks.zip")  # on the driver, which serves it
@@ -97,6 +98,14 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
     )
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/tomeworks/{label}-{uuid.uuid4().hex}"
+    fs, target = hadoop_path(spark, path)
+    fs.deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -104,10 +113,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tomeworks/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    fs, target = hadoop_path(spark, path)
-    fs.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
