@@ -27,6 +27,7 @@ def test_statistics(small):
     assert {r["term"]: r["df"] for r in small.lexicon.collect()} == {"otter": 2, "heron": 2, "newt": 2, "and": 1, "marsh": 1, "again": 1}
     stats = {r["gutenberg_id"]: r for r in small.docstats.collect()}
     # The two texts of a1 count together.
+    assert {r["doc_len"] for r in small.postings.where("gutenberg_id = 'a1'").collect()} == {6}
     assert {k: r["doc_len"] for k, r in stats.items()} == {"a1": 6, "b2": 2, "c3": 4, "d4": 1, "e5": 0, "f6": 0}
     assert small.n == 6 and small.avgdl == pytest.approx(13 / 6)
     assert {(r["term"], r["tf"]) for r in small.postings.where("gutenberg_id = 'a1'").collect()} == {("otter", 3), ("heron", 2), ("again", 1)}
@@ -66,10 +67,9 @@ def test_save_and_load(spark, small, tmp_path):
 
 
 def hand_made(spark):
-    p = spark.createDataFrame(
-        [("reed", "x", 4), ("reed", "y", 1), ("wren", "x", 1), ("wren", "z", 2), ("teal", "z", 3), ("void", "x", 0)],
-        "term string, gutenberg_id string, tf int"
-    )
+    long = {"x": 5, "y": 1, "z": 6}
+    posts = [(t, d, n, long[d]) for t, d, n in (("reed", "x", 4), ("reed", "y", 1), ("wren", "x", 1), ("wren", "z", 2), ("teal", "z", 3), ("void", "x", 0))]
+    p = spark.createDataFrame(posts, "term string, gutenberg_id string, tf int, doc_len long")
     stats = spark.createDataFrame([("x", 5, 2.5), ("y", 1, 1.25), ("z", 6, 3.5)], "gutenberg_id string, doc_len long, doc_norm double")
     return index.Index(p, index.lexicon_of(p), stats, 3, 4.0)
 

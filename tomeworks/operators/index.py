@@ -1,6 +1,7 @@
 """The inverted index: postings, lexicon, document statistics, globals.
 
-A record (gutenberg_id) may have several texts; their counts add up. Accent-free aliases are added as
+Postings carry the record's length, so BM25 needs no join for it. A record (gutenberg_id) may have several
+texts; their counts add up. Accent-free aliases are added as
 rows of their own and are not merged with a posting of the same term, as df, scores and norms count both.
 """
 
@@ -22,7 +23,7 @@ from tomeworks.session import delete, materialize, spread
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, gutenberg_id, tf
+    postings: DataFrame  # term, gutenberg_id, tf, doc_len
     lexicon: DataFrame  # term, df
     docstats: DataFrame  # gutenberg_id, doc_len, doc_norm
     n: int
@@ -36,31 +37,30 @@ class Index:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """gutenberg_id, term, tf of each text of docs(gutenberg_id, text), and a row with a null term for each text, whose tf is its length.
+    """gutenberg_id, term, tf, text_len of each text of docs(gutenberg_id, text), and a row with a null term for each text.
 
     A text is in one row, so its terms are counted where it is read and no shuffle is needed.
     """
-    source = spread(docs.select("gutenberg_id", "text"), "gutenberg_id").select(
-        "gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content")
-    )
+    source = spread(docs.select("gutenberg_id", "text"), "gutenberg_id")
+    source = source.select("gutenberg_id", text.strip_boilerplate(text.newlines(F.col("text"))).alias("content"))
+    names = ["gutenberg_id", "term", "tf", "text_len"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in text.slices_of(batch.column(1)):
-                rows, terms, tfs = [], [], []
+                rows, terms, tfs, sizes = [], [], [], []
                 for i, content in enumerate(part.to_pylist(), at):
                     counts = Counter(text.python_tokens(content)) if content else Counter()
                     rows += [i] * (len(counts) + 1)
                     terms += [None, *counts]
-                    tfs += [counts.total(), *counts.values()]
+                    tfs += [None, *counts.values()]
+                    sizes += [counts.total()] * (len(counts) + 1)
                 at += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())],
-                    ["gutenberg_id", "term", "tf"]
-                )
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, "gutenberg_id string, term string, tf long")
+    return source.mapInArrow(run, "gutenberg_id string, term string, tf long, text_len long")
 
 
 def tokenised(docs: DataFrame, key: str) -> DataFrame:
@@ -77,8 +77,8 @@ def tokenised(docs: DataFrame, key: str) -> DataFrame:
 
 
 def lengths_of(raw: DataFrame) -> DataFrame:
-    """gutenberg_id, doc_len of each record in counted rows."""
-    return raw.where("term is null").groupBy("gutenberg_id").agg(F.sum("tf").alias("doc_len"))
+    """gutenberg_id, doc_len, n_texts of each record in counted rows."""
+    return raw.where("term is null").groupBy("gutenberg_id").agg(F.sum("text_len").alias("doc_len"), F.count("*").alias("n_texts"))
 
 
 def term_frequencies(raw: DataFrame) -> DataFrame:
@@ -106,22 +106,23 @@ def document_norms(postings: DataFrame, lexicon: DataFrame, n: int) -> DataFrame
 
 def of_counts(raw: DataFrame, k1: float = scoring.K1, b: float = scoring.B) -> Index:
     """The index of counted rows, which should be written ones; postings are written sorted by term, so a lookup reads few row groups."""
-    columns = ("term", "gutenberg_id", "tf")
-    # Ranges of term and record keep a record's rows of a term together, so summing them needs no other exchange, and a term of many records lies in many ranges.
-    ranged = raw.where("term is not null").repartitionByRange("term", "gutenberg_id")
-    base = materialize(
-        ranged.groupBy("term", "gutenberg_id").agg(F.sum("tf").cast("int").alias("tf")).select(*columns).sortWithinPartitions("term", "gutenberg_id"),
-        "index-base"
-    )
-    alias = materialize(
-        alias_postings(base).repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id").select(*columns), "index-alias"
-    )
-    postings = base.unionByName(alias)
+    columns = ("term", "gutenberg_id", "tf", "doc_len")
+    lengths = materialize(lengths_of(raw), "index-lengths")
+    terms = raw.where("term is not null")
+    # Only records of several texts need a join for their length.
+    several = lengths.where("n_texts > 1").select("gutenberg_id", "doc_len")
+    terms = terms.withColumn("doc_len", F.col("text_len")) if several.isEmpty() else terms.join(several, "gutenberg_id", "left").withColumn("doc_len", F.coalesce("doc_len", "text_len"))
+    # Ranges of term and record keep a record's rows of a term together, so summing them needs no other
+    # exchange, and a term of many records lies in many ranges.
+    ranged = terms.repartitionByRange("term", "gutenberg_id").groupBy("term", "gutenberg_id")
+    base = ranged.agg(F.sum("tf").cast("int").alias("tf"), F.max("doc_len").alias("doc_len")).select(*columns)
+    base = materialize(base.sortWithinPartitions("term", "gutenberg_id"), "index-base")
+    alias = alias_postings(base).repartitionByRange("term", "gutenberg_id").sortWithinPartitions("term", "gutenberg_id")
+    postings = base.unionByName(materialize(alias.select(*columns), "index-alias"))
     lexicon = materialize(lexicon_of(postings), "index-lexicon")
-    lengths = lengths_of(raw)
     one = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl")).first()
     norms = document_norms(postings, lexicon, one["n"])
-    docstats = lengths.join(norms, "gutenberg_id", "left").withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0)))
+    docstats = lengths.drop("n_texts").join(norms, "gutenberg_id", "left").withColumn("doc_norm", F.coalesce("doc_norm", F.lit(0.0)))
     return Index(postings, lexicon, materialize(docstats, "index-docstats"), one["n"], one["avgdl"], k1, b)
 
 

@@ -51,11 +51,9 @@ def bm25_with_fallback(
     if allow_full_scan and False in kinds:
         hits = holding(docs, state.where("act").select("query_nr", "phrase"), q)
     else:
-        hits = holding(
-            docs.join(top.select("gutenberg_id").distinct(), "gutenberg_id", "left_semi"),
-            state.where("found and act").select("query_nr", "phrase"),
-            q
-        )
+        # Written, so that its size is known and the texts need not be shuffled where it is small.
+        wanted = materialize(top.select("gutenberg_id").distinct(), "phrase-wanted")
+        hits = holding(docs.join(wanted, "gutenberg_id", "left_semi"), state.where("found and act").select("query_nr", "phrase"), q)
     hits = materialize(hits, "phrase-hits") if len(kinds) > 1 else hits
     out = calm
     if True in kinds:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tomeworks.functions import scoring, text
 from tomeworks.operators.index import Index
 from tomeworks.operators.rank import Asked, terms_in_lexicon
+from tomeworks.session import materialize
 
 WINDOW = 250
 
@@ -52,7 +53,8 @@ def snippets(index: Index, docs: DataFrame, q: Asked, results: DataFrame, metada
     if metadata is not None:
         absent = metadata.where("has_text = 0").select("gutenberg_id")
         tokens = tokens.join(absent, "gutenberg_id", "left_anti")
-    asked = tokens.groupBy("gutenberg_id").agg(F.collect_list(F.struct("query_nr", "token")).alias("asked"))
+    # Written, so that its size is known and the texts need not be shuffled where it is small.
+    asked = materialize(tokens.groupBy("gutenberg_id").agg(F.collect_list(F.struct("query_nr", "token")).alias("asked")), "snippets-asked")
     texts = docs.select("gutenberg_id", text.newlines(F.col("text")).alias("raw"), (F.col(order) if order else F.lit(0)).alias("_order"))
     texts = texts.join(asked, "gutenberg_id").withColumn("folded", text.fold(F.col("raw")))
     cut = windows(texts.select("gutenberg_id", "_order", "raw", "folded", F.inline("asked")))
