@@ -248,8 +248,8 @@ def leaks(
         else:
             held = materialize(around_seeds(documents, key, text, mine.seeds, run), "p8-held")
             counts = np.zeros(len(mine.seeds), np.int64)
-            for r in held.select(F.explode("seeds").alias("s")).groupBy("s").count().collect():
-                counts[r["s"]] = r["count"]
+            found = held.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n")).toArrow()
+            counts[found["s"].to_numpy()] = found["n"].to_numpy()
             found = align(held, "part", True, mine, *mine.chosen(counts, run), run)
         size = np.diff(mine.start)
         names = spark.createDataFrame(
