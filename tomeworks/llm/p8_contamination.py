@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tomeworks.llm import codepoints as C
 from tomeworks.session import materialize, table
 
-SEED, RUN, BLOCK = 5, 12, 20_000
+SEED, RUN, EQUAL, BLOCK = 5, 12, 10, 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 REACH = 1 - MATCH // max(MISMATCH, GAP)  # words of a document to each word of an item in an alignment of positive score, at most
 CELLS = 1 << 20
@@ -57,6 +57,16 @@ class Items:
         self.gram, self.at = C.ngrams(w, SEED)  # at: number of the seed's first word
         self.item = w.row[self.at] if len(self.at) else np.empty(0, np.int64)
         self.seeds = np.unique(self.gram)
+        self.own = np.unique(C.mix(w.hash ^ C.mix(w.row.astype(np.uint64))))
+
+    def shared(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How many words of each window are words of its item: no alignment has more equal ones."""
+        size = high - low
+        off = C.offsets(size)
+        at = np.repeat(low - off[:-1], size) + np.arange(off[-1])
+        key = C.mix(hashes[at] ^ C.mix(np.repeat(item, size).astype(np.uint64)))
+        i = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+        return np.add.reduceat((self.own[i] == key).astype(np.int64), off[:-1])
 
     def every(self) -> tuple[np.ndarray, np.ndarray]:
         """All seeds, as sorted hashes and their places."""
@@ -169,11 +179,12 @@ def smith_waterman(windows: list[np.ndarray], passages: list[np.ndarray]) -> tup
 
 
 def alignments(
-    w: C.Words, rows: int, items: Items, seeds: np.ndarray, place: np.ndarray, screen: np.ndarray, reach: int | None
+    w: C.Words, rows: int, items: Items, seeds: np.ndarray, place: np.ndarray, screen: np.ndarray, reach: int | None, least_words: int
 ) -> tuple[np.ndarray, ...]:
     """row, item, score, longest of each row and item that one of the seeds joins.
 
     reach: words to both sides of a seed's first one that count; by default all that an alignment can need.
+    least_words: parts of a row with fewer words of the item are left out.
     """
     gram, at = C.ngrams(w, SEED)
     which, number = lookup(gram, seeds, screen)
@@ -186,6 +197,9 @@ def alignments(
     left, right = (REACH * within, REACH * (size - within)) if reach is None else (reach - SEED, reach)
     group, low, high, _ = merged(row * len(items.ids) + item, np.maximum(pos - left, bounds[row]), np.minimum(pos + right, bounds[row + 1]))
     row, item = group // len(items.ids), group % len(items.ids)
+    if len(row) and least_words:
+        enough = items.shared(w.hash, low, high, item) >= least_words
+        row, item, low, high = row[enough], item[enough], low[enough], high[enough]
     score, longest = np.zeros(len(low), np.int32), np.zeros(len(low), np.int32)
     by_size = np.argsort(high - low, kind="stable")
     while len(by_size):
@@ -197,7 +211,9 @@ def alignments(
     return row, item, score, longest
 
 
-def align(source: DataFrame, column: str, is_folded: bool, items: Items, seeds: np.ndarray, place: np.ndarray, reach: int | None) -> DataFrame:
+def align(
+    source: DataFrame, column: str, is_folded: bool, items: Items, seeds: np.ndarray, place: np.ndarray, reach: int | None, least_words: int
+) -> DataFrame:
     """row_key, item, score, longest of each row of source(row_key, column) and item that one of the seeds joins."""
     schema = f"row_key {source.schema['row_key'].dataType.simpleString()}, item int, score int, longest int"
 
@@ -207,7 +223,7 @@ def align(source: DataFrame, column: str, is_folded: bool, items: Items, seeds:
             for part in C.slices(batch, column):
                 t = C.from_arrow(part.column(1))
                 w = C.words(t if is_folded else folded(t), markup=True)
-                row, item, score, longest = alignments(w, part.num_rows, items, seeds, place, screen, reach)
+                row, item, score, longest = alignments(w, part.num_rows, items, seeds, place, screen, reach, least_words)
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(row)), pa.array(item.astype(np.int32)), pa.array(score), pa.array(longest)],
@@ -225,13 +241,15 @@ def leaks(
     item_key: str = "item_id",
     passage: str = "passage",
     block: int = BLOCK,
-    run: int | None = None
+    run: int | None = None,
+    least_words: int = 0
 ) -> DataFrame:
     """key, item_key, item_words, score, share, longest of each pair of document and item joined by a seed.
 
     share: the score against that of a whole copy. longest: equal consecutive words.
     run: if only pairs of so many equal consecutive words are needed (SEED at least); others may be left out, and
     score and longest are those of the words around the seeds.
+    least_words: pairs with fewer equal words in their alignment may be left out, whose score is below MATCH for each of so many.
     """
     spark = documents.sparkSession
     queries = items.select(F.col(item_key).alias("q"), F.col(passage).alias("p")).where(F.col("q").isNotNull()).distinct()
@@ -244,13 +262,13 @@ def leaks(
             continue
         if run is None:
             texts = documents.select(F.col(key).alias("row_key"), F.make_valid_utf8(F.col(text)).alias("row_text"))
-            found = align(texts, "row_text", False, mine, *mine.every(), None)
+            found = align(texts, "row_text", False, mine, *mine.every(), None, least_words)
         else:
             held = materialize(around_seeds(documents, key, text, mine.seeds, run), "p8-held")
             counts = np.zeros(len(mine.seeds), np.int64)
             found = held.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n")).toArrow()
             counts[found["s"].to_numpy()] = found["n"].to_numpy()
-            found = align(held, "part", True, mine, *mine.chosen(counts, run), run)
+            found = align(held, "part", True, mine, *mine.chosen(counts, run), run, max(run, least_words))
         size = np.diff(mine.start)
         names = spark.createDataFrame(
             [(i, q, int(size[i])) for i, q in enumerate(mine.ids)],
@@ -277,8 +295,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole and edited copies: pairs with five equal words in a row whose alignment has the score of at least ten equal words."""
-    pairs = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return pairs.where(F.col("score") >= 10 * MATCH).withColumn("share", F.round("share", 6))
+    pairs = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least_words=EQUAL)
+    return pairs.where(F.col("score") >= EQUAL * MATCH).withColumn("share", F.round("share", 6))
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
