@@ -14,7 +14,7 @@ TEXTS = {
     "2": "Philip K Dick wrote; to be, or not to be, that is it.",
     "3": "Jabberwocky " * 3
 }
-CSV = 'gutenberg_id,title,author,gutenberg_author_id,language,gutenberg_bookshelf,rights,has_text\n1,Book Alpha,"Smith, John",9,en,Science,,1\n1,Book Alpha,"Doe, Jane",8,en,Science,,1\n2,Book Beta,"Dick, Philip K.",7,en,,,1\n4,Lost,,,,fr,,0\n'
+CSV = 'gutenberg_id,title,author,gutenberg_author_id,language,gutenberg_bookshelf,rights,has_text\n1,Tide Almanac,"Ash, Tom",9,en,Science,,1\n1,Tide Almanac,"Roe, Ada",8,en,Science,,1\n2,Far Androids,"Dick, Philip K.",7,en,,,1\n4,Gone,,,,fr,,0\n'
 
 
 @pytest.fixture()
@@ -35,7 +35,7 @@ def test_texts(spark, folder):
 def test_catalogue(spark, folder):
     rows = readers.catalogue_csv(spark, str(folder / "catalogue.csv")).collect()
     assert rows[0].asDict() == {
-        "gutenberg_id": "1", "title": "Book Alpha", "authors": "Smith, John", "language": "en", "bookshelf": "Science", "rights": None
+        "gutenberg_id": "1", "title": "Tide Almanac", "authors": "Ash, Tom", "language": "en", "bookshelf": "Science", "rights": None
     }
 
 
