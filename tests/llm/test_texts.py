@@ -205,6 +205,31 @@ def test_names_of_nothing(spark, tmp_path):
     assert p7.p7_found(spark, str(tmp_path)).count() == 0
 
 
+def test_what_grows_is_not_broadcast(spark, tmp_path, monkeypatch):
+    """The planner goes by the bytes of small files, which say little of the rows made of them; only pairs of given names, which are counted, may pass through the driver."""
+    rows = [(i, "f", n) for i, n in enumerate([*NAMES, *OTHERS, "Tavekex, Derick", "Tavekex, Rederick", "Zopakuth, Catherine", "Zopakuth, Atherine"])]
+    spark.createDataFrame(rows, META).write.parquet(str(tmp_path / "metadata.parquet"))
+    plans, write = {}, p7.materialize
+
+    def planned(df, label):
+        plans[label] = plans.get(label, "") + df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(p7, "materialize", planned)
+    monkeypatch.setattr(p7.star_clusters, "__defaults__", (0,))
+    results = []
+    for most, joins in ((p7.GIVEN_PAIRS, 2), (0, 0)):
+        monkeypatch.setattr(p7, "GIVEN_PAIRS", most)
+        plans.clear()
+        for query in (p7.p7_found, p7.p7_entities):
+            out = query(spark, str(tmp_path))
+            plans[query.__name__] = out._jdf.queryExecution().executedPlan().toString()
+            results.append(sorted(map(tuple, out.collect())))
+        assert {"p7-people", "p7-families-near", "p7-given", "p7-links", "p7-edges", "p7-stars", "p7_found"} <= set(plans)
+        assert {k: v.count("BroadcastHashJoin") for k, v in plans.items() if "Broadcast" in v} == ({"p7-links": 2 * joins} if joins else {})
+    assert results[:2] == results[2:]
+
+
 def test_bands_meet_the_curve():
     assert 1 - (1 - p7.JACCARD**p7.ROWS) ** p7.bands() >= p7.RECALL > 1 - (1 - p7.JACCARD**p7.ROWS) ** (p7.bands() - 1)
 
